@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnOrName = Column | str
 
@@ -30,7 +31,7 @@ def to_matrix(vectors: pa.Array) -> np.ndarray:
     return flat.reshape(len(vectors), sizes["min"])
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _dot(a: pa.Array, b: pa.Array) -> pa.Array:
     known = pc.and_(a.is_valid(), b.is_valid())
     left, right = to_matrix(a.filter(known)), to_matrix(b.filter(known))

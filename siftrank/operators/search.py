@@ -250,7 +250,7 @@ def sample_outside_top(queries: DataFrame, docs: DataFrame, top: DataFrame, k: i
     stride = F.lit(1) + part(9) % max(1, prime - 1)
     walk = queries.select(
         qid, begin.alias("_a"), stride.alias("_b"),
-        F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).cast("bigint").alias("step"))
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint"))).alias("step"))
     drawn = walk.select(qid, "step", ((F.col("_a") + F.col("step") * F.col("_b")) % prime).alias(ord_col))
     free = drawn.where(F.col(ord_col) < total).join(top.select(qid, ord_col), [qid, ord_col], "left_anti")
     chosen = free.withColumn("draw", F.row_number().over(W.partitionBy(qid).orderBy("step")))

@@ -12,7 +12,7 @@ from siftrank.functions import fixed_values as fv
 from siftrank.functions.text import content_key
 from siftrank.operators.models import Annotator, Retry, annotate
 from siftrank.operators.search import top_k
-from siftrank.sources.readers import read_reply_cache, read_store
+from siftrank.sources.readers import CACHE_SCHEMA, read_reply_cache, read_store
 from siftrank.sources.writers import append_rows
 
 REPLY_COLUMNS = ["pair_key", "thought", "response", "status", "attempts"]
@@ -66,10 +66,12 @@ def split_by_cache(pending: DataFrame, cache: DataFrame) -> tuple[DataFrame, Dat
 
 
 def annotate_pairs(pairs: DataFrame, make_annotator: Callable[[], Annotator], done: DataFrame,
-                   cache: DataFrame, **options) -> DataFrame:
+                   cache: DataFrame | None = None, **options) -> DataFrame:
     """New pairs with thought and response, as one lazy plan: skip what is done, look replies up in
     the cache, ask the model once per distinct remaining pair, join the replies back."""
     pending = pending_pairs(pairs, done)
+    if cache is None:
+        cache = pairs.sparkSession.createDataFrame([], CACHE_SCHEMA)
     known, unknown = split_by_cache(pending, cache)
     fresh = annotate(unknown, make_annotator, **options).select(*REPLY_COLUMNS)
     return pending.join(known.unionByName(fresh), "pair_key")
