@@ -303,6 +303,10 @@ from all_pairs left join first_label using (qid, did) left join q_attr using (qi
     o["facet_flag_allow"] = _facet(FACET_FLAG, "specific_to_paper", full=False)
     o["facet_type_full"] = _facet(FACET_TYPE, '"Question_type"', full=True)
     o["facet_flag_full"] = _facet(FACET_FLAG, "specific_to_paper", full=True)
+    facets = f"facets as (select distinct qid, {FACET_FLAG} as specific_to_paper from judged_rows)"
+    o["facet_flag_topk"] = (
+        f"with {JUDGED_ROWS}, {VECTORS}, {QRELS}, {facets}, {_metrics('all_pairs', 'qrels')} "
+        f"select specific_to_paper, {MEANS} from per_query join facets using (qid) group by specific_to_paper")
     o["evaluation_report"] = f"""with {INDEX_RUN},
 both_runs as (
   select 'allowlist' as task, q_ord as qid, d_ord as did, score from allow_scores

@@ -72,8 +72,7 @@ def distinct_chunks(spark, d):
 
 @query
 def label_conflicts(spark, d):
-    found = index.label_conflicts(fx.text_pairs(spark, d), "row_no")
-    return found.select(tx.content_key("question", "chunk_text").alias("pair_key"), "first_label", "relevant")
+    return index.label_conflicts(fx.text_pairs(spark, d), "row_no")
 
 
 # --- Search --------------------------------------------------------------------------------------
@@ -109,12 +108,12 @@ def sample_outside_topk(spark, d):
 
 @query
 def full_corpus_scores(spark, d):
-    rows = fx.judged_rows(spark, d)
-    run = search.score_all(fx.query_vectors(spark, d), fx.doc_vectors(spark, d), digits=DIGITS)
-    judged = index.keep_first(rows, ["qid", "did"], "row_no").select(
-        "qid", "did", F.col("relevance_label").alias("first_label"))
-    return scores.full_corpus_table(
-        run, judged, scores.query_attributes(rows, "row_no", "qid"), scores.doc_sources(rows, "row_no", "did"))
+    rows = cut_lineage(fx.judged_rows(spark, d))
+    judged = index.keep_first(rows.select("qid", "did", "row_no", F.col("relevance_label").alias("first_label")),
+                              ["qid", "did"], "row_no")
+    queries = fx.query_vectors(spark, d).join(scores.query_attributes(rows, "row_no", "qid"), "qid", "left")
+    docs = fx.doc_vectors(spark, d).join(scores.doc_sources(rows, "row_no", "did"), "did", "left")
+    return scores.full_corpus_table(queries, docs, judged, digits=DIGITS)
 
 
 # --- Metrics -------------------------------------------------------------------------------------
@@ -186,13 +185,24 @@ def facet_flag_allow(spark, d):
 
 @query
 def facet_type_full(spark, d):
-    report = rank_metrics.metrics_by_question_type(_full_table(spark, d), "full", "row_no")
+    report = rank_metrics.metrics_by_question_type(_full_table(spark, d), "full", "row_no", unique=True)
     return rounded(report, *rank_metrics.metric_names())
 
 
 @query
 def facet_flag_full(spark, d):
-    report = rank_metrics.metrics_by_specific_flag(_full_table(spark, d), "full", "row_no")
+    report = rank_metrics.metrics_by_specific_flag(_full_table(spark, d), "full", "row_no", unique=True)
+    return rounded(report, *rank_metrics.metric_names())
+
+
+@query
+def facet_flag_topk(spark, d):
+    """Full-corpus metrics per flag without the table of all scores."""
+    rows = cut_lineage(fx.judged_rows(spark, d))
+    attributes = scores.query_attributes(rows, "row_no", "qid")
+    facets = attributes.withColumn("specific_to_paper", tx.yes_no("specific_to_paper"))
+    qrels = rows.where("relevance_label = 1").select("qid", "did")
+    report = rank_metrics.metrics_by_query_facet(_full_run(spark, d), qrels, facets, "specific_to_paper")
     return rounded(report, *rank_metrics.metric_names())
 
 

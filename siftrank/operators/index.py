@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftrank.functions.text import content_key, strip, to_int
 from siftrank.operators.prefix import positions
 from siftrank.operators.quality import require_columns
+from siftrank.session import cut_lineage
 
 
 def distinct_with_ids(df: DataFrame, text: str, row_no: str, prefix: str, ord_name: str,
@@ -64,12 +65,13 @@ class EvaluationIndex:
         per_query = self.judged.groupBy("qid").agg(
             F.count(F.lit(1)).alias("candidates"), F.max("relevant").alias("has_positive")
         )
-        docs = self.docs.agg(F.count(F.lit(1)).alias("num_docs"))
+        docs = self.judged.groupBy("did").count().agg(F.count(F.lit(1)).alias("num_docs"))
         totals = per_query.agg(
             F.count(F.lit(1)).alias("num_queries"),
             F.sum("has_positive").alias("num_with_positives"),
             F.avg("candidates").alias("avg_candidates"),
         )
+        # Two tables of one row each.
         one = F.lit(1).alias("_one")
         return totals.select(one, "*").join(docs.select(one, "*"), "_one").select(
             "num_queries", "num_docs", "num_with_positives", "avg_candidates"
@@ -93,57 +95,57 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
     """Evaluation index of a judged pair table.
 
     A query stays when its highest label is exactly 1 (``positive_rule='eq1'``) or at least 1
-    (``'ge1'``). Pairs travel under digests of their texts; the texts themselves are shuffled once,
-    in the distinct step.
+    (``'ge1'``). The input is read once to reduce each row to digests, label and row number; all
+    counting, numbering and joining runs on those. Texts are only fetched for the distinct queries
+    and documents, when they are used.
     """
     require_columns(df, [query_col, doc_col, label_col, row_no])
     top = {"eq1": F.col("top_label") == 1, "ge1": F.col("top_label") >= 1}[positive_rule]
-    pairs = clean_pairs(df, query_col, doc_col, label_col, row_no)
+    pairs = clean_pairs(df, query_col, doc_col, label_col, row_no).select(
+        "*", content_key("question").alias("q_key"), content_key("chunk_text").alias("d_key"))
+    narrow = cut_lineage(pairs.select("q_key", "d_key", "label", "row_no"))
 
-    kept = (
-        pairs.groupBy("question")
+    kept_queries = (
+        narrow.groupBy("q_key")
         .agg(F.min("row_no").alias("first_row"), F.max("label").alias("top_label"))
-        .where(top)
-        .select("question", "first_row")
+        .where(top).select("q_key", "first_row")
     )
-    if check_empty and kept.isEmpty():
+    query_ids = positions(kept_queries, ["first_row"], "q_ord").drop("first_row")
+    if check_empty and query_ids.isEmpty():
         raise ValueError("no query has a positive label")
-    queries = positions(kept, ["first_row"], "q_ord").select(
-        "q_ord", F.concat(F.lit("Q"), F.col("q_ord")).alias("qid"), "question",
-        content_key("question").alias("q_key"),
-    )
-    keyed = pairs.select(
-        content_key("question").alias("q_key"), "chunk_text", "label", "row_no",
-    ).join(queries.select("q_key", "q_ord"), "q_key")
+    kept = narrow.join(query_ids, "q_key").drop("q_key")
 
-    docs = distinct_with_ids(keyed, "chunk_text", "row_no", "D", "d_ord", "did").select(
-        "d_ord", "did", "chunk_text", content_key("chunk_text").alias("d_key")
-    )
+    first_docs = kept.groupBy("d_key").agg(F.min("row_no").alias("first_row"))
+    doc_ids = positions(first_docs, ["first_row"], "d_ord").drop("first_row")
     judged = (
-        keyed.select("q_ord", content_key("chunk_text").alias("d_key"), "label", "row_no")
-        .groupBy("q_ord", "d_key")
+        kept.groupBy("q_ord", "d_key")
         .agg(
             F.max((F.col("label") == 1).cast("int")).alias("relevant"),
             F.min_by("label", "row_no").alias("first_label"),
             F.min("row_no").alias("first_row"),
         )
-        .join(docs.select("d_key", "d_ord"), "d_key")
-        .select(
-            "q_ord", "d_ord",
-            F.concat(F.lit("Q"), F.col("q_ord")).alias("qid"),
-            F.concat(F.lit("D"), F.col("d_ord")).alias("did"),
-            "relevant", "first_label", "first_row",
-        )
+        .join(doc_ids, "d_key")
+        .select("q_ord", "d_ord", _id("Q", "q_ord").alias("qid"), _id("D", "d_ord").alias("did"),
+                "relevant", "first_label", "first_row")
     )
-    return EvaluationIndex(queries.drop("q_key"), docs.drop("d_key"), judged)
+    queries = pairs.select("q_key", "question").distinct().join(query_ids, "q_key").select(
+        "q_ord", _id("Q", "q_ord").alias("qid"), "question")
+    docs = pairs.select("d_key", "chunk_text").distinct().join(doc_ids, "d_key").select(
+        "d_ord", _id("D", "d_ord").alias("did"), "chunk_text")
+    return EvaluationIndex(queries, docs, judged)
+
+
+def _id(letter: str, number: str):
+    return F.concat(F.lit(letter), F.col(number).cast("string"))
 
 
 def label_conflicts(df: DataFrame, row_no: str, query_col: str = "Question",
                     doc_col: str = "chunk_text", label_col: str = "relevance_label") -> DataFrame:
-    """Pairs whose first label disagrees with "any row says relevant"."""
+    """Pairs, by digest, whose first label disagrees with "any row says relevant"."""
     pairs = clean_pairs(df, query_col, doc_col, label_col, row_no)
     return (
-        pairs.groupBy("question", "chunk_text")
+        pairs.select(content_key("question", "chunk_text").alias("pair_key"), "label", "row_no")
+        .groupBy("pair_key")
         .agg(F.min_by("label", "row_no").alias("first_label"),
              F.max((F.col("label") == 1).cast("int")).alias("relevant"))
         .where("(first_label = 1) <> (relevant = 1)")

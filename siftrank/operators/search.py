@@ -10,7 +10,7 @@ partial top-k leaves each task and a second step merges them.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,66 +19,84 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftrank.functions.text import seeded_order
 from siftrank.functions.vectors import dot, to_matrix
 from siftrank.operators.prefix import positions
+from siftrank.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage, estimated_bytes
 
 
 @dataclass(frozen=True)
 class SearchBudget:
     """Bounds of the block product."""
 
-    broadcast_bytes: int = 64 << 20  # query matrix that may be sent to every executor
-    cell_bytes: int = 32 << 20       # one side of a grid cell
-    block_scores: int = 1 << 21      # scores held at once inside a task
-    merge_buckets: int = 1           # first-level merge groups per query
+    broadcast_bytes: int = BROADCAST_BYTES  # query matrix that may be sent to every executor
+    cell_bytes: int = 32 << 20              # one side of a grid cell
+    block_scores: int = 1 << 21             # scores held at once inside a task
+    split_bytes: int = 128 << 20            # document bytes per task, to foresee the number of partials
+    partials_per_query: int = 256           # partial results per query that one merge step takes
 
 
 BUDGET = SearchBudget()
 
 SCORED = pa.schema([("qid", pa.int64()), ("did", pa.int64()), ("score", pa.float64()),
                     ("bucket", pa.int32())])
-SCORED_DDL = "qid bigint, did bigint, score double, bucket int"
 
 
 class _BestPerQuery:
-    """Best k documents of every query over the blocks seen so far, ties by document id."""
+    """Best k documents of every query over the blocks seen so far, ties by document id.
+
+    Candidates above a query's floor are collected and cut back to k per query whenever they have
+    doubled, so sorting stays a small part of the work.
+    """
 
     def __init__(self, k: int, num_queries: int):
         self.k = k
         self.floor = np.full(num_queries, -np.inf)
-        self.q = np.empty(0, np.int64)
-        self.d = np.empty(0, np.int64)
-        self.s = np.empty(0, np.float64)
-
-    def add(self, scores: np.ndarray, dids: np.ndarray) -> None:
-        floor = self.floor
-        if scores.shape[1] > self.k:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+        self.limit = 1 << 20
+
+    def add(self, start: int, scores: np.ndarray, dids: np.ndarray) -> None:
+        """Scores of the queries from number ``start`` on (rows) for some documents (columns)."""
+        floor = self.floor[start:start + len(scores)]
+        if scores.shape[1] > self.k and np.isneginf(floor).any():
             floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
         rows, cols = np.nonzero(scores >= floor[:, None])
-        q = np.concatenate([self.q, rows])
-        d = np.concatenate([self.d, dids[cols]])
-        s = np.concatenate([self.s, scores[rows, cols]])
+        if len(rows):
+            self.parts.append((rows + start, dids[cols], scores[rows, cols]))
+            self.held += len(rows)
+        if self.held > self.limit:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        q, d, s = (np.concatenate(columns) for columns in zip(*self.parts))
         order = np.lexsort((d, -s, q))
         q, d, s = q[order], d[order], s[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.empty(0, np.int64)
+        starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         counts = np.diff(np.r_[starts, len(q)])
-        place = np.arange(len(q)) - np.repeat(starts, counts)
-        keep = place < self.k
-        self.q, self.d, self.s = q[keep], d[keep], s[keep]
-        full = counts >= self.k
-        self.floor[q[starts[full]]] = s[starts[full] + self.k - 1]
-
-
-def _blocks(qmat: np.ndarray, dids: np.ndarray, dmat: np.ndarray, digits: int | None,
-            block_scores: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, block_scores // max(1, len(qmat)))
-    for start in range(0, len(dids), step):
-        scores = qmat @ dmat[start:start + step].T
-        if digits is not None:
-            scores = np.round(scores, digits)
-        yield scores, dids[start:start + step]
+        keep = np.arange(len(q)) - np.repeat(starts, counts) < self.k
+        full = starts[counts >= self.k]
+        self.floor[q[full]] = s[full + self.k - 1]
+        best = q[keep], d[keep], s[keep]
+        self.parts, self.held = [best], int(keep.sum())
+        self.limit = max(1 << 20, 2 * self.held)
+        return best
+
+
+def _blocks(qmat: np.ndarray, dmat: np.ndarray, digits: int | None, block_scores: int):
+    """``(first query, first document, scores)`` of tiles of at most ``block_scores`` scores."""
+    docs = min(len(dmat), max(512, block_scores // max(1, len(qmat))))
+    rows = max(1, block_scores // max(1, docs))
+    for d in range(0, len(dmat), docs):
+        for q in range(0, len(qmat), rows):
+            scores = qmat[q:q + rows] @ dmat[d:d + docs].T
+            if digits is not None:
+                scores = np.round(scores, digits) + 0.0
+            yield q, d, scores
 
 
 def _rows(qids: np.ndarray, dids: np.ndarray, scores: np.ndarray, bucket: int) -> pa.RecordBatch:
@@ -87,83 +105,117 @@ def _rows(qids: np.ndarray, dids: np.ndarray, scores: np.ndarray, bucket: int) -
          pa.array(np.full(len(qids), bucket, np.int32))], schema=SCORED)
 
 
-def _score_documents(qids, qmat, doc_batches, k, digits, block_scores, bucket):
-    """Record batches of scored pairs: all of them (k is None) or the best k per query."""
-    best = None if k is None else _BestPerQuery(k, len(qids))
+def _best_documents(qids, qmat, doc_batches, k, digits, block_scores, bucket):
+    """Record batches with the best k documents per query."""
+    best = _BestPerQuery(k, len(qids))
+    for dids, dmat in doc_batches:
+        for q, d, scores in _blocks(qmat, dmat, digits, block_scores):
+            best.add(q, scores, dids[d:d + scores.shape[1]])
+    q, d, s = best.cut()
+    for start in range(0, len(q), 1 << 18):
+        part = slice(start, start + (1 << 18))
+        yield _rows(qids[q[part]], d[part], s[part], bucket)
+
+
+def _all_documents(queries: pa.RecordBatch, qmat, doc_batches, digits, block_scores, schema):
+    """Record batches with the score of every query and document, and the columns either side carries.
+    Both sides have columns id, vector, then the carried ones."""
     for batch in doc_batches:
-        dids = batch.column(0).to_numpy(zero_copy_only=False)
-        for scores, ids in _blocks(qmat, dids, to_matrix(batch.column(1)), digits, block_scores):
-            if best is not None:
-                best.add(scores, ids)
-            else:
-                yield _rows(np.repeat(qids, len(ids)), np.tile(ids, len(qids)), scores.ravel(), bucket)
-    if best is not None and len(best.q):
-        yield _rows(qids[best.q], best.d, best.s, bucket)
+        for q, d, scores in _blocks(qmat, to_matrix(batch.column(1)), digits, min(block_scores, 1 << 18)):
+            rows, cols = scores.shape
+            of_query = pa.array(np.repeat(np.arange(q, q + rows), cols))
+            of_doc = pa.array(np.tile(np.arange(d, d + cols), rows))
+            yield pa.RecordBatch.from_arrays(
+                [queries.column(0).take(of_query), batch.column(0).take(of_doc), pa.array(scores.ravel()),
+                 *[c.take(of_query) for c in queries.columns[2:]],
+                 *[c.take(of_doc) for c in batch.columns[2:]]], names=schema)
 
 
-def _clean(df: DataFrame, key: str, vector: str) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias("_id"), F.col(vector).alias("_vec")).dropna()
+def _one_batch(table: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], names=table.column_names)
+
+
+def _multiply(queries: pa.RecordBatch, qmat, doc_batches, k, digits, block_scores, bucket, names):
+    filled = (b for b in doc_batches if b.num_rows)
+    if queries.num_rows == 0:
+        return
+    if k is None:
+        yield from _all_documents(queries, qmat, filled, digits, block_scores, names)
+    else:
+        matrices = ((b.column(0).to_numpy(zero_copy_only=False), to_matrix(b.column(1))) for b in filled)
+        yield from _best_documents(queries.column(0).to_numpy(zero_copy_only=False), qmat, matrices, k, digits,
+                                   block_scores, bucket)
+
+
+def _clean(df: DataFrame, key: str, vector: str, carry: Sequence[str] = ()) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("_id"), F.col(vector).alias("_vec"), *carry).dropna(
+        subset=["_id", "_vec"])
 
 
 def _scored_pairs(queries: DataFrame, docs: DataFrame, k: int | None, digits: int | None,
-                  budget: SearchBudget) -> DataFrame:
+                  budget: SearchBudget, buckets: int = 1) -> DataFrame:
+    """Partial top-k with bucket, or with ``k`` None all scores with the carried columns."""
+    carried = queries.schema.fields[2:] + docs.schema.fields[2:]
+    schema = T.StructType(
+        [T.StructField("qid", T.LongType()), T.StructField("did", T.LongType()), T.StructField("score", T.DoubleType())]
+        + ([T.StructField("bucket", T.IntegerType())] if k is not None else carried))
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("dim")).first()
     query_bytes = 8 * size.n * (size.dim or 0)
+    task = (k, digits, budget.block_scores, buckets, schema)
     if query_bytes <= budget.broadcast_bytes:
-        return _by_broadcast(queries, docs, k, digits, budget)
-    num_docs = docs.count()
+        return _by_broadcast(queries, docs, *task)
     query_cells = math.ceil(query_bytes / budget.cell_bytes)
-    doc_cells = max(1, math.ceil(8 * num_docs * size.dim / budget.cell_bytes))
-    return _by_grid(queries, docs, k, digits, budget, query_cells, doc_cells)
+    doc_cells = max(1, math.ceil(8 * docs.count() * size.dim / budget.cell_bytes))
+    return _by_grid(queries, docs, *task, query_cells, doc_cells)
 
 
-def _by_broadcast(queries, docs, k, digits, budget):
-    table = queries.toArrow()
-    sent = docs.sparkSession.sparkContext.broadcast(
-        (table.column(0).to_numpy(), to_matrix(table.column(1))))
-    block_scores, buckets = budget.block_scores, budget.merge_buckets
+def _by_broadcast(queries, docs, k, digits, block_scores, buckets, schema):
+    table = _one_batch(queries.toArrow())
+    sent = docs.sparkSession.sparkContext.broadcast((table, to_matrix(table.column(1))))
+    names = schema.fieldNames()
 
     def multiply(batches):
-        qids, qmat = sent.value
-        if len(qids) == 0:
-            return
+        table, qmat = sent.value
         bucket = TaskContext.get().partitionId() % buckets
-        yield from _score_documents(qids, qmat, (b for b in batches if b.num_rows), k, digits,
-                                    block_scores, bucket)
+        yield from _multiply(table, qmat, batches, k, digits, block_scores, bucket, names)
 
-    return docs.mapInArrow(multiply, SCORED_DDL)
+    return docs.mapInArrow(multiply, schema)
 
 
-def _by_grid(queries, docs, k, digits, budget, query_cells, doc_cells):
+def _by_grid(queries, docs, k, digits, block_scores, buckets, schema, query_cells, doc_cells):
     def laid(df, own, cells, other, other_cells):
         # Every row meets every cell of the other side; ids are unique, so hash cells are even.
-        return df.select("_id", "_vec", F.pmod(F.xxhash64("_id"), F.lit(cells)).alias(own),
+        return df.select("*", F.pmod(F.xxhash64("_id"), F.lit(cells)).cast("int").alias(own),
                          F.explode(F.sequence(F.lit(0), F.lit(other_cells - 1))).alias(other))
 
-    q = laid(queries, "qc", query_cells, "dc", doc_cells).withColumn("dc", F.col("dc").cast("bigint"))
-    d = laid(docs, "dc", doc_cells, "qc", query_cells).withColumn("qc", F.col("qc").cast("bigint"))
-    block_scores, buckets = budget.block_scores, budget.merge_buckets
+    q = laid(queries, "qc", query_cells, "dc", doc_cells)
+    d = laid(docs, "dc", doc_cells, "qc", query_cells)
+    names, q_columns, d_columns = schema.fieldNames(), queries.columns, docs.columns
+
+    def multiply(left: pa.Table, right: pa.Table):
+        if left.num_rows and right.num_rows:
+            bucket = int(right.column("dc")[0].as_py()) % buckets
+            table = _one_batch(left.select(q_columns))
+            yield from _multiply(table, to_matrix(table.column(1)), [_one_batch(right.select(d_columns))], k,
+                                 digits, block_scores, bucket, names)
 
-    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return SCORED.empty_table()
-        qids = left.column("_id").to_numpy()
-        bucket = int(right.column("dc")[0].as_py()) % buckets
-        docs_in_cell = right.select(["_id", "_vec"]).combine_chunks().to_batches()
-        return pa.Table.from_batches(
-            list(_score_documents(qids, to_matrix(left.column("_vec")), docs_in_cell, k, digits,
-                                  block_scores, bucket)), schema=SCORED)
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = list(multiply(left, right))
+        return pa.Table.from_batches(parts) if parts else pa.table({n: [] for n in names})
 
-    return q.groupBy("qc", "dc").cogroup(d.groupBy("qc", "dc")).applyInArrow(multiply, SCORED_DDL)
+    return q.groupBy("qc", "dc").cogroup(d.groupBy("qc", "dc")).applyInArrow(cell, schema)
 
 
 def score_all(queries: DataFrame, docs: DataFrame, qid: str = "qid", did: str = "did",
               query_vector: str = "embedding", doc_vector: str = "embedding",
-              digits: int | None = None, budget: SearchBudget = BUDGET) -> DataFrame:
-    """``(qid, did, score)`` of every query and document: as many rows as pairs."""
-    scored = _scored_pairs(_clean(queries, qid, query_vector), _clean(docs, did, doc_vector), None,
-                           digits, budget)
-    return scored.select(F.col("qid").alias(qid), F.col("did").alias(did), "score")
+              digits: int | None = None, query_columns: Sequence[str] = (),
+              doc_columns: Sequence[str] = (), budget: SearchBudget = BUDGET) -> DataFrame:
+    """``(qid, did, score)`` of every query and document: as many rows as pairs. ``query_columns`` and
+    ``doc_columns`` come along, so no attribute has to be joined to the product."""
+    scored = _scored_pairs(_clean(queries, qid, query_vector, query_columns),
+                           _clean(docs, did, doc_vector, doc_columns), None, digits, budget)
+    return scored.withColumnsRenamed({"qid": qid, "did": did})
 
 
 def top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: str = "did",
@@ -171,13 +223,15 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: st
           digits: int | None = None, budget: SearchBudget = BUDGET) -> DataFrame:
     """``(qid, did, score, rank)`` of the k best documents per query; fewer when there are fewer.
 
-    Keys are integers; equal scores rank by document key. ``merge_buckets`` above 1 merges the
-    partial results of many document partitions in two steps.
+    Keys are integers; equal scores rank by document key. Every document task leaves k rows per query;
+    when many tasks are expected these are merged in two steps.
     """
+    tasks = estimated_bytes(docs) // budget.split_bytes + 1
+    buckets = min(4096, math.isqrt(tasks)) if tasks > budget.partials_per_query else 1
     partial = _scored_pairs(_clean(queries, qid, query_vector), _clean(docs, did, doc_vector), k,
-                            digits, budget)
+                            digits, budget, buckets)
     best_first = [F.desc("score"), F.asc("did")]
-    if budget.merge_buckets > 1:
+    if buckets > 1:
         first = W.partitionBy("qid", "bucket").orderBy(*best_first)
         partial = partial.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= k)
     ranked = partial.select(
@@ -209,15 +263,15 @@ def with_context(hits: DataFrame, chunks: DataFrame, context: int = 1, file: str
     """Add to each hit the text of the chunks around it in its file, joined without separator.
 
     A hit asks for at most ``2 * context + 1`` chunks by (file, position), so no file is ever
-    gathered in one task.
+    gathered in one task. When a count shows the hits to be few they are broadcast.
     """
+    hits = cut_lineage(hits)
     wanted = hits.withColumn("_hit", F.struct(*hits.columns)).select(
         "_hit", F.col(file).alias("_file"),
         F.explode(F.sequence(F.col(pos) - context, F.col(pos) + context)).alias("_pos"))
-    found = wanted.join(
-        chunks.select(F.col(file).alias("_file"), F.col(pos).cast("bigint").alias("_pos"),
-                      F.col(text).alias("_text")),
-        ["_file", "_pos"])
+    texts = chunks.select(F.col(file).alias("_file"), F.col(pos).cast("bigint").alias("_pos"),
+                          F.col(text).alias("_text"))
+    found = texts.join(broadcast_if_small(wanted, row_bytes=256), ["_file", "_pos"])
     near = found.groupBy("_hit").agg(F.array_sort(F.collect_list(F.struct("_pos", "_text"))).alias("_near"))
     return near.select("_hit.*", F.array_join(F.col("_near._text"), "").alias("context"))
 

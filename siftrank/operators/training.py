@@ -70,14 +70,16 @@ def with_class_weights(pairs: DataFrame) -> DataFrame:
 
 
 def seeded_shuffle(rows: DataFrame, seed: int, keys: Sequence[str], name: str = "position") -> DataFrame:
-    """Rows with a reproducible random position from 0; ``keys`` identify a row."""
-    keyed = rows.withColumn("_shuffle", seeded_order(seed, *keys))
+    """Reproducible random position from 0 of every row, as ``(keys…, position)``; ``keys`` identify a
+    row. Only the keys are sorted."""
+    keyed = rows.select(*keys, seeded_order(seed, *keys).alias("_shuffle"))
     return positions(keyed, ["_shuffle", *keys], name).drop("_shuffle")
 
 
 def sample_rows(rows: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
     """Exactly ``n`` rows (all when there are fewer), chosen by a seeded shuffle."""
-    return seeded_shuffle(rows, seed, keys).where(F.col("position") < n).drop("position")
+    chosen = seeded_shuffle(rows, seed, keys).where(F.col("position") < n)
+    return rows.join(chosen, list(keys), "left_semi")
 
 
 def train_eval_split(rows: DataFrame, eval_fraction: float, seed: int, keys: Sequence[str],
@@ -92,5 +94,5 @@ def train_eval_split(rows: DataFrame, eval_fraction: float, seed: int, keys: Seq
         kept = min(kept, max_rows)
         shuffled = shuffled.where(F.col("position") < max_rows)
     num_eval = math.ceil(eval_fraction * kept) if eval_fraction else 0
-    return shuffled.withColumn(
-        "split", F.when(F.col("position") < num_eval, "eval").otherwise("train")).drop("position")
+    parts = shuffled.select(*keys, F.when(F.col("position") < num_eval, "eval").otherwise("train").alias("split"))
+    return rows.join(parts, list(keys))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from siftrank.functions import fixed_values as fv
 from siftrank.functions.text import content_key
-from siftrank.operators.models import Annotator, Retry, annotate
+from siftrank.operators.models import ANNOTATED, Annotator, Retry, annotate
 from siftrank.operators.search import top_k
+from siftrank.session import broadcast_if_small, cut_lineage
 from siftrank.sources.readers import CACHE_SCHEMA, read_reply_cache, read_store
 from siftrank.sources.writers import append_rows
 
@@ -28,11 +29,12 @@ def top_k_pairs(questions: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_D
     """Each question with its ``k`` best chunks.
 
     ``questions(q_ord, question, embedding, …)`` and ``chunks(c_ord, file_name, text, embedding)``.
-    Only ids and scores pass through the ranking; texts are joined to the k winners.
+    Only ids and scores pass through the ranking; texts are joined to the k winners. When a count
+    shows the winners to be few they are broadcast, so the chunk texts need no shuffle.
     """
-    hits = top_k(questions, chunks, k, "q_ord", "c_ord", digits=digits)
-    found = hits.join(chunks.select("c_ord", F.col("file_name").alias("filename"),
-                                    F.col("text").alias("chunk_text")), "c_ord")
+    hits = cut_lineage(top_k(questions, chunks, k, "q_ord", "c_ord", digits=digits))
+    texts = chunks.select("c_ord", F.col("file_name").alias("filename"), F.col("text").alias("chunk_text"))
+    found = texts.join(broadcast_if_small(hits, row_bytes=64), "c_ord")
     return found.join(questions.drop("embedding"), "q_ord")
 
 
@@ -98,9 +100,10 @@ class AnnotationJob:
 
     def run(self, pairs: DataFrame, make_annotator: Callable[[], Annotator], retry: Retry = Retry(),
             concurrency: int = fv.CALL_CONCURRENCY) -> None:
+        staging = f"{self.cache_path.rstrip('/')}_replies"
+        self._recover(staging)
         pending = pending_pairs(pairs, self.done())
         _, unknown = split_by_cache(pending, read_reply_cache(self.spark, self.cache_path))
-        staging = f"{self.cache_path.rstrip('/')}_replies"
         fresh = annotate(unknown, make_annotator, retry=retry, concurrency=concurrency)
         fresh.select(*REPLY_COLUMNS).write.mode("overwrite").parquet(staging)
         replies = self.spark.read.parquet(staging)
@@ -109,6 +112,13 @@ class AnnotationJob:
         answers = known.unionByName(replies.where("status <> 'ok'"))
         append_rows(pending.join(answers, "pair_key"), self.output_path)
 
+    def _recover(self, staging: str) -> None:
+        """Replies of a run that stopped before it added them to the cache."""
+        kept = read_store(self.spark, staging, f"pair_key string, {ANNOTATED}", missing_ok=True).where("status = 'ok'")
+        lost = kept.join(read_reply_cache(self.spark, self.cache_path), "pair_key", "left_anti")
+        if not lost.isEmpty():
+            append_rows(lost.select("pair_key", "thought", "response"), self.cache_path)
+
 
 def pair_counts(pairs: DataFrame, done: DataFrame, cache: DataFrame) -> DataFrame:
     """One row: pairs, pairs still to process, and distinct calls the cache does not save."""

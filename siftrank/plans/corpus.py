@@ -21,7 +21,7 @@ def pending_files(docs: DataFrame, progress: DataFrame) -> DataFrame:
 
 def build_chunks(docs: DataFrame, make_encoder: Callable[[], Encoder],
                  min_tokens: int = fv.STORE_MIN_TOKENS, **encode_options) -> DataFrame:
-    """``(file_name, pos, text, num_tokens, embedding)`` of the documents."""
+    """``(file_name, pos, text, num_tokens, embedding)`` of the documents, in one stage without shuffle."""
     return encode(chunk_paragraphs(docs, min_tokens), "text", make_encoder, **encode_options)
 
 
@@ -29,8 +29,7 @@ class ChunkStore:
     """Parquet chunk table plus a table of documents that yield no chunk.
 
     A document is done when it is in either table, so there is no progress file that could disagree
-    with the chunks after a crash. ``batch_id`` partitions the table: repeating a batch replaces
-    its folder.
+    with the chunks after a crash: a write is committed as a whole or not at all.
     """
 
     def __init__(self, spark, folder: str):

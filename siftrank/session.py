@@ -1,10 +1,13 @@
-"""Session helpers: checkpoint folder and size estimates."""
+"""Session helpers: checkpoint folder, size estimates and checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -24,3 +27,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size the optimizer expects, from file sizes; an upper guess where it knows nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint when a count proves that ``df`` stays below ``max_bytes``; otherwise ``df`` as
+    it is, to be joined by shuffle. ``df`` should be cheap to count, e.g. a checkpointed result."""
+    allowed = max_bytes // row_bytes
+    return F.broadcast(df) if df.limit(allowed + 1).count() <= allowed else df
