@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftrank.functions.text import seeded_order
 from siftrank.functions.vectors import dot, to_matrix
@@ -192,6 +193,7 @@ def _by_grid(queries, docs, k, digits, block_scores, buckets, schema, query_cell
     q = laid(queries, "qc", query_cells, "dc", doc_cells)
     d = laid(docs, "dc", doc_cells, "qc", query_cells)
     names, q_columns, d_columns = schema.fieldNames(), queries.columns, docs.columns
+    empty = to_arrow_schema(schema).empty_table()
 
     def multiply(left: pa.Table, right: pa.Table):
         if left.num_rows and right.num_rows:
@@ -202,7 +204,7 @@ def _by_grid(queries, docs, k, digits, block_scores, buckets, schema, query_cell
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = list(multiply(left, right))
-        return pa.Table.from_batches(parts) if parts else pa.table({n: [] for n in names})
+        return pa.Table.from_batches(parts) if parts else empty
 
     return q.groupBy("qc", "dc").cogroup(d.groupBy("qc", "dc")).applyInArrow(cell, schema)
 

@@ -103,7 +103,7 @@ def read_reply_cache(spark: SparkSession, path: str) -> DataFrame:
 
 def count_json_entries(spark: SparkSession, path: str) -> int:
     """Entries of a JSON object file ``{key: [thought, reply]}``."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = F.size(F.map_keys(F.from_json("value", "map<string,array<string>>")))
     return text.agg(F.sum(entries)).first()[0] or 0
 
@@ -112,7 +112,7 @@ def read_json_reply_cache(spark: SparkSession, path: str) -> DataFrame:
     """Reply cache kept as one JSON object ``{"[question, chunk]": [thought, reply]}``."""
     from siftrank.functions.text import content_key
 
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     entries = text.select(F.explode(F.from_json("value", "map<string,array<string>>")))
     pair = F.from_json("key", "array<string>")
     return entries.select(content_key(pair[0], pair[1]).alias("pair_key"),
