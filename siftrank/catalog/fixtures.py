@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftrank.session import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -67,7 +69,7 @@ def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
              .when(flag == "A", "0.9").otherwise("n/a"))
     lines = table(spark, folder, "lineitem").select(
         "l_suppkey", "l_linenumber", "l_partkey", line_no().alias("row_no"), label.alias("relevance_label"))
-    return lines.join(turns, ["l_suppkey", "l_linenumber"]).join(docs, "l_partkey").select(
+    return spread(lines).join(turns, ["l_suppkey", "l_linenumber"]).join(docs, "l_partkey").select(
         "row_no", "Question", "chunk_text", "relevance_label")
 
 

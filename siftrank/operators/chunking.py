@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siftrank.functions import fixed_values as fv
 from siftrank.functions.text import strip
+from siftrank.session import spread
 
 
 def paragraph_groups(text: str | None, min_tokens: int) -> Iterator[tuple[str, int]]:
@@ -43,8 +44,8 @@ def chunk_array(text, min_tokens: int):
 
 def chunk_paragraphs(docs: DataFrame, min_tokens: int = fv.CHUNK_MIN_TOKENS, file: str = "file_name",
                      text: str = "text_data") -> DataFrame:
-    """``(file, pos, text, num_tokens)``: the chunks of each document in order. No shuffle."""
-    return docs.select(file, F.posexplode(chunk_array(F.col(text), min_tokens)).alias("pos", "_chunk")).select(
+    """``(file, pos, text, num_tokens)``: the chunks of each document in order."""
+    return spread(docs.select(file, text)).select(file, F.posexplode(chunk_array(F.col(text), min_tokens)).alias("pos", "_chunk")).select(
         file, "pos", "_chunk.text", "_chunk.num_tokens")
 
 
@@ -59,7 +60,7 @@ def chunk_size_sweep(docs: DataFrame, candidates: Sequence[int] = fv.CHUNK_SIZE_
         kind = pa.list_(pa.struct([("min_tokens", pa.int32()), ("chunks", pa.int64()), ("tokens", pa.int64())]))
         return pa.array([_count_chunks(t, sizes) for t in texts.to_pylist()], type=kind)
 
-    per_doc = docs.select(F.explode(measure(F.col(text))).alias("_m")).select("_m.*")
+    per_doc = spread(docs.select(text)).select(F.explode(measure(F.col(text))).alias("_m")).select("_m.*")
     return per_doc.groupBy("min_tokens").agg(
         F.coalesce(F.try_divide(F.sum("tokens"), F.sum("chunks")), F.lit(0.0)).alias("avg_tokens"),
         F.sum("chunks").alias("num_chunks"))

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from siftrank.functions.text import seeded_order
 from siftrank.functions.vectors import dot, to_matrix
 from siftrank.operators.prefix import positions
-from siftrank.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage, estimated_bytes
+from siftrank.session import BROADCAST_BYTES, SPLIT_BYTES, broadcast_if_small, cut_lineage, input_bytes, spread
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ class SearchBudget:
     broadcast_bytes: int = BROADCAST_BYTES  # query matrix that may be sent to every executor
     cell_bytes: int = 32 << 20              # one side of a grid cell
     block_scores: int = 1 << 21             # scores held at once inside a task
-    split_bytes: int = 128 << 20            # document bytes per task, to foresee the number of partials
+    split_bytes: int = SPLIT_BYTES          # document bytes per task, to foresee the number of partials
     partials_per_query: int = 256           # partial results per query that one merge step takes
 
 
@@ -181,7 +181,7 @@ def _by_broadcast(queries, docs, k, digits, block_scores, buckets, schema):
         bucket = TaskContext.get().partitionId() % buckets
         yield from _multiply(table, qmat, batches, k, digits, block_scores, bucket, names)
 
-    return docs.mapInArrow(multiply, schema)
+    return spread(docs).mapInArrow(multiply, schema)
 
 
 def _by_grid(queries, docs, k, digits, block_scores, buckets, schema, query_cells, doc_cells):
@@ -228,7 +228,7 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: st
     Keys are integers; equal scores rank by document key. Every document task leaves k rows per query;
     when many tasks are expected these are merged in two steps.
     """
-    tasks = estimated_bytes(docs) // budget.split_bytes + 1
+    tasks = input_bytes(docs) // budget.split_bytes + 1
     buckets = min(4096, math.isqrt(tasks)) if tasks > budget.partials_per_query else 1
     partial = _scored_pairs(_clean(queries, qid, query_vector), _clean(docs, did, doc_vector), k,
                             digits, budget, buckets)

@@ -21,7 +21,7 @@ def pending_files(docs: DataFrame, progress: DataFrame) -> DataFrame:
 
 def build_chunks(docs: DataFrame, make_encoder: Callable[[], Encoder],
                  min_tokens: int = fv.STORE_MIN_TOKENS, **encode_options) -> DataFrame:
-    """``(file_name, pos, text, num_tokens, embedding)`` of the documents, in one stage without shuffle."""
+    """``(file_name, pos, text, num_tokens, embedding)`` of the documents, chunked and encoded in one stage."""
     return encode(chunk_paragraphs(docs, min_tokens), "text", make_encoder, **encode_options)
 
 

@@ -3,35 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
+SPLIT_BYTES = 128 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a temporary folder only on a local master."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only on a local master."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="siftrank-checkpoint-")
-    sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the written copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and continue from that table.
 
+    Unlike a checkpointed RDD the table is columnar, so later steps read only the columns they need, and
+    its size is known to the optimizer. It outlives executors.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/siftrank-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Size the optimizer expects, from file sizes; an upper guess where it knows nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables ``df`` is computed from, as far as the optimizer knows them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, for costly work per row, when the input has few splits for its cluster. A large
+    table is read in enough tasks and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = input_bytes(df) // SPLIT_BYTES + 1
+    return df.repartition(cores) if splits * 4 <= cores else df
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
