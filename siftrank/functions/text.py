@@ -17,9 +17,14 @@ def _col(c: ColumnOrName) -> Column:
 
 
 def strip(c: ColumnOrName) -> Column:
-    """Remove Unicode white space from both ends. Trimming copies the text, so it is left to the texts
-    that begin or end with white space."""
-    text, blanks = _col(c), F.lit(fv.WHITESPACE)
+    """Remove Unicode white space from both ends."""
+    return F.trim(_col(c), F.lit(fv.WHITESPACE))
+
+
+def strip_long(name: str) -> Column:
+    """``strip`` for a column of long texts. Trimming walks and copies the whole text, so it is left to
+    the texts that begin or end with white space."""
+    text, blanks = F.col(name), F.lit(fv.WHITESPACE)
     ends = reduce(lambda a, b: a | b, [text.endswith(blank) for blank in fv.WHITESPACE])
     outer = blanks.contains(F.substring(text, 1, 1)) | ends
     return F.when(outer, F.trim(text, blanks)).otherwise(text)

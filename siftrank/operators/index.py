@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.functions.text import content_key, strip, to_int
+from siftrank.functions.text import content_key, strip_long, to_int
 from siftrank.operators.prefix import positions
 from siftrank.operators.quality import require_columns
 from siftrank.session import cut_lineage
@@ -82,8 +82,8 @@ def clean_pairs(df: DataFrame, query_col: str, doc_col: str, label_col: str,
                 row_no: str) -> DataFrame:
     """Rows with all three values present, texts stripped, label as int."""
     return df.dropna(subset=[query_col, doc_col, label_col]).select(
-        strip(query_col).alias("question"),
-        strip(doc_col).alias("chunk_text"),
+        strip_long(query_col).alias("question"),
+        strip_long(doc_col).alias("chunk_text"),
         to_int(label_col).alias("label"),
         F.col(row_no).cast("bigint").alias("row_no"),
     )
