@@ -131,9 +131,11 @@ def _facet(expr: str, out: str, full: bool) -> str:
         parts = (f"{rows}, {labels}, f_run as (select facet, qid, did, score from all_pairs join facets using (qid)), "
                  "f_qrels as (select facet, qid, did from first_label join facets using (qid) where lab = 1)")
     else:
-        # Keys of the allowlist table are texts, so ties follow text order.
-        parts = (f"{rows}, {ALLOW}, f_run as (select facet, qid, did::varchar as did, score from allow_run join facets using (qid)), "
-                 "f_qrels as (select facet, qid, did::varchar as did from judged_rows join facets using (qid) where relevance_label = 1)")
+        # Equal scores rank by the first row of the document.
+        firsts = "firsts as (select qid, did, min(row_no) as first_row from judged_rows group by qid, did)"
+        parts = (f"{rows}, {ALLOW}, {firsts}, "
+                 "f_run as (select facet, qid, first_row as did, score from allow_run join facets using (qid) join firsts using (qid, did)), "
+                 "f_qrels as (select facet, qid, first_row as did from judged_rows join facets using (qid) join firsts using (qid, did) where relevance_label = 1)")
     label = TITLES if out == '"Question_type"' else "facet"
     return (f"with {JUDGED_ROWS}, {VECTORS}, {parts}, {_metrics('f_run', 'f_qrels', 'facet')} "
             f"select 'base' as model, {label} as {out}, {MEANS} from per_query group by facet")

@@ -16,10 +16,16 @@ from siftrank.session import cut_lineage
 
 def distinct_with_ids(df: DataFrame, text: str, row_no: str, prefix: str, ord_name: str,
                       id_name: str) -> DataFrame:
-    """Distinct texts in order of first appearance, numbered densely from 0."""
-    firsts = df.groupBy(text).agg(F.min(row_no).alias("first_row"))
-    numbered = positions(firsts, ["first_row"], ord_name)
-    return numbered.withColumn(id_name, F.concat(F.lit(prefix), F.col(ord_name).cast("string")))
+    """Distinct texts in order of first appearance, numbered densely from 0.
+
+    Digests are grouped and numbered; each text is then fetched from the row it first appeared in, so
+    ``row_no`` has to be unique.
+    """
+    rows = df.select(F.col(text), F.col(row_no).alias("first_row"))
+    firsts = rows.groupBy(content_key(text).alias("_key")).agg(F.min("first_row").alias("first_row"))
+    numbered = positions(firsts.select("first_row"), ["first_row"], ord_name)
+    return rows.join(numbered, "first_row").select(
+        text, "first_row", ord_name, _id(prefix, ord_name).alias(id_name))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], row_no: str) -> DataFrame:
@@ -97,7 +103,7 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
     A query stays when its highest label is exactly 1 (``positive_rule='eq1'``) or at least 1
     (``'ge1'``). The input is read once to reduce each row to digests, label and row number; all
     counting, numbering and joining runs on those. Texts are only fetched for the distinct queries
-    and documents, when they are used.
+    and documents, when they are used. ``row_no`` has to be unique.
     """
     require_columns(df, [query_col, doc_col, label_col, row_no])
     top = {"eq1": F.col("top_label") == 1, "ge1": F.col("top_label") >= 1}[positive_rule]
@@ -110,13 +116,13 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
         .agg(F.min("row_no").alias("first_row"), F.max("label").alias("top_label"))
         .where(top).select("q_key", "first_row")
     )
-    query_ids = positions(kept_queries, ["first_row"], "q_ord").drop("first_row")
+    query_ids = positions(kept_queries, ["first_row"], "q_ord")
     if check_empty and query_ids.isEmpty():
         raise ValueError("no query has a positive label")
-    kept = narrow.join(query_ids, "q_key").drop("q_key")
+    kept = narrow.join(query_ids.select("q_key", "q_ord"), "q_key").drop("q_key")
 
     first_docs = kept.groupBy("d_key").agg(F.min("row_no").alias("first_row"))
-    doc_ids = positions(first_docs, ["first_row"], "d_ord").drop("first_row")
+    doc_ids = positions(first_docs, ["first_row"], "d_ord")
     judged = (
         kept.groupBy("q_ord", "d_key")
         .agg(
@@ -124,13 +130,16 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
             F.min_by("label", "row_no").alias("first_label"),
             F.min("row_no").alias("first_row"),
         )
-        .join(doc_ids, "d_key")
+        .join(doc_ids.select("d_key", "d_ord"), "d_key")
         .select("q_ord", "d_ord", _id("Q", "q_ord").alias("qid"), _id("D", "d_ord").alias("did"),
                 "relevant", "first_label", "first_row")
     )
-    queries = pairs.select("q_key", "question").distinct().join(query_ids, "q_key").select(
+    # The text of an id is in the row where it first appeared.
+    queries = pairs.select("question", F.col("row_no").alias("first_row")).join(
+        query_ids.select("first_row", "q_ord"), "first_row").select(
         "q_ord", _id("Q", "q_ord").alias("qid"), "question")
-    docs = pairs.select("d_key", "chunk_text").distinct().join(doc_ids, "d_key").select(
+    docs = pairs.select("chunk_text", F.col("row_no").alias("first_row")).join(
+        doc_ids.select("first_row", "d_ord"), "first_row").select(
         "d_ord", _id("D", "d_ord").alias("did"), "chunk_text")
     return EvaluationIndex(queries, docs, judged)
 

@@ -69,9 +69,10 @@ def split_by_cache(pending: DataFrame, cache: DataFrame) -> tuple[DataFrame, Dat
 
 def annotate_pairs(pairs: DataFrame, make_annotator: Callable[[], Annotator], done: DataFrame,
                    cache: DataFrame | None = None, **options) -> DataFrame:
-    """New pairs with thought and response, as one lazy plan: skip what is done, look replies up in
-    the cache, ask the model once per distinct remaining pair, join the replies back."""
-    pending = pending_pairs(pairs, done)
+    """New pairs with thought and response: skip what is done, look replies up in the cache, ask the
+    model once per distinct remaining pair, join the replies back. The pending pairs are written once,
+    because three steps read them; the model is asked when the result is used."""
+    pending = cut_lineage(pending_pairs(pairs, done))
     if cache is None:
         cache = pairs.sparkSession.createDataFrame([], CACHE_SCHEMA)
     known, unknown = split_by_cache(pending, cache)
@@ -102,7 +103,7 @@ class AnnotationJob:
             concurrency: int = fv.CALL_CONCURRENCY) -> None:
         staging = f"{self.cache_path.rstrip('/')}_replies"
         self._recover(staging)
-        pending = pending_pairs(pairs, self.done())
+        pending = cut_lineage(pending_pairs(pairs, self.done()))
         _, unknown = split_by_cache(pending, read_reply_cache(self.spark, self.cache_path))
         fresh = annotate(unknown, make_annotator, retry=retry, concurrency=concurrency)
         fresh.select(*REPLY_COLUMNS).write.mode("overwrite").parquet(staging)
