@@ -9,6 +9,7 @@ partitions before it are added to a running total inside the partition.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,7 +31,7 @@ def running_totals(
 
     ``totals`` maps a new column to the column it sums. ``next_row`` maps a new column to the
     column whose value it takes from the following row. (group, order) must be unique per row,
-    so rows that tie have to be aggregated first.
+    so rows that tie have to be aggregated first. NULL is a group of its own.
     """
     group, order, next_row = list(group), list(order), dict(next_row or {})
     laid = cut_lineage(
@@ -47,15 +48,16 @@ def running_totals(
     by_piece = W.partitionBy(*group).orderBy(PIECE) if group else W.partitionBy(F.lit(0)).orderBy(PIECE)
     before = by_piece.rowsBetween(W.unboundedPreceding, -1)
     offsets = pieces.select(
-        *group,
-        PIECE,
+        *[F.col(c).alias(f"_of_{c}") for c in [*group, PIECE]],
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
         *([F.lead("_first").over(by_piece).alias("_next_piece")] if next_row else []),
     )
 
     inside = W.partitionBy(*group, PIECE).orderBy(*order)
     to_here = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = laid.join(offsets, [*group, PIECE])
+    same_piece = reduce(lambda a, b: a & b,
+                        [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in [*group, PIECE]])
+    joined = laid.join(offsets, same_piece)
     return joined.select(
         *df.columns,
         *[(F.sum(v).over(to_here) + F.col(f"_before_{n}")).alias(n) for n, v in totals.items()],
