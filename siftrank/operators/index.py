@@ -134,13 +134,12 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
         .select("q_ord", "d_ord", _id("Q", "q_ord").alias("qid"), _id("D", "d_ord").alias("did"),
                 "relevant", "first_label", "first_row")
     )
-    # The text of an id is in the row where it first appeared.
-    queries = pairs.select("question", F.col("row_no").alias("first_row")).join(
-        query_ids.select("first_row", "q_ord"), "first_row").select(
-        "q_ord", _id("Q", "q_ord").alias("qid"), "question")
-    docs = pairs.select("chunk_text", F.col("row_no").alias("first_row")).join(
-        doc_ids.select("first_row", "d_ord"), "first_row").select(
-        "d_ord", _id("D", "d_ord").alias("did"), "chunk_text")
+    # The text of an id is in the row where it first appeared; only those rows are stripped again.
+    rows = df.withColumn("first_row", F.col(row_no).cast("bigint"))
+    queries = rows.select(query_col, "first_row").join(query_ids.select("first_row", "q_ord"), "first_row").select(
+        "q_ord", _id("Q", "q_ord").alias("qid"), strip_long(query_col).alias("question"))
+    docs = rows.select(doc_col, "first_row").join(doc_ids.select("first_row", "d_ord"), "first_row").select(
+        "d_ord", _id("D", "d_ord").alias("did"), strip_long(doc_col).alias("chunk_text"))
     return EvaluationIndex(queries, docs, judged)
 
 
