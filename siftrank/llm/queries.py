@@ -17,6 +17,13 @@ def register(function):
     return function
 
 
+@register
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
 @register
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.exact_dedup import exact_dedup
