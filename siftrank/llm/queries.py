@@ -17,6 +17,21 @@ def register(function):
     return function
 
 
+def _remainder(divisor: int):
+    """The remainder of crc32 of the document id as text, which says what is held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+@register
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.language import fit, identify
+
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = fit(documents.where(_remainder(3) != 1))
+    return identify(documents, model).withColumnRenamed("key", "doc_id").select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "phrases", "letters")
+
+
 @register
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.near_dedup import near_dedup
@@ -24,6 +39,14 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
 
 
+@register
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, folder, "documents")).select(
+        F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @register
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.exact_dedup import exact_dedup
