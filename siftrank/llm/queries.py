@@ -39,6 +39,28 @@ def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(table(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
 
 
+@register
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.toxicity import fit, score_toxicity
+
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "toxic").where(_remainder(5) != 0)
+    scored = score_toxicity(documents, fit(documents, labels)).withColumnRenamed("key", "doc_id")
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+
+
+@register
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.pii import BASE, find_pii, joined
+
+    found = find_pii(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
 @register
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.substring_dedup import substring_dedup

@@ -32,22 +32,28 @@ def mix(h: np.ndarray) -> np.ndarray:
 @dataclass
 class Words:
     """Words of a batch of texts. ``first`` has len(texts) + 1 entries: the words of text i are
-    first[i]:first[i + 1]."""
+    first[i]:first[i + 1]. ``begin`` has the byte at which each text begins."""
 
     data: bytes
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    begin: np.ndarray
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
 class WordHasher:
-    """Words and their hashes; ``lower`` makes A-Z equal to a-z. Make one per task."""
-
-    def __init__(self, lower: bool) -> None:
+    """Words and their hashes; ``lower`` makes A-Z equal to a-z, ``apart`` tells which bytes part words (space and
+    0x09-0x0D, unless given). Make one per task."""
+
+    def __init__(self, lower: bool, apart: np.ndarray | None = None) -> None:
+        if apart is None:
+            apart = np.zeros(256, dtype=bool)
+            apart[32] = apart[9:14] = True
+        self.apart = apart
         self.values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
         if lower:
             self.values[65:91] = self.values[97:123]
@@ -63,7 +69,7 @@ class WordHasher:
 
     def _piece(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = np.zeros(len(data) + 2, dtype=bool)
-        inside[1:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        inside[1:-1] = ~self.apart[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         start, end = edges[0::2], edges[1::2]
         if len(data) > len(self.power):
@@ -80,8 +86,7 @@ class WordHasher:
             stop = min(at + PIECE_BYTES, len(data))
             reach = 4096
             while stop < len(data):  # to the next space
-                ahead = data[stop : stop + reach]
-                gap = np.flatnonzero((ahead == 32) | ((ahead >= 9) & (ahead <= 13)))
+                gap = np.flatnonzero(self.apart[data[stop : stop + reach]])
                 if len(gap):
                     stop += int(gap[0])
                     break
@@ -101,7 +106,7 @@ class WordHasher:
         start, end, h = self.hashes(np.frombuffer(data, dtype=np.uint8))
         begins = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
-        return Words(data, start, end, h, np.searchsorted(start, begins))
+        return Words(data, start, end, h, np.searchsorted(start, begins), begins[:-1])
 
 
 def slices(texts: Sequence[bytes | None], max_bytes: int = BATCH_BYTES) -> Iterator[slice]:
