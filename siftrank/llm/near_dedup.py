@@ -75,15 +75,16 @@ def _full_sets(size: int):
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Signatures of 1024 bins, one byte each."""
-    signer = Signer(WIDE_BINS)
+    """The buckets of a node, and its signature of 1024 bins, one byte each."""
+    narrow, signer = Signer(), Signer(WIDE_BINS)
     for batch in batches:
         nodes, lists = batch.column(0), batch.column(1)
         for begin in range(0, len(nodes), 1000):
             sets = [np.asarray(x.values).view(np.uint64) for x in lists[begin : begin + 1000]]
-            signs = signer.signatures(sets)
+            signs = (signer.signatures(sets) & np.uint64(255)).astype(np.uint8)
+            bands = narrow.bands(narrow.signatures(sets))
             yield pa.RecordBatch.from_arrays(
-                [nodes[begin : begin + 1000], _binary((signs & np.uint64(255)).astype(np.uint8))], ["node", "wide"])
+                [nodes[begin : begin + 1000], _binary(bands.view(np.uint8)), _binary(signs)], ["node", "bands", "wide"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -95,6 +96,8 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     def pairs(rows: pa.Table) -> pa.RecordBatch:
         node, comp, block = (rows.column(c).to_pylist() for c in ("node", "component", "block"))
         wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), dtype=np.int64).reshape(len(node), -1)
+        bucket = rows.column("bucket")[0].as_py()
         codes = {c: i for i, c in enumerate(dict.fromkeys(comp))}
         comp, block = np.array([codes[c] for c in comp]), np.array(block)
         same_block = block.min() == block.max()
@@ -105,7 +108,10 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                 other &= block[i + 1 :] != block[i]
             j = np.flatnonzero(other) + i + 1
             if len(j):
-                for k in j[(wide[j] == wide[i]).mean(axis=1) >= least]:
+                j = j[(wide[j] == wide[i]).mean(axis=1) >= least]
+                same = bands[j] == bands[i]
+                # A pair counts in the first bucket that it shares.
+                for k in j[bands[i][same.argmax(axis=1)] == bucket]:
                     a, b = sorted((node[i], node[k]))
                     out_a.append(a)
                     out_b.append(b)
@@ -148,7 +154,7 @@ def _leftover(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     mixed = (placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
                                           F.count(F.lit(1)).alias("n"))
              .where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    wide = sets.mapInArrow(_wide, "node binary, wide binary")
+    wide = sets.mapInArrow(_wide, "node binary, bands binary, wide binary")
     # Each block meets itself and each other block of its bucket in a cell of its own.
     rows = (placed.join(mixed, "bucket")
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
