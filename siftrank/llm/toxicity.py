@@ -2,14 +2,15 @@
 
 A token's weight is the log-odds of its occurrence in texts labelled toxic against others, with a Dirichlet prior in
 proportion to its frequency in both, lowered by ``SIGMAS`` standard errors and by a constant cost, so that the expected
-weight is negative. A linear scan finds every maximal segment of positive sum. The sum of a segment follows
-an extreme-value law in clean text: at least x is expected SCALE * tokens * exp(-rate * x) times, where the rate is that
-at which the weights' exponential moment over clean tokens is one. Segments expected less than once are significant;
-a text's evidence adds up how far they are beyond that, and a logistic curve through the labelled texts turns
-evidence into a probability.
-
-Tokens (lower-cased runs of ASCII letters and digits and all other non-ASCII bytes) are counted in 2**20 hash
-buckets, so the model has a fixed size however large the vocabulary is.
+weight is negative. A linear scan finds every maximal segment of positive sum. In clean text the sum follows
+an extreme-value law: at least x is expected scale * tokens * exp(-rate * x) times. The rate is that at which the weights'
+exponential moment over clean tokens is one, the scale comes from the segments of all texts labelled clean.
+A text's evidence is that of its best r segments together, for the r that gives most: how unlikely it is
+that so many of that sum come by chance. A logistic curve through the labelled texts turns evidence into a probability.
+
+Tokens are lower-cased runs of ASCII letters and digits and all other non-ASCII bytes. A token has the largest weight
+of its stems of 4, 5 and 7 bytes, as many languages build words from stems. Stems are counted in
+2**20 hash buckets, so the model has a fixed size however large the vocabulary is.
 """
 
 from __future__ import annotations
@@ -23,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.words import WordHasher, slices
-from siftrank.session import broadcast_if_small
+from siftrank.llm.words import WordHasher, slices, window_hashes
+from siftrank.session import broadcast_if_small, cut_lineage
 
 BUCKET_BITS = 20
+STEMS = (4, 5, 7)
 PRIOR = 5_000.0
-SIGMAS = 2.0
+SIGMAS = 3.0
 COST = 0.5
-SCALE = 0.1
 BIN = 0.25
 BINS = 400
+#: A scale is read off only where so many clean segments are left.
+TAIL = 20
 
 
 def token_hasher() -> WordHasher:
@@ -43,10 +46,11 @@ def token_hasher() -> WordHasher:
 
 @dataclass
 class Model:
-    """Weight of each bucket, the extreme-value rate, and the logistic curve's slope and height."""
+    """Weight of each bucket, the extreme-value law, and the logistic curve's slope and height."""
 
     weights: np.ndarray
     rate: float
+    scale: float = 0.1
     slope: float = 0.0
     height: float = 0.0
 
@@ -112,39 +116,106 @@ class Scorer:
 
     def score(self, texts: list[bytes | None]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
         """Per text its evidence and its passages (start, end in code points, expected number in clean text)."""
-        words = self.hasher.words(texts)
-        weights = self.model.weights[(words.hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-        up = np.concatenate(([0], np.cumsum(weights > 0)))
-        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
-            evidence, found = 0.0, []
-            for s, e, x in segments(weights[a:b]) if up[b] > up[a] else ():
-                beyond = self.model.rate * x - math.log(SCALE * (b - a))
-                if beyond > 0:
-                    evidence += beyond
-                    found.append((int(words.start[a + s] - words.begin[i]), int(words.end[a + e - 1] - words.begin[i]),
-                                  math.exp(-beyond)))
+        for i, n, sums, places in self._segments(texts):
+            expected = np.minimum(self.model.scale * n * np.exp(-self.model.rate * sums), 1.0)
+            order = np.argsort(expected, kind="stable")
+            r = np.arange(1, len(order) + 1)
+            together = -r * np.log(expected[order] + 1e-300) + np.cumsum(np.log(r))
+            evidence = float(together.max(initial=0.0))
+            # Of the r segments that give the evidence, none is less likely than chance to be meant.
+            best = order[: int(together.argmax()) + 1] if evidence > 0 else []
+            found = sorted((*places[j], float(expected[j])) for j in best)
             if found:  # byte offsets to code points
                 lead = np.concatenate(([0], np.cumsum((np.frombuffer(texts[i], np.uint8) & 0xC0) != 0x80)))
                 found = [(int(lead[s]), int(lead[e]), x) for s, e, x in found]
             yield evidence, found
 
+    def _segments(self, texts: list[bytes | None]):
+        """Per text its number, its tokens, the sums of its segments and their places in bytes."""
+        words = self.hasher.words(texts)
+        weights = None
+        for size in STEMS:
+            own = self.model.weights[_bucket(self.hasher.stems(words, size))]
+            weights = own if weights is None else np.maximum(weights, own)
+        up = np.concatenate(([0], np.cumsum(weights > 0)))
+        for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
+            found = segments(weights[a:b]) if up[b] > up[a] else []
+            begin = words.begin[i]
+            places = [(int(words.start[a + s] - begin), int(words.end[a + e - 1] - begin)) for s, e, _ in found]
+            yield i, b - a, np.array([x for _, _, x in found]), places
+
+    def clean_tail(self, texts: list[bytes | None]) -> tuple[np.ndarray, int]:
+        """Segments by the bin of rate * sum, and tokens."""
+        tail, tokens = np.zeros(BINS, np.int64), 0
+        for _, n, sums, _ in self._segments(texts):
+            tokens += n
+            if len(sums):
+                tail += np.bincount(np.minimum(BINS - 1, self.model.rate * sums / BIN).astype(int), minlength=BINS)
+        return tail, tokens
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The smallest hash of a text's 5-word sequences, which copies and most near copies share."""
+    hasher = token_hasher()
+    for batch in batches:
+        texts, out = batch.column(1).to_pylist(), []
+        for part in slices(texts):
+            words = hasher.words(texts[part])
+            every = window_hashes(words.hash, 5)
+            for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                own = every[a : b - 4] if b - a >= 5 else window_hashes(words.hash[a:b], max(1, b - a))
+                out.append(own.min() if len(own) else np.uint64(0))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64)), batch.column(2)], ["key", "sketch", "toxic"])
+
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean texts each bucket occurs."""
+    """Occurrences of each bucket in toxic and clean texts; n of them in one text count 1 + floor(log2(n))."""
     hasher, size = token_hasher(), 1 << BUCKET_BITS
     counts = np.zeros(2 * size, np.int64)
     for batch in batches:
         texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         for part in slices(texts):
             words = hasher.words(texts[part])
-            bucket = (words.hash >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-            once = np.unique(words.doc() * size + bucket)
-            counts += np.bincount(toxic[part][once // size] * size + once % size, minlength=2 * size)
+            doc, length = words.doc(), words.end - words.start
+            keys = []
+            for size_before, stem in zip((0, *STEMS), STEMS):
+                longer = length > size_before  # shorter words are counted with the stem before
+                keys.append(doc[longer] * size + _bucket(hasher.stems(words, stem))[longer])
+            once, n = np.unique(np.concatenate(keys), return_counts=True)
+            weight = 1 + np.log2(n).astype(np.int64)
+            at = toxic[part][once // size] * size + once % size
+            counts += np.bincount(at, weights=weight, minlength=2 * size).astype(np.int64)
     used = np.flatnonzero(counts[:size] + counts[size:])
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used + size]), pa.array(counts[used])],
                                      ["bucket", "toxic", "clean"])
 
 
+def _tail(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, tail, tokens = Scorer(model.value), np.zeros(BINS, np.int64), 0
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for part in slices(texts):
+                more, n = scorer.clean_tail(texts[part])
+                tail, tokens = tail + more, tokens + n
+        bins = np.append(np.flatnonzero(tail), -1)
+        yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), pa.array(np.append(tail[bins[:-1]], tokens))],
+                                         ["bin", "n"])
+    return run
+
+
+def tail_scale(bins: np.ndarray, tokens: int) -> float:
+    """The largest scale that any height of the law asks for, where at least ``TAIL`` clean segments are as high."""
+    beyond = np.cumsum(bins[::-1])[::-1]
+    scale = beyond / max(tokens, 1) * np.exp(np.arange(len(bins)) * BIN)
+    return float(max(scale[beyond >= TAIL].max(initial=0.0), 1e-9, TAIL / max(tokens, 1)))
+
+
 def _evidence(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
@@ -175,13 +246,19 @@ def logistic(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float,
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Learn from all documents that ``labels`` marks 0 or 1. Counts of at most 2**20 buckets and 400 bins of evidence
-    come to the driver. Rows without key or label count nowhere; a document with several labels counts with each."""
+    """Learn from the documents that ``labels`` marks 0 or 1. Documents that share their smallest sequence hash, as copies
+    do, count as one with the label of most of them: otherwise the words of a text with many copies look telling.
+    Counts of at most 2**20 buckets and 400 bins come to the driver. Rows without key or label count nowhere; a
+    document with several labels counts with each."""
     spark = documents.sparkSession
-    marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("long").alias("toxic")).where(
+    marks = labels.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{label}`").cast("long").alias("toxic")).where(
         "toxic in (0, 1) and key is not null")
-    rows = documents.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("text")).join(
-        broadcast_if_small(marks, 24), "key").select("text", "toxic")
+    texts = documents.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
+    marked = texts.join(broadcast_if_small(marks, 24), "key").select("key", "text", "toxic")
+    groups = marked.mapInArrow(_sketch, "key long, sketch long, toxic long").groupBy("sketch").agg(
+        F.min("key").alias("key"), (F.avg("toxic") >= 0.5).cast("long").alias("toxic"))
+    chosen = cut_lineage(groups.select("key", "toxic"))
+    rows = texts.join(broadcast_if_small(chosen, 24), "key").select("text", "toxic")
     table = (rows.mapInArrow(_count, "bucket long, toxic long, clean long").groupBy("bucket")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow())
     counts = np.zeros((2, 1 << BUCKET_BITS))
@@ -189,6 +266,13 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
         counts[i, table["bucket"].to_numpy()] = table[name].to_numpy()
     model = weigh(counts[0], counts[1])
     shared = spark.sparkContext.broadcast(model)
+    tail = (rows.where("toxic = 0").mapInArrow(_tail(shared), "bin int, n long").groupBy("bin")
+            .agg(F.sum("n").alias("n")).collect())
+    bins = np.zeros(BINS)
+    for r in tail:
+        bins[r.bin] += r.n if r.bin >= 0 else 0
+    model.scale = tail_scale(bins, sum(r.n for r in tail if r.bin < 0))
+    shared = spark.sparkContext.broadcast(model)
     bins = (rows.mapInArrow(_evidence(shared), "bin int, toxic long").groupBy("bin")
             .agg(F.sum("toxic").alias("ones"), F.count(F.lit(1)).alias("n")).collect())
     if bins:
@@ -218,7 +302,8 @@ def _score(model):
 
 def score_toxicity(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, score, passages) for each row of ``documents``: the probability that the label is 1, and the significant toxic
-    passages (start, end in code points, expected number of such in a clean text of that length) in order.
+    passages (start, end in code points, expected number of such in a clean text of that length) in order that make
+    up its evidence.
     NULL, empty and blank texts have no evidence and get the curve's height; a model of no or one-sided labels
     gives the same score to all. NULL keys and repeated rows pass through, other columns are not looked at."""
     rows = documents.select(F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{key}`").alias("key"))

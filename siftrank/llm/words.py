@@ -77,7 +77,21 @@ class WordHasher:
         total = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(self.values[data] * self.power[: len(data)], out=total[1:])
         h = (total[end] - total[start]) * self.inverse[start]
-        return start, end, mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return start, end, self._finish(h, end - start)
+
+    @staticmethod
+    def _finish(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return mix(h + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    def stems(self, words: Words, size: int) -> np.ndarray:
+        """Hash of the first ``size`` bytes of each word, the word's own where it is not longer."""
+        data = np.frombuffer(words.data, dtype=np.uint8)
+        length = np.minimum(words.end - words.start, size)
+        h = np.zeros(len(length), dtype=np.uint64)
+        for i in range(size):
+            more = length > i
+            h[more] += self.values[data[words.start[more] + i]] * self.power[i]
+        return self._finish(h, length)
 
     def hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and hash of each word of a byte buffer."""
