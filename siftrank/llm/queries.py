@@ -43,6 +43,18 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(format_chat(conversations.unionByName(more)))
 
 
+@register
+def op4_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.fingerprint import fingerprints, likeness
+
+    rows = fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select(
+        F.col("key").alias("doc_id"), F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness(F.col("digests"), F.col("edited_digests")).alias("near_edited"),
+        likeness(F.col("digests"), F.col("next_digests")).alias("near_next"))
+
+
 @register
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.near_dedup import near_dedup
