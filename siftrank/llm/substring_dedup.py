@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftrank.llm.words import WordHasher, slices, window_hashes
+from siftrank.llm.words import WordHasher, mix, slices, window_hashes
 from siftrank.session import broadcast_if_small, cut_lineage
 
 WINDOW = 13
@@ -137,25 +137,46 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
             yield row["kind"], mark, path, rid, np.frombuffer(row["pos"], "<u4")
 
 
-def _by_document(rid: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(rid, order=("key", "print"), kind="stable")
+def _replies(rid: np.ndarray, pos: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Places found, packed into one row for each part of the documents."""
+    part = (mix(rid["key"].view(np.uint64) ^ rid["print"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part, rid, pos = part[order], rid[order], pos[order]
+    begins = np.append(_starts(part), len(part))
+    spans = list(zip(begins[:-1], begins[1:]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[begins[:-1]].astype(np.int32)), pa.array([rid[a:b].tobytes() for a, b in spans], pa.binary()),
+         pa.array([pos[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())], ["part", "rid", "pos"])
+
+
+_REPLY = "part int, rid binary, pos binary"
+_FOUND = "key long, print long, found array<int>"
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per document of a part, with all places found in it."""
+    rids, places = [], []
+    for batch in batches:
+        rids += [np.frombuffer(x, _RID) for x in batch.column("rid").to_pylist()]
+        places += [np.frombuffer(x, "<u4") for x in batch.column("pos").to_pylist()]
+    if not rids:
+        return
+    rid, pos = np.concatenate(rids), np.concatenate(places)
+    order = np.lexsort((rid["print"], rid["key"]))
     rid, pos = rid[order], pos[order]
     starts = _starts(rid)
     ends = np.append(starts, len(rid)).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(pos.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(rid["key"][starts]), pa.array(rid["print"][starts]), lists],
-                                      ["key", "print", "found"])
-
-
-_FOUND = "key long, print long, found array<int>"
+    yield pa.RecordBatch.from_arrays([pa.array(rid["key"][starts]), pa.array(rid["print"][starts]), lists],
+                                     ["key", "print", "found"])
 
 
-def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer_anchors(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Anchors that more than one text has."""
     marks, rids, places = [], [], []
     for kind, mark, _, rid, pos in _gather(batches):
         if kind == 1:
-            yield _by_document(rid, pos)
+            yield _replies(rid, pos, parts)
         else:
             marks.append(mark)
             rids.append(rid)
@@ -170,15 +191,14 @@ def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     known = (mark & np.uint64(1)).astype(bool)
     asked = np.repeat((sizes > 1) | known[starts + sizes - 1], sizes) & ~known
     if asked.any():
-        yield _by_document(rid[asked], pos[asked])
+        yield _replies(rid[asked], pos[asked], parts)
 
 
 def _surviving(block: _Block, rows: pa.RecordBatch) -> np.ndarray:
     """Indexes into ``block.at`` of the windows whose anchor repeats."""
     grams = block.grams()
     found = rows.column("found").to_pylist()
-    places = [np.concatenate([np.asarray(p, dtype=np.int64) for p in f]) + a if f else np.zeros(0, np.int64)
-              for f, a in zip(found, block.first[:-1])]
+    places = [np.asarray(f or [], dtype=np.int64) + a for f, a in zip(found, block.first[:-1])]
     # An anchor counts in the documents for which it was found, at each of its places there.
     marks = [np.unique(grams[p]) for p in places]
     anchor = grams[block.anchors()] if len(block.at) else np.zeros(0, np.uint64)
@@ -269,7 +289,7 @@ def common_prefixes(path: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(min(1, len(path)), depth.dtype), depth))
 
 
-def _subtrees(window: int):
+def _subtrees(window: int, parts: int):
     """Windows that a text with a smaller key has too, from the deep nodes of the group's subtrees."""
     def tree(marks, paths, rids, places) -> Iterator[pa.RecordBatch]:
         path, mark = np.concatenate(paths), np.concatenate(marks)
@@ -282,7 +302,7 @@ def _subtrees(window: int):
         least = np.repeat(rid["key"][node], np.diff(np.append(node, len(mark))))
         gone = rid["key"] > least
         if gone.any():
-            yield _by_document(rid[gone], pos[gone])
+            yield _replies(rid[gone], pos[gone], parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, ([], [], [], [])
@@ -290,7 +310,7 @@ def _subtrees(window: int):
             groups = batch.column("grp").to_pylist()
             for grp, (kind, mark, path, rid, pos) in zip(groups, _gather(iter([batch]))):
                 if kind == 1:
-                    yield _by_document(rid, pos)
+                    yield _replies(rid, pos, parts)
                     continue
                 if grp != last and held[0]:
                     yield from tree(*held)
@@ -321,8 +341,7 @@ def _cut(window: int):
                         keep[:] = False
                     elif found[i]:
                         every = window_hashes(words.hash[a:b], window)
-                        pos = np.concatenate([np.asarray(p, dtype=np.int64) for p in found[i]])
-                        at = np.flatnonzero(np.isin(every, every[pos]))
+                        at = np.flatnonzero(np.isin(every, every[np.asarray(found[i], dtype=np.int64)]))
                         edge = np.zeros(n + 1, np.int64)
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + window, -1)
@@ -368,9 +387,8 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     single = rows.join(near_copies, ["key", "print"], "left_anti")
 
     asked = single.select("key", "print", "text").mapInArrow(_ask_anchors(window, parts), _ENTRY)
-    repeated = (asked.repartition(parts, "grp").mapInArrow(_answer_anchors, _FOUND)
-                .groupBy("key", "print").agg(F.collect_list("found").alias("found")))
-    repeated = cut_lineage(repeated)
+    answers = asked.repartition(parts, "grp").mapInArrow(lambda rows: _answer_anchors(rows, parts), _REPLY)
+    repeated = cut_lineage(answers.repartition(parts, "part").mapInArrow(_by_document, _FOUND))
     near = broadcast_if_small(repeated.select("key", "print"), 24)
     suspects = cut_lineage(single.join(near, ["key", "print"], "left_semi").join(repeated, ["key", "print"])
                            .select("key", "print", "text", "found"))
@@ -383,14 +401,13 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     heavy = {n: np.array([r.prefix for r in many if r.length == n], np.int64).view(np.uint64) for n in LENGTHS}
     groups = max(parts, total // group_suffixes + 1)
     sent = suspects.mapInArrow(_send_suffixes(window, groups, heavy), _ENTRY)
-    gone = (sent.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_subtrees(window), _FOUND)
-            .groupBy("key", "print").agg(F.collect_list("found").alias("found")))
-    gone = cut_lineage(gone)
+    replies = sent.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_subtrees(window, parts), _REPLY)
+    gone = cut_lineage(replies.repartition(parts, "part").mapInArrow(_by_document, _FOUND))
 
     near_gone = broadcast_if_small(gone.select("key", "print"), 24)
     whole = (rows.join(near_gone, ["key", "print"], "left_anti")
              .join(near_copies.withColumn("copy", F.lit(True)), ["key", "print"], "left")
-             .select("key", "text", F.lit(None).cast("array<array<int>>").alias("found"),
+             .select("key", "text", F.lit(None).cast("array<int>").alias("found"),
                      F.coalesce("copy", F.lit(False)).alias("copy")))
     damaged = suspects.select("key", "print", "text").join(gone, ["key", "print"]).select(
         "key", "text", "found", F.lit(False).alias("copy"))
