@@ -316,8 +316,8 @@ def _subtrees(window: int, parts: int):
                     yield from tree(*held)
                     held = ([], [], [], [])
                 last = grp
-                for parts, x in zip(held, (mark, path.reshape(-1, window), rid, pos)):
-                    parts.append(x)
+                for own, x in zip(held, (mark, path.reshape(-1, window), rid, pos)):
+                    own.append(x)
         if held[0]:
             yield from tree(*held)
     return run
