@@ -1,11 +1,68 @@
-"""Corpus pipeline over ``documents``."""
+"""The corpus pipeline: documents in a known language, no copies, no near copies, sources mixed, packed.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns the rows that go on, with the columns of ``docs``; the last one returns
+the packing plan. Column ``doc_id`` names a document; after mixing it may repeat.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftrank.llm.exact_dedup import exact_dedup
+from siftrank.llm.language import UNDETERMINED, fit, identify
+from siftrank.llm.mixing import mix_sources
+from siftrank.llm.near_dedup import near_dedup
+from siftrank.llm.packing import count_words, pack
+from siftrank.llm.tables import table
+from siftrank.session import broadcast_if_small, cut_lineage
+
+#: A text of this many letters or more that needs more phrases than this share of its letters is in no learned language.
+LETTERS = 20
+PHRASES = 0.6
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach. Texts without letters go, and longer texts that
+    no language explains better than letter by letter."""
+    model = fit(docs)
+    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
+    known = (F.col("lang_pred") != UNDETERMINED) & (
+        (F.col("letters") < LETTERS) | (F.col("phrases") <= PHRASES * F.col("letters")))
+    return identify(whole, model, key="row").where(known).select("key.*")
+
+
+def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, that with the largest id."""
+    return exact_dedup(docs).where("kept").select("row.*")
+
+
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id."""
+    gone = cut_lineage(near_dedup(docs).where(~F.col("kept")).select(F.col("key").alias("doc_id")).distinct())
+    return docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated, or left out, towards their source's target share, and shuffled."""
+    return mix_sources(docs).select("row.*")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 2048 words; copies of a document never share one."""
+    plan = pack(docs, count_words(F.col("text")), F.md5(F.coalesce("text", F.lit(""))))
+    return plan.withColumnRenamed("key", "doc_id")
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", one_of_each_text), ("near_dedup", one_of_near_copies),
+          ("mix_sources", mixed), ("best_fit_packing", packed)]
+
+#: Language ID, near-duplicate components and packing have no counterpart in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut_lineage(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,3 +8,25 @@ select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
        doc_id = max(doc_id) over g as kept, text_sha256
 from d window g as (partition by text_sha256)
 """
+
+ORACLE["op2_mix_sources"] = """
+with sizes as (
+  select source, sum(greatest(length(coalesce(text, '')), 1)) as size from documents group by source),
+weighted as (select source, size, pow(size::double, 0.7) as weight from sizes),
+rates as (
+  select source, weight / (select sum(weight) from weighted) * (select sum(size) from weighted) / size as rate
+  from weighted),
+steps as (
+  select source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) as p
+  from rates, unnest(range(0, 400)) as t(k) where k <= ceil(rate + 12 * sqrt(rate) + 20)),
+cdf as (select source, k, sum(p) over (partition by source order by k) as cdf from steps),
+drawn as (
+  select doc_id, source,
+         (('0x' || substr(md5('17:' || doc_id), 1, 13))::bigint + 0.5) / 4503599627370496.0 as u from documents),
+counted as (
+  select d.doc_id, d.source, count(*) as n_copies
+  from drawn d join cdf c on d.source is not distinct from c.source and c.cdf <= d.u group by all)
+select doc_id, source, copy, n_copies,
+       ('0x' || substr(md5('17 place:' || doc_id || ':' || copy), 1, 15))::bigint as place
+from counted, unnest(range(0, n_copies)) as t(copy)
+"""

@@ -32,6 +32,15 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "phrases", "letters")
 
 
+@register
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.mixing import mix_sources
+
+    documents = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mix_sources(documents).select(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "copy", "n_copies", "place")
+
+
 @register
 def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.chat import format_chat, read_back
@@ -79,11 +88,21 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 
     found = find_pii(table(spark, folder, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(F.array_remove(F.transform("spans", lambda s: s["kind"] == F.lit(k)), F.lit(False))).cast("long")
+              .alias(f"n_{k}") for k in BASE]
     return found.select(F.col("key").alias("doc_id"), *counts, F.sha2(joined(base), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"))
 
 
+@register
+def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.packing import count_words, pack
+
+    documents = table(spark, folder, "documents").select("doc_id", "text", "source")
+    packed = pack(documents, count_words(F.col("text")), F.md5(F.coalesce("text", F.lit(""))))
+    return packed.withColumnRenamed("key", "doc_id")
+
+
 @register
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.substring_dedup import substring_dedup
