@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,10 @@ SAMPLE_TEXTS = 48
 TEXT_CHARS = 2_000
 SAMPLE_LETTERS = 48_000
 MAX_LANGUAGES = 64
+#: Letters with a code of their own, shared codes for all others, and entries of the whole table (4 bytes each).
+LETTERS = 150
+SHARED = 16
+TABLE_ENTRIES = 1 << 26
 UNDETERMINED = "und"
 PIECE = 512
 #: Bits that count as one doubling of the odds; phrases are not independent, so more than one.
@@ -77,7 +82,7 @@ def suffix_automaton(codes: list[int]) -> tuple[list[dict[int, int]], int]:
 @dataclass
 class Model:
     """``table`` holds 2 * (first entry of the next state) + (a phrase ends); ``roots`` the languages' first entries.
-    Letters have codes from 1 in the order of ``alphabet``, 0 is a gap, len(alphabet) + 1 any other letter."""
+    Letters have codes from 1 in the order of ``alphabet``, 0 is a gap, other letters share ``SHARED`` more codes."""
 
     languages: list[str]
     alphabet: str
@@ -86,11 +91,19 @@ class Model:
     bits: np.ndarray
 
 
+def letter_code(letter: str, known: dict[str, int]) -> int:
+    return known.get(letter) or len(known) + 1 + ord(letter) % SHARED
+
+
 def build(samples: dict[str, str]) -> Model:
-    """The model of normalised sample texts by language."""
-    alphabet = "".join(sorted({c for text in samples.values() for c in text} - {" "}))
-    code = {" ": 0} | {c: i + 1 for i, c in enumerate(alphabet)}
-    width = len(alphabet) + 2
+    """The model of normalised sample texts by language. With many languages each sample is cut to its share of the table."""
+    often = Counter(c for text in samples.values() for c in text if c != " ")
+    alphabet = "".join(sorted(sorted(often, key=lambda c: (-often[c], c))[:LETTERS]))
+    known = {c: i + 1 for i, c in enumerate(alphabet)}
+    code = {" ": 0} | {c: letter_code(c, known) for c in often}
+    width = len(alphabet) + 1 + SHARED
+    share = TABLE_ENTRIES // (2 * width * max(1, len(samples)))  # an automaton has at most two states a letter
+    samples = {k: text[:share] for k, text in samples.items()}
     parts, roots, bits, begin = [], [], [], 0
     for text in samples.values():
         go, _ = suffix_automaton([code[c] for c in text])
@@ -105,8 +118,6 @@ def build(samples: dict[str, str]) -> Model:
         roots.append(begin)
         bits.append(math.log2(len(text) + 2))
         begin += table.size
-    if begin >= 1 << 30:
-        raise ValueError("the model is too large; lower SAMPLE_LETTERS")
     table = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
     return Model(list(samples), alphabet, table, np.array(roots, np.int64), np.array(bits))
 
@@ -143,23 +154,22 @@ class Parser:
         self.model = model
         self.codes = np.full(0x110000, 255, dtype=np.uint8)
         self.known = {c: i + 1 for i, c in enumerate(model.alphabet)}
-        self.other = len(model.alphabet) + 1
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of all texts with gaps folded, and where each text begins (one entry more than texts)."""
-        points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        """Codes of all texts, and where each text begins (one entry more than texts). Gaps are folded, none begins a text,
+        and one ends each text with letters, so the codes of a text do not depend on its neighbours."""
+        points = np.frombuffer("".join(t + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")
         code = self.codes[points]
         new = np.flatnonzero(code == 255)
         if len(new):
             for p in np.unique(points[new]).tolist():
                 low = _letter(chr(p))
-                self.codes[p] = self.known.get(low, self.other) if low else 0
+                self.codes[p] = letter_code(low, self.known) if low else 0
             code = self.codes[points]
         keep = code != 0
         keep[1:] |= code[:-1] != 0
         begins = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=begins[1:])
-        begins[-1] -= 1
         before = np.zeros(len(points) + 1, dtype=np.int64)
         np.cumsum(keep, out=before[1:])
         return code[keep], before[begins]
@@ -227,6 +237,6 @@ def identify(documents: DataFrame, model: Model, text: str = "text", key: str =
     A text that is NULL or has no letter is ``und`` with score 0, and so is every text when nothing was
     learned. Whole texts are parsed. No other column is looked at; NULL keys and repeated rows pass through."""
     rows = documents.select(F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{key}`").alias("key"))
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MAX_LANGUAGES * SAMPLE_LETTERS states
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most TABLE_ENTRIES * 4 bytes
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_predict(shared), f"key {kind}, lang_pred string, score double, phrases long, letters long")
