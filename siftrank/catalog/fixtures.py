@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.session import spread
+from siftrank.operators.prefix import positions
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def line_no() -> F.Column:
-    """Row number of an order line. Order and line number repeat in the data, so a few bits drawn from the
-    other keys tell such lines apart."""
-    bits = F.md5(F.concat_ws(":", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")))
-    return ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 1048576
-            + F.conv(F.substring(bits, 1, 5), 16, 10).cast("bigint"))
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Order lines with a dense row number in the order of all columns used here. Lines that agree in all of them get
+    different numbers, too; which gets which makes no difference."""
+    used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
+    return positions(table(spark, folder, "lineitem").select(used), used, "row_no")
 
 
 def judged_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,11 +33,9 @@ def judged_rows(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("s_acctbal") < 0, "FALSE").when(F.col("s_acctbal") < 4000, "1")
         .when(F.col("s_acctbal") < 7000, "true").otherwise(" no ").alias("specific_to_paper"))
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey",
-                                                    "l_linestatus", "l_quantity")
-    return lines.join(query, "l_suppkey").join(doc, "l_partkey").join(supplier, "l_suppkey").join(
+    return lines(spark, folder).join(query, "l_suppkey").join(doc, "l_partkey").join(supplier, "l_suppkey").join(
         part, "l_partkey").select(
-        F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("did"), line_no().alias("row_no"),
+        F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("did"), "row_no",
         (F.col("q_label") == F.col("d_label")).cast("int").alias("relevance_label"),
         "Question_type", "specific_to_paper",
         F.when(F.col("l_linestatus") == "O", "").otherwise(F.col("p_brand")).alias("IPAC_filename"))
@@ -67,9 +64,8 @@ def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
     flag = F.col("l_returnflag")
     label = (F.when((flag == "R") & (F.col("l_quantity") >= 50), "2").when(flag == "R", " 1")
              .when(flag == "A", "0.9").otherwise("n/a"))
-    lines = table(spark, folder, "lineitem").select(
-        "l_suppkey", "l_linenumber", "l_partkey", line_no().alias("row_no"), label.alias("relevance_label"))
-    return spread(lines).join(turns, ["l_suppkey", "l_linenumber"]).join(docs, "l_partkey").select(
+    rows = lines(spark, folder).select("l_suppkey", "l_linenumber", "l_partkey", "row_no", label.alias("relevance_label"))
+    return rows.join(turns, ["l_suppkey", "l_linenumber"]).join(docs, "l_partkey").select(
         "row_no", "Question", "chunk_text", "relevance_label")
 
 

@@ -19,17 +19,17 @@ def _sql_text(value: str) -> str:
 
 # --- Fixtures ------------------------------------------------------------------------------------
 
-LINE_NO = ("((l_orderkey * 16 + l_linenumber) * 1048576 + "
-           "('0x' || substr(md5(concat_ws(':', l_partkey, l_suppkey, l_quantity::int)), 1, 5))::bigint)")
+LINES = """(select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus)
+    - 1 as row_no from lineitem) as lines"""
 
 JUDGED_ROWS = f"""
 judged_rows as (
-  select l_suppkey as qid, l_partkey as did, {LINE_NO} as row_no,
+  select l_suppkey as qid, l_partkey as did, row_no,
     case when q.label = d.label then 1 else 0 end as relevance_label,
     case n_regionkey when 0 then ' Factual' when 1 then 'factual ' when 2 then 'how-to' else 'Open question' end as "Question_type",
     case when s_acctbal < 0 then 'FALSE' when s_acctbal < 4000 then '1' when s_acctbal < 7000 then 'true' else ' no ' end as specific_to_paper,
     case when l_linestatus = 'O' then '' else p_brand end as "IPAC_filename"
-  from lineitem
+  from {LINES}
   join embeddings q on q.vec_id = l_suppkey
   join embeddings d on d.vec_id = l_partkey
   join supplier on s_suppkey = l_suppkey
@@ -43,9 +43,9 @@ all_pairs as (select qid, did, round(list_dot_product(qv.v, dv.v), 6) + 0.0 as s
 
 TEXT_PAIRS = f"""
 text_pairs as (
-  select {LINE_NO} as row_no, ' ' || c.text || chr(10) as "Question", d.text as chunk_text,
+  select row_no, ' ' || c.text || chr(10) as "Question", d.text as chunk_text,
     case when l_returnflag = 'R' and l_quantity >= 50 then 2 when l_returnflag = 'R' then 1 else 0 end as label
-  from lineitem
+  from {LINES}
   join conversations c on c.conv_id = l_suppkey and c.turn = l_linenumber
   join documents d on d.doc_id = l_partkey),
 clean as (
@@ -216,7 +216,7 @@ from graded"""
 
 
 TOPK_PAIRS = f"""{_chunks(str(fv.STORE_MIN_TOKENS))},
-store as (select doc_id * 1000000 + pos as c_ord, file_name, text, {_letters('text')} as v from chunks),
+store as (select row_number() over (order by doc_id, pos) - 1 as c_ord, file_name, text, {_letters('text')} as v from chunks),
 asked as (select item_id as q_ord, text as question, {_letters('text')} as v from benchmark),
 placed as (
   select q_ord, c_ord, score, row_number() over (partition by q_ord order by score desc, c_ord) as rank
@@ -260,8 +260,14 @@ select sha256(concat(question, chr(30), chunk_text)) as pair_key, first_label, r
     o["topk_search"] = f"""with {VECTORS}
 select qid, did, score, rank from (select *, row_number() over (partition by qid order by score desc, did) as rank from all_pairs)
 where rank <= {fv.RETRIEVAL_DEPTH}"""
+    o["topk_unclean"] = f"""with {VECTORS},
+clean as (select vec_id as did from embeddings where not (vec_id % 3 = 0 and label % 5 in (1, 2, 3)))
+select qid, did, score, rank from (
+  select *, row_number() over (partition by qid order by score desc, did) as rank from all_pairs join clean using (did))
+where rank <= {fv.RETRIEVAL_DEPTH}"""
+    o["unclean_vectors"] = """select vec_id, 'not finite' as problem from embeddings where embedding[1] < 0 or embedding[2] < 0"""
     o["topk_with_context"] = f"""with
-turns as (select conv_id * 1000 + turn as c_ord, conv_id, turn, {_letters('text')} as v,
+turns as (select row_number() over (order by conv_id, turn, text) - 1 as c_ord, conv_id, turn, {_letters('text')} as v,
     coalesce(lag(text) over w, '') || text || coalesce(lead(text) over w, '') as context
   from conversations window w as (partition by conv_id order by turn)),
 asked as (select item_id, {_letters('text')} as v from benchmark)
@@ -272,13 +278,11 @@ where rank <= 5"""
     o["sample_outside_topk"] = f"""with {VECTORS},
 numbered as (select did, row_number() over (order by did) - 1 as d_ord from dv),
 total as (select count(*) as n from dv),
-prime as (select min(p) as p from (select n, unnest(range(n, 2 * n + 3)) as p from total)
-  where p >= 2 and len(list_filter(range(2, (sqrt(p) + 1)::bigint), lambda f: p % f = 0 and f < p)) = 0),
-walk as (
-  select qid, unnest(range(0, least(p, 5 + 15 + p - n))) as step, p, n,
-    ('0x' || substr(md5('7:' || qid), 1, 8))::bigint % p as a, 1 + ('0x' || substr(md5('7:' || qid), 9, 8))::bigint % (p - 1) as b
-  from qv, prime, total),
-drawn as (select qid, step, (a + step * b) % p as d_ord from walk where (a + step * b) % p < n),
+drawn as (
+  select qid, ('0x' || substr(md5('7:' || qid || ':' || step), 1, 15))::bigint % n as d_ord, lpad(min(step)::varchar, 4, '0') as step
+  from qv, total, unnest(range(0, 80)) as t(step) where n >= 80 group by all
+  union all
+  select qid, place as d_ord, md5('7:' || qid || ':' || place) as step from qv, total, unnest(range(0, 80)) as t(place) where n < 80 and place < n),
 pairs as (select qid, d_ord, score, row_number() over (partition by qid order by score desc, d_ord) as rank from all_pairs join numbered using (did)),
 free as (select qid, d_ord, score, row_number() over (partition by qid order by step) as draw
   from drawn join pairs using (qid, d_ord) where rank > 5)

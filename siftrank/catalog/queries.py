@@ -82,11 +82,32 @@ def topk_search(spark, d):
     return search.top_k(fx.query_vectors(spark, d), fx.doc_vectors(spark, d), fv.RETRIEVAL_DEPTH, digits=DIGITS)
 
 
+@query
+def topk_unclean(spark, d):
+    """Exact search where vectors hold NaN, infinite and missing numbers: those that a division by the distance
+    of the label from a number makes. Such documents are never hits, whatever k."""
+    def unclean(df, key):
+        labels = fx.table(spark, d, "embeddings").select(F.col("vec_id").alias(key), "label")
+        gap = F.when(F.col("label") % 5 == 1, F.lit(float("nan"))).when(F.col("label") % 5 == 2, F.lit(float("inf"))) \
+            .when(F.col("label") % 5 != 3, F.lit(1.0))
+        return df.join(labels, key).withColumn("embedding", F.transform("embedding", lambda x, i: F.when(
+            (i == 0) & (F.col(key) % 3 == 0), x.cast("double") * gap).otherwise(x.cast("double"))))
+
+    return search.top_k(fx.query_vectors(spark, d), unclean(fx.doc_vectors(spark, d), "did"), fv.RETRIEVAL_DEPTH, digits=DIGITS)
+
+
+@query
+def unclean_vectors(spark, d):
+    """Vectors that no search returns, here those with a number that the square root of the coordinate makes NaN."""
+    vectors = fx.table(spark, d, "embeddings").select("vec_id", F.transform(
+        F.slice("embedding", 1, 2), lambda x: F.sqrt(x.cast("double"))).alias("embedding"))
+    return quality.unclean_vectors(vectors).select("vec_id", "problem")
+
+
 @query
 def topk_with_context(spark, d):
-    turns = fx.table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("c_ord"), F.col("conv_id").alias("file_name"),
-        F.col("turn").alias("pos"), "text")
+    turns = index.positions(fx.table(spark, d, "conversations").select(
+        F.col("conv_id").alias("file_name"), F.col("turn").alias("pos"), "text"), ["file_name", "pos", "text"], "c_ord")
     questions = fx.table(spark, d, "benchmark").select("item_id", "text")
     hits = search.top_k(
         cut_lineage(models.encode(questions, "text", models.letter_encoder)),
@@ -421,7 +442,7 @@ def _store(spark, d):
     """Chunk table of the whole corpus at the store's chunk size."""
     chunks = chunking.chunk_paragraphs(fx.corpus(spark, d), fv.STORE_MIN_TOKENS)
     doc_id = F.substring_index("file_name", "_", -1).cast("bigint")
-    return chunks.withColumn("c_ord", doc_id * 1_000_000 + F.col("pos"))
+    return index.positions(chunks.withColumn("doc_id", doc_id), ["doc_id", "pos"], "c_ord")
 
 
 def _file_pairs(spark, d):

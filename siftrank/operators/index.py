@@ -4,30 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftrank.functions.text import content_key, strip_long, to_int
 from siftrank.operators.prefix import positions
 from siftrank.operators.quality import require_columns
-from siftrank.session import cut_lineage
+from siftrank.session import broadcast_if_small, cut_lineage
 
 
 def distinct_with_ids(df: DataFrame, text: str, row_no: str, prefix: str, ord_name: str,
                       id_name: str) -> DataFrame:
     """Distinct texts in order of first appearance, numbered densely from 0.
 
-    Digests are grouped and numbered; each text is then fetched from the row it first appeared in, so
-    ``row_no`` has to be unique.
+    Digests are grouped and numbered; each text is then fetched from the row it first appeared in. Texts that share
+    their first ``row_no`` are numbered in the order of their digests.
     """
     rows = df.select(F.col(text), F.col(row_no).alias("first_row"))
     firsts = rows.groupBy(content_key(text).alias("_key")).agg(F.min("first_row").alias("first_row"))
-    numbered = positions(firsts.select("first_row"), ["first_row"], ord_name)
-    return rows.join(numbered, "first_row").select(
+    numbered = positions(firsts, ["first_row", "_key"], ord_name)
+    return _first_texts(rows, text, content_key(text), numbered, ord_name).select(
         text, "first_row", ord_name, _id(prefix, ord_name).alias(id_name))
 
 
+def _first_texts(rows: DataFrame, text: str, key, numbered: DataFrame, ord_name: str) -> DataFrame:
+    """``numbered`` (_key, first_row, ord_name) with the text of each key, one row per key.
+
+    The rows to read are known by number: where a count shows these to be few they are sent to the rows, otherwise both
+    sides meet by number. Only rows that match are digested again, which tells texts with the same number apart.
+    """
+    numbered = cut_lineage(numbered)
+    found = rows.join(broadcast_if_small(numbered.withColumnRenamed("_key", "_own"), 128), "first_row")
+    return found.where(key == F.col("_own")).dropDuplicates([ord_name])
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], row_no: str) -> DataFrame:
     """The row with the lowest row number of each key."""
     return _pick(df, keys, row_no, F.min_by)
@@ -39,11 +52,27 @@ def keep_last(df: DataFrame, keys: Sequence[str], row_no: str) -> DataFrame:
 
 
 def _pick(df: DataFrame, keys: Sequence[str], row_no: str, by) -> DataFrame:
+    texts = [c for c in keys if isinstance(df.schema[c].dataType, T.StringType)]
+    if texts and row_no not in keys:
+        return _pick_by_digest(df, keys, row_no, F.min if by is F.min_by else F.max)
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(by(F.struct(*rest), F.col(row_no)).alias("_row"))
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def _pick_by_digest(df: DataFrame, keys: Sequence[str], row_no: str, best) -> DataFrame:
+    """Texts are grouped by digest with the row number alone; the rows picked are fetched by number. Rows that share key and
+    number are one."""
+    digests = {f"_k{i}": F.sha2(c, 256) if isinstance(df.schema[c].dataType, T.StringType) else F.col(c)
+               for i, c in enumerate(keys)}
+    picked = df.select(*[v.alias(k) for k, v in digests.items()], F.col(row_no).alias("_no")).groupBy(*digests).agg(
+        best("_no").alias("_no"))
+    picked = broadcast_if_small(cut_lineage(picked), 128)
+    same = reduce(lambda a, b: a & b, [v.eqNullSafe(F.col(k)) for k, v in digests.items()])
+    found = df.join(picked, F.col(row_no).eqNullSafe(F.col("_no"))).where(same)
+    return found.dropDuplicates(list(digests)).select(*df.columns)
+
+
 def distinct_texts(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of a text column, NULL counted as the empty text."""
     return df.select(F.coalesce(F.col(column), F.lit("")).alias(column)).distinct()
@@ -103,7 +132,7 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
     A query stays when its highest label is exactly 1 (``positive_rule='eq1'``) or at least 1
     (``'ge1'``). The input is read once to reduce each row to digests, label and row number; all
     counting, numbering and joining runs on those. Texts are only fetched for the distinct queries
-    and documents, when they are used. ``row_no`` has to be unique.
+    and documents, when they are used. Texts that share their first ``row_no`` are numbered by digest.
     """
     require_columns(df, [query_col, doc_col, label_col, row_no])
     top = {"eq1": F.col("top_label") == 1, "ge1": F.col("top_label") >= 1}[positive_rule]
@@ -116,13 +145,13 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
         .agg(F.min("row_no").alias("first_row"), F.max("label").alias("top_label"))
         .where(top).select("q_key", "first_row")
     )
-    query_ids = positions(kept_queries, ["first_row"], "q_ord")
+    query_ids = cut_lineage(positions(kept_queries, ["first_row", "q_key"], "q_ord"))
     if check_empty and query_ids.isEmpty():
         raise ValueError("no query has a positive label")
     kept = narrow.join(query_ids.select("q_key", "q_ord"), "q_key").drop("q_key")
 
     first_docs = kept.groupBy("d_key").agg(F.min("row_no").alias("first_row"))
-    doc_ids = positions(first_docs, ["first_row"], "d_ord")
+    doc_ids = cut_lineage(positions(first_docs, ["first_row", "d_key"], "d_ord"))
     judged = (
         kept.groupBy("q_ord", "d_key")
         .agg(
@@ -135,10 +164,12 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
                 "relevant", "first_label", "first_row")
     )
     # The text of an id is in the row where it first appeared; only those rows are stripped again.
-    rows = df.withColumn("first_row", F.col(row_no).cast("bigint"))
-    queries = rows.select(query_col, "first_row").join(query_ids.select("first_row", "q_ord"), "first_row").select(
+    rows = df.dropna(subset=[query_col, doc_col, label_col]).withColumn("first_row", F.col(row_no).cast("bigint"))
+    queries = _first_texts(rows.select(query_col, "first_row"), query_col, content_key(strip_long(query_col)),
+                           query_ids.withColumnRenamed("q_key", "_key"), "q_ord").select(
         "q_ord", _id("Q", "q_ord").alias("qid"), strip_long(query_col).alias("question"))
-    docs = rows.select(doc_col, "first_row").join(doc_ids.select("first_row", "d_ord"), "first_row").select(
+    docs = _first_texts(rows.select(doc_col, "first_row"), doc_col, content_key(strip_long(doc_col)),
+                        doc_ids.withColumnRenamed("d_key", "_key"), "d_ord").select(
         "d_ord", _id("D", "d_ord").alias("did"), strip_long(doc_col).alias("chunk_text"))
     return EvaluationIndex(queries, docs, judged)
 

@@ -61,3 +61,10 @@ def vector_dims(df: DataFrame, vector: str = "embedding") -> DataFrame:
 def mismatched_vectors(df: DataFrame, dim: int, vector: str = "embedding") -> DataFrame:
     """Rows whose vector is missing or has another length than the store."""
     return df.where(F.col(vector).isNull() | (F.size(vector) != dim))
+
+
+def unclean_vectors(df: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows whose vector is missing, or has a number that is missing, NaN or infinite; ``problem`` says which."""
+    odd = F.filter(vector, lambda x: ~is_finite(x.cast("double")))
+    problem = F.when(F.col(vector).isNull(), "missing").when(F.size(odd) > 0, "not finite")
+    return df.withColumn("problem", problem).where("problem is not null")

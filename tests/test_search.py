@@ -111,3 +111,16 @@ def test_top_k_plan_trims_before_the_shuffle(spark, data):
     df = search.top_k(vectors(spark, queries, "qid"), vectors(spark, docs, "did"), 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_vectors_that_are_not_finite_are_never_hits(spark):
+    """More NaN scores in one task than k, infinite ones and NULL elements: the clean documents win all the same."""
+    clean = [(i, [float(i), 1.0]) for i in range(100)]
+    bad = [(1000 + i, [float("nan"), 1.0]) for i in range(40)] + [(2000 + i, [float("inf"), 1.0]) for i in range(9)] + [
+        (3000, [None, 1.0]), (3001, None), (3002, [0.0, 0.0])]
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "qid long, embedding array<double>")
+    docs = spark.createDataFrame(bad + clean, "did long, embedding array<double>").coalesce(1)
+    hits = {(r.qid, r["rank"]): r.did for r in search.top_k(queries, docs, 5).collect()}
+    assert [hits[1, r] for r in range(1, 6)] == [99, 98, 97, 96, 95]
+    assert [hits[2, r] for r in range(1, 6)] == [0, 1, 2, 3, 4]
+    assert search.top_k(queries, docs.where("did >= 1000 and did < 3002"), 5).count() == 0
