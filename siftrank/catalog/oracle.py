@@ -445,6 +445,9 @@ select (label::double > 0)::int as class, count(*) as num_rows, round(0.5 / coun
     o["train_eval_split"] = f"""with {NUMERIC},
 placed as (select doc_id, label, row_number() over (order by md5('7:' || doc_id), doc_id) - 1 as p, count(*) over () as n from numeric_rows)
 select doc_id, label, case when p < ceil(0.1 * least(n, 300)) then 'eval' else 'train' end as split from placed where p < 300"""
+    o["train_eval_split_all"] = f"""with {NUMERIC},
+placed as (select doc_id, label, row_number() over (order by md5('7:' || doc_id), doc_id) - 1 as p, count(*) over () as n from numeric_rows)
+select doc_id, label, case when p < ceil(0.1 * n) then 'eval' else 'train' end as split from placed"""
     o["sample_rows"] = """
 select event_id, event_type from (select *, row_number() over (order by md5('7:' || event_id), event_id) as p from events) where p <= 1000"""
     return o

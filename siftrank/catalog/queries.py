@@ -187,9 +187,14 @@ def _allow_table(spark, d):
         "specific_to_paper", "row_no", F.round("cos", DIGITS).alias("cos"))
 
 
-def _full_table(spark, d):
-    return full_corpus_scores(spark, d).select(
-        F.lit("base").alias("model"), "*", F.col("rank_full").alias("row_no"))
+def _full_facet(spark, d, facet, normalise):
+    """Full-corpus metrics per facet of the query, from the ranks that count alone: a pair's label is that of its first row."""
+    rows = cut_lineage(fx.judged_rows(spark, d))
+    labels = index.keep_first(rows.select("qid", "did", "row_no", "relevance_label"), ["qid", "did"], "row_no")
+    facets = scores.query_attributes(rows, "row_no", "qid").withColumn(facet, normalise(facet))
+    report = rank_metrics.metrics_by_query_facet(
+        _full_run(spark, d), labels.where("relevance_label = 1").select("qid", "did"), facets, facet)
+    return rounded(report, *rank_metrics.metric_names())
 
 
 @query
@@ -206,14 +211,13 @@ def facet_flag_allow(spark, d):
 
 @query
 def facet_type_full(spark, d):
-    report = rank_metrics.metrics_by_question_type(_full_table(spark, d), "full", "row_no", unique=True)
-    return rounded(report, *rank_metrics.metric_names())
+    report = _full_facet(spark, d, "Question_type", tx.facet_key)
+    return report.select(F.lit("base").alias("model"), "*").withColumn("Question_type", tx.title_case("Question_type"))
 
 
 @query
 def facet_flag_full(spark, d):
-    report = rank_metrics.metrics_by_specific_flag(_full_table(spark, d), "full", "row_no", unique=True)
-    return rounded(report, *rank_metrics.metric_names())
+    return _full_facet(spark, d, "specific_to_paper", tx.yes_no).select(F.lit("base").alias("model"), "*")
 
 
 @query
@@ -232,7 +236,6 @@ def evaluation_report(spark, d):
     """Both tasks of one model, from judged texts to the metric report."""
     built = index.build_index(fx.text_pairs(spark, d), "row_no")
     encoded = evaluation.encode_index(built, models.letter_encoder)
-    encoded = evaluation.EncodedIndex(built, cut_lineage(encoded.queries), cut_lineage(encoded.docs))
     runs = {"allowlist": evaluation.allowlist_run(encoded, digits=DIGITS),
             "full corpus": evaluation.full_run(encoded, digits=DIGITS)}
     return rounded(evaluation.report(built, runs, "letters"), *rank_metrics.metric_names())
@@ -589,6 +592,12 @@ def train_eval_split(spark, d):
     return training.train_eval_split(rows, 0.1, SEED, ["doc_id"], max_rows=300)
 
 
+@query
+def train_eval_split_all(spark, d):
+    rows = fx.numeric_labels(spark, d).select("doc_id", "label")
+    return training.train_eval_split(rows, 0.1, SEED, ["doc_id"])
+
+
 @query
 def sample_rows(spark, d):
     return training.sample_rows(fx.table(spark, d, "events").select("event_id", "event_type"), 1000, SEED, ["event_id"])

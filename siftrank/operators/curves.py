@@ -52,10 +52,10 @@ def cumulative_counts(scored: DataFrame, with_next: bool = False) -> DataFrame:
     """``count_by_score`` with running totals ``ctp, cfp`` and class totals ``pos, neg``."""
     counts = count_by_score(scored).withColumn("_down", -F.col("score"))
     next_row = {"next_tp": "tp", "next_fp": "fp"} if with_next else None
-    running = running_totals(counts, ["model"], ["_down"], {"ctp": "tp", "cfp": "fp"}, next_row)
-    # The last running total of a model is its class total; one row per model.
-    totals = running.groupBy("model").agg(F.max("ctp").alias("pos"), F.max("cfp").alias("neg"))
-    return running.drop("_down").join(totals, "model")
+    # Class totals come from the sums per partition, as the offsets do: no second pass and no join on the model.
+    running = running_totals(counts, ["model"], ["_down"], {"ctp": "tp", "cfp": "fp"}, next_row,
+                             group_totals={"pos": "ctp", "neg": "cfp"})
+    return running.drop("_down")
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:

@@ -26,14 +26,16 @@ def running_totals(
     order: Sequence[str],
     totals: Mapping[str, Column | str],
     next_row: Mapping[str, str] | None = None,
+    group_totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums, ascending in ``order``, restarted per ``group``.
 
     ``totals`` maps a new column to the column it sums. ``next_row`` maps a new column to the
-    column whose value it takes from the following row. (group, order) must be unique per row,
+    column whose value it takes from the following row. ``group_totals`` maps a new column to the entry of
+    ``totals`` whose sum over the whole group it takes, from the same sums per partition. (group, order) must be unique per row,
     so rows that tie have to be aggregated first. NULL is a group of its own.
     """
-    group, order, next_row = list(group), list(order), dict(next_row or {})
+    group, order, next_row, group_totals = list(group), list(order), dict(next_row or {}), dict(group_totals or {})
     laid = cut_lineage(
         df.repartitionByRange(*group, *order).withColumn(PIECE, F.spark_partition_id())
     )
@@ -47,9 +49,11 @@ def running_totals(
     # One row per (group, partition): at most the partitions a group was spread over.
     by_piece = W.partitionBy(*group).orderBy(PIECE) if group else W.partitionBy(F.lit(0)).orderBy(PIECE)
     before = by_piece.rowsBetween(W.unboundedPreceding, -1)
+    whole = by_piece.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offsets = pieces.select(
         *[F.col(c).alias(f"_of_{c}") for c in [*group, PIECE]],
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
+        *[F.sum(f"_sum_{t}").over(whole).alias(f"_whole_{n}") for n, t in group_totals.items()],
         *([F.lead("_first").over(by_piece).alias("_next_piece")] if next_row else []),
     )
 
@@ -61,6 +65,7 @@ def running_totals(
     return joined.select(
         *df.columns,
         *[(F.sum(v).over(to_here) + F.col(f"_before_{n}")).alias(n) for n, v in totals.items()],
+        *[F.col(f"_whole_{n}").alias(n) for n in group_totals],
         *[
             F.when(F.row_number().over(inside) == F.count(F.lit(1)).over(W.partitionBy(*group, PIECE)),
                    F.col(f"_next_piece.{n}"))

@@ -26,12 +26,13 @@ def asked(questions: DataFrame, question: str = "question") -> DataFrame:
 
 def top_k_pairs(questions: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_DEPTH,
                 digits: int | None = None) -> DataFrame:
-    """Each question with its ``k`` best chunks.
+    """Each question with its ``k`` best chunks; empty questions are not asked.
 
     ``questions(q_ord, question, embedding, …)`` and ``chunks(c_ord, file_name, text, embedding)``.
     Only ids and scores pass through the ranking; texts are joined to the k winners. When a count
     shows the winners to be few they are broadcast, so the chunk texts need no shuffle.
     """
+    questions = asked(questions)
     hits = cut_lineage(top_k(questions, chunks, k, "q_ord", "c_ord", digits=digits))
     texts = chunks.select("c_ord", F.col("file_name").alias("filename"), F.col("text").alias("chunk_text"))
     found = texts.join(broadcast_if_small(hits, row_bytes=64), "c_ord")
