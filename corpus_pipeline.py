@@ -26,10 +26,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach. Texts without letters go, and longer texts that
     no language explains better than letter by letter."""
     model = fit(docs)
-    whole = docs.select("text", F.struct(*docs.columns).alias("row"))
+    rest = docs.select("text", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest"))
     known = (F.col("lang_pred") != UNDETERMINED) & (
         (F.col("letters") < LETTERS) | (F.col("phrases") <= PHRASES * F.col("letters")))
-    return identify(whole, model, key="row").where(known).select("key.*")
+    return identify(rest, model, key="rest", keep_text=True).where(known).select("text", "key.*").select(docs.columns)
 
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

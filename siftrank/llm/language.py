@@ -206,7 +206,7 @@ class Parser:
         return phrases, sizes, letters
 
 
-def _predict(model) -> object:
+def _predict(model, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(model.value)
         languages, bits = parser.model.languages, parser.model.bits
@@ -224,19 +224,23 @@ def _predict(model) -> object:
                     best, score, least = np.zeros(n, int), np.zeros(n), np.zeros(n)
                 none = (letters == 0) | (not languages)
                 names = [UNDETERMINED if x else languages[b] for x, b in zip(none, best)]
+                kept = [batch.column(0)[part].cast(pa.string())] if keep_text else []
                 yield pa.RecordBatch.from_arrays(
-                    [*[c[part] for c in batch.columns[1:]], pa.array(names), pa.array(np.where(none, 0.0, score)),
+                    [batch.column(1)[part], *kept, pa.array(names), pa.array(np.where(none, 0.0, score)),
                      pa.array(np.where(none, 0, least).astype(np.int64)), pa.array(letters)],
-                    [*batch.schema.names[1:], "lang_pred", "score", "phrases", "letters"])
+                    ["key", *["text"] * keep_text, "lang_pred", "score", "phrases", "letters"])
+            pa.default_memory_pool().release_unused()
     return run
 
 
-def identify(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+def identify(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
+             keep_text: bool = False) -> DataFrame:
     """(key, lang_pred, score, phrases, letters) for each row of ``documents``: the learned language with the lowest cost, a
     confidence from 0 to 1, the phrases that it needs. Ties go to the first language in the order of the model.
     A text that is NULL or has no letter is ``und`` with score 0, and so is every text when nothing was
-    learned. Whole texts are parsed. No other column is looked at; NULL keys and repeated rows pass through."""
+    learned. Whole texts are parsed. With ``keep_text`` the text comes along after the key. No other column is looked at; NULL keys and repeated rows pass through."""
     rows = documents.select(F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{key}`").alias("key"))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most TABLE_ENTRIES * 4 bytes
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_predict(shared), f"key {kind}, lang_pred string, score double, phrases long, letters long")
+    kept = "text string, " if keep_text else ""
+    return rows.mapInArrow(_predict(shared, keep_text), f"key {kind}, {kept}lang_pred string, score double, phrases long, letters long")

@@ -59,6 +59,7 @@ def _sign(size: int):
                     [keys[part], pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([set_digest(s) for s in sets], pa.binary()), _longs(bands)],
                     ["key", "n_shingles", "node", "bands"])
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -71,6 +72,7 @@ def _full_sets(size: int):
                 sets = shingle_sets(hasher, texts[part], size)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_digest(s) for s in sets], pa.binary()), _longs(sets)], ["node", "shingles"])
+            pa.default_memory_pool().release_unused()
     return run
 
 

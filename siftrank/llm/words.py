@@ -13,8 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-PIECE_BYTES = 1 << 20
-BATCH_BYTES = 8 << 20
+PIECE_BYTES = 1 << 19
+BATCH_BYTES = 3 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
