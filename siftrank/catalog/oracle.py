@@ -450,4 +450,45 @@ placed as (select doc_id, label, row_number() over (order by md5('7:' || doc_id)
 select doc_id, label, case when p < ceil(0.1 * n) then 'eval' else 'train' end as split from placed"""
     o["sample_rows"] = """
 select event_id, event_type from (select *, row_number() over (order by md5('7:' || event_id), event_id) as p from events) where p <= 1000"""
+
+    # Files and guards
+    o["csv_round_trip"] = o["csv_gz_round_trip"] = """
+select doc_id, md5(coalesce(text, '')) as text_md5, coalesce(lang, '') as lang, coalesce(source, '') as source from documents"""
+    o["json_corpus_round_trip"] = "select 'doc_' || doc_id as file_name, md5(text) as text_md5 from documents"
+    o["json_reply_cache_import"] = """
+select sha256(concat(text, chr(30), 'chunk ' || item_id)) as pair_key, 'thought' as thought, 'reply ' || item_id as response,
+  (select count(*) from benchmark) as entries from benchmark"""
+    o["model_set_round_trip"] = """
+select source, model, (event_type = 'error')::int as label, count(*) as num_rows
+from events, (values ('files'), ('folders')) s(source), (values ('base'), ('tuned')) m(model) group by all"""
+    o["store_resume_round_trip"] = f"""with recursive {_chunks(str(fv.STORE_MIN_TOKENS))}
+select case when doc_id in (select doc_id from labels) then 'first' else 'second' end as batch_id, count(distinct doc_id) as files,
+  count(*) as chunks, (select count(*) from documents) as done from chunks group by 1"""
+    o["annotation_job_twice"] = """with pairs as (
+  select conv_id, turn, c.text, d.text as chunk, length(c.text) % 2 = 1 as odd
+  from conversations c join documents d on d.doc_id = c.conv_id where role = 'user' and c.text <> '')
+select conv_id, turn, case when odd then 'error' else 'ok' end as status, count(*) * case when odd then 2 else 1 end as num_rows,
+  case when odd then 1 else 0 end as attempts, (select count(distinct (text, chunk)) from pairs where not odd) as cached
+from pairs group by conv_id, turn, odd"""
+    o["failing_calls"] = """
+select item_id, '' as thought, case when length(text) % 2 = 1 then 'ERROR: busy' else left(text, 5) end as response,
+  case when length(text) % 2 = 1 then 'error' else 'ok' end as status, case when length(text) % 2 = 1 then 3 else 1 end as attempts
+from benchmark"""
+    o["annotation_messages"] = f"""
+select item_id, md5({_sql_text(fv.ANNOTATION_SYSTEM_TEXT)}) as thought,
+  md5('Question: ' || text || chr(10) || 'Paragraph: c' || {ANNOTATION_TAIL}) as response from benchmark"""
+    o["report_files"] = f"""with {LABELLED}
+select 'per_question_coverage' as report, count(*) as num_rows from flags
+union all select 'questions_missing_pos_or_neg', count(*) from flags where not ok_pos_and_neg having count(*) > 0
+union all select 'positives_per_question_histogram', count(distinct pos_count) from flags
+union all select 'negatives_per_question_histogram', count(distinct neg_count) from flags
+union all select 'joint_pos_neg_table', count(distinct pos_count) from flags"""
+    o["round_report"] = """
+select l_returnflag, l_linestatus, round(avg(l_extendedprice::double), 4) as price, round(avg(l_quantity::double), 4) as quantity
+from lineitem group by all"""
+    o["guard_messages"] = """
+select model, num_rows, guard, message
+from (values ('base'), ('tuned')) m(model), (select count(*) as num_rows from events),
+  (values ('columns', 'missing required columns: [''Question'', ''cos'']'),
+          ('labels', 'need both labels 0 and 1 and no others: tuned'), ('mixed', 'fine')) g(guard, message)"""
     return o

@@ -16,18 +16,27 @@ PROGRESS_SCHEMA = "file_name string"
 CACHE_SCHEMA = "pair_key string, thought string, response string"
 
 
+def probe_csv(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """Encoding, and whether cells hold line breaks, in one pass over the lines. UTF-8 when every line is valid
+    UTF-8, else ISO-8859-1, which decodes any byte. A line with an odd number of quotes breaks inside a cell."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    row = spark.read.text(path).agg(
+        F.bool_or(~F.is_valid_utf8("value")).alias("bytes"), F.bool_or(quotes % 2 == 1).alias("breaks")).first()
+    return "ISO-8859-1" if row.bytes else "UTF-8", bool(row.breaks)
+
+
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 when every line is valid UTF-8, else ISO-8859-1, which decodes any byte."""
-    lines = spark.read.text(path)
-    return "UTF-8" if lines.where(~F.is_valid_utf8("value")).isEmpty() else "ISO-8859-1"
+    return probe_csv(spark, path)[0]
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, empty_as_null: bool = True,
-             multi_line: bool = True, partitions: int | None = None) -> DataFrame:
-    """CSV with a header, all columns text. Without ``encoding`` it is detected. ``multi_line`` allows
-    line breaks inside quotes but then a file is one task; switch it off for large files without
-    them. A gzip file does not split either: ``partitions`` spreads its rows after the scan."""
-    encoding = encoding or detect_encoding(spark, path)
+             multi_line: bool | None = None, partitions: int | None = None) -> DataFrame:
+    """CSV with a header, all columns text. ``encoding`` and ``multi_line`` (line breaks inside quotes) are found by a
+    scan unless given. Files without such breaks split over tasks; with them a file is one task. A gzip file
+    does not split either: ``partitions`` spreads its rows after the scan."""
+    if encoding is None or multi_line is None:
+        found, breaks = probe_csv(spark, path)
+        encoding, multi_line = encoding or found, breaks if multi_line is None else multi_line
     reader = (
         spark.read.option("header", True).option("inferSchema", False).option("encoding", encoding)
         .option("multiLine", multi_line).option("quote", '"').option("escape", '"')
@@ -72,8 +81,11 @@ def read_models(spark: SparkSession, specs: Mapping[str, str] | list[str], **opt
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def read_corpus(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``(file_name, text_data)`` from a JSON array, or from JSON lines, which split over tasks."""
+def read_corpus(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """``(file_name, text_data)`` from JSON lines, which split over tasks, or from a JSON array, which a path that ends
+    in .json is taken for unless ``lines`` says otherwise."""
+    if lines is None:
+        lines = not path.rstrip("/").lower().endswith((".json", ".json.gz"))
     return spark.read.schema(CORPUS_SCHEMA).option("multiLine", not lines).json(path)
 
 
@@ -102,14 +114,15 @@ def read_reply_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_json_entries(spark: SparkSession, path: str) -> int:
-    """Entries of a JSON object file ``{key: [thought, reply]}``."""
+    """Entries of JSON object files ``{key: [thought, reply]}``: legacy import, each file is read as one value."""
     text = spark.read.text(path, wholetext=True)
     entries = F.size(F.map_keys(F.from_json("value", "map<string,array<string>>")))
     return text.agg(F.sum(entries)).first()[0] or 0
 
 
 def read_json_reply_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Reply cache kept as one JSON object ``{"[question, chunk]": [thought, reply]}``."""
+    """Reply cache kept as JSON objects ``{"[question, chunk]": [thought, reply]}``: legacy import, each file is read as
+    one value."""
     from siftrank.functions.text import content_key
 
     text = spark.read.text(path, wholetext=True)

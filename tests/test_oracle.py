@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from siftrank.catalog import oracle, queries
+from siftrank.catalog import oracle, queries, round_trips  # noqa: F401
 from tests.oracle_check import compare, duck
 
 FOLDER = "/root/testdata/sf0.001"
