@@ -387,8 +387,8 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     single = rows.join(near_copies, ["key", "print"], "left_anti")
 
     asked = single.select("key", "print", "text").mapInArrow(_ask_anchors(window, parts), _ENTRY)
-    answers = asked.repartition(parts, "grp").mapInArrow(lambda rows: _answer_anchors(rows, parts), _REPLY)
-    repeated = cut_lineage(answers.repartition(parts, "part").mapInArrow(_by_document, _FOUND))
+    answers = asked.repartitionById(parts, "grp").mapInArrow(lambda rows: _answer_anchors(rows, parts), _REPLY)
+    repeated = cut_lineage(answers.repartitionById(parts, "part").mapInArrow(_by_document, _FOUND))
     near = broadcast_if_small(repeated.select("key", "print"), 24)
     suspects = cut_lineage(single.join(near, ["key", "print"], "left_semi").join(repeated, ["key", "print"])
                            .select("key", "print", "text", "found"))
@@ -401,8 +401,8 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     heavy = {n: np.array([r.prefix for r in many if r.length == n], np.int64).view(np.uint64) for n in LENGTHS}
     groups = max(parts, total // group_suffixes + 1)
     sent = suspects.mapInArrow(_send_suffixes(window, groups, heavy), _ENTRY)
-    replies = sent.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(_subtrees(window, parts), _REPLY)
-    gone = cut_lineage(replies.repartition(parts, "part").mapInArrow(_by_document, _FOUND))
+    replies = sent.repartitionById(parts, "grp").sortWithinPartitions("grp").mapInArrow(_subtrees(window, parts), _REPLY)
+    gone = cut_lineage(replies.repartitionById(parts, "part").mapInArrow(_by_document, _FOUND))
 
     near_gone = broadcast_if_small(gone.select("key", "print"), 24)
     whole = (rows.join(near_gone, ["key", "print"], "left_anti")
