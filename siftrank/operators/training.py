@@ -12,6 +12,7 @@ from siftrank.functions import fixed_values as fv
 from siftrank.functions.text import clip01, prompted_query, query_with_instruction, seeded_order, to_number
 from siftrank.operators.prefix import positions
 from siftrank.operators.quality import require_rows
+from siftrank.session import broadcast_if_small, cut_lineage
 
 
 def training_pairs(rows: DataFrame, question: str = "Question", chunk: str = "chunk_text",
@@ -76,10 +77,32 @@ def seeded_shuffle(rows: DataFrame, seed: int, keys: Sequence[str], name: str =
     return positions(keyed, ["_shuffle", *keys], name).drop("_shuffle")
 
 
+def mark_first(rows: DataFrame, n: int, seed: int, keys: Sequence[str], name: str) -> DataFrame:
+    """Rows with ``name``: whether they are among the first ``n`` of the seeded shuffle.
+
+    Nothing is sorted but a sliver: rows are counted by the first 16 bits of their digest (at most 65,536 counts), which
+    tells the range in which row ``n`` lies; ranges before it are in, ranges after it out, and only rows of
+    that one range are put in order.
+    """
+    digest = seeded_order(seed, *keys)
+    bucket = F.substring(digest, 1, 4)
+    before, edge = 0, None
+    for r in sorted(rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        if before + r.n > n:
+            edge = r.bucket
+            break
+        before += r.n
+    if edge is None:
+        return rows.withColumn(name, F.lit(True))
+    last = positions(rows.where(bucket == edge).select(*keys, digest.alias("_shuffle")), ["_shuffle", *keys], "_place")
+    chosen = cut_lineage(last.where(F.col("_place") < n - before).select(*keys, F.lit(True).alias("_in")))
+    marked = rows.join(broadcast_if_small(chosen, 64), list(keys), "left")
+    return marked.select(*rows.columns, ((bucket < edge) | F.col("_in").isNotNull()).alias(name))
+
+
 def sample_rows(rows: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """Exactly ``n`` rows (all when there are fewer), chosen by a seeded shuffle."""
-    chosen = seeded_shuffle(rows, seed, keys).where(F.col("position") < n)
-    return rows.join(chosen, list(keys), "left_semi")
+    """Exactly ``n`` rows (all when there are fewer), chosen by a seeded shuffle; ``keys`` identify a row."""
+    return mark_first(rows, n, seed, keys, "_first").where("_first").drop("_first")
 
 
 def train_eval_split(rows: DataFrame, eval_fraction: float, seed: int, keys: Sequence[str],
@@ -88,11 +111,8 @@ def train_eval_split(rows: DataFrame, eval_fraction: float, seed: int, keys: Seq
     ``ceil(eval_fraction * rows)`` are ``eval``. A fraction of 0 leaves everything in ``train``."""
     if eval_fraction and not 0.0 < eval_fraction < 1.0:
         raise ValueError("eval_fraction must be between 0 and 1 (exclusive)")
-    shuffled = seeded_shuffle(rows, seed, keys)
-    kept = shuffled.count()
     if max_rows is not None:
-        kept = min(kept, max_rows)
-        shuffled = shuffled.where(F.col("position") < max_rows)
-    num_eval = math.ceil(eval_fraction * kept) if eval_fraction else 0
-    parts = shuffled.select(*keys, F.when(F.col("position") < num_eval, "eval").otherwise("train").alias("split"))
-    return rows.join(parts, list(keys))
+        rows = cut_lineage(sample_rows(rows, max_rows, seed, keys))
+    num_eval = math.ceil(eval_fraction * rows.count()) if eval_fraction else 0
+    marked = mark_first(rows, num_eval, seed, keys, "_eval") if num_eval else rows.withColumn("_eval", F.lit(False))
+    return marked.withColumn("split", F.when(F.col("_eval"), "eval").otherwise("train")).drop("_eval")

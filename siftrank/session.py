@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 << 20
 SPLIT_BYTES = 128 << 20
+_written: list[str] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -28,13 +31,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and continue from that table.
 
     Unlike a checkpointed RDD the table is columnar, so later steps read only the columns they need, and
-    its size is known to the optimizer. It outlives executors.
+    its size is known to the optimizer. It outlives executors. ``lineage_scope`` removes it again.
     """
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/siftrank-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def lineage_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that ``cut_lineage`` writes inside. Results have to be used or written inside, too."""
+    begin = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[begin:]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        del _written[begin:]
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the tables ``df`` is computed from, as far as the optimizer knows them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

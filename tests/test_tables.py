@@ -130,3 +130,25 @@ def test_sample_and_split_are_exact_and_repeatable(spark):
     assert {r.split for r in training.train_eval_split(df, 0, 1, ["id"]).collect()} == {"train"}
     with pytest.raises(ValueError):
         training.train_eval_split(df, 1.5, 1, ["id"])
+
+
+def test_lineage_scope_removes_its_tables(spark):
+    from siftrank.session import cut_lineage, lineage_scope
+
+    before = cut_lineage(spark.range(3))
+    with lineage_scope(spark):
+        inside = cut_lineage(spark.range(5))
+        path = inside.inputFiles()[0]
+        assert inside.count() == 5
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        spark.read.parquet(path).count()
+    assert before.count() == 3
+
+
+def test_first_of_a_seeded_shuffle(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 7 as v")
+    order = [r.id for r in training.seeded_shuffle(rows, 3, ["id"]).orderBy("position").collect()]
+    for n in (0, 1, 700, 4999, 5000, 9000):
+        assert {r.id for r in training.sample_rows(rows, n, 3, ["id"]).collect()} == set(order[:n])
+    split = training.train_eval_split(rows, 0.1, 3, ["id"], max_rows=1000).collect()
+    assert {r.id for r in split} == set(order[:1000]) and {r.id for r in split if r.split == "eval"} == set(order[:100])
