@@ -1,10 +1,9 @@
 """Exact search: every query against every document, in matrix blocks.
 
-The all-pairs product never becomes rows unless the caller asks for the full score table. While the
-query matrix is below a byte budget it is sent to all executors and each task multiplies it with
-the document batches it reads, keeping the best k per query. Above the budget both sides are laid on
-a grid of hash cells of bounded size, joined by cell, and multiplied cell by cell. Either way a
-partial top-k leaves each task and a second step merges them.
+The all-pairs product never becomes rows unless the caller asks for the full score table. Queries, with what they carry, are
+cut into blocks of a byte budget. A block is sent to all executors, and each task multiplies it with the document batches
+it reads: documents are never shuffled, and a task holds one block and one tile of scores. For a top-k a
+partial result leaves each task and a second step merges them; for the full table tiles leave as they are made.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from siftrank.functions.text import seeded_order
 from siftrank.functions.vectors import dot, to_matrix
@@ -32,8 +31,7 @@ from siftrank.session import BROADCAST_BYTES, SPLIT_BYTES, broadcast_if_small, c
 class SearchBudget:
     """Bounds of the block product."""
 
-    broadcast_bytes: int = BROADCAST_BYTES  # query matrix that may be sent to every executor
-    cell_bytes: int = 32 << 20              # one side of a grid cell
+    broadcast_bytes: int = BROADCAST_BYTES  # queries, with their carried columns, sent to every executor at once
     block_scores: int = 1 << 21             # scores held at once inside a task
     split_bytes: int = SPLIT_BYTES          # document bytes per task, to foresee the number of partials
     partials_per_query: int = 256           # partial results per query that one merge step takes
@@ -165,14 +163,18 @@ def _scored_pairs(queries: DataFrame, docs: DataFrame, k: int | None, digits: in
     schema = T.StructType(
         [T.StructField("qid", T.LongType()), T.StructField("did", T.LongType()), T.StructField("score", T.DoubleType())]
         + ([T.StructField("bucket", T.IntegerType())] if k is not None else carried))
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_vec")).alias("dim")).first()
-    query_bytes = 8 * size.n * (size.dim or 0)
-    task = (k, digits, budget.block_scores, buckets, schema)
-    if query_bytes <= budget.broadcast_bytes:
-        return _by_broadcast(queries, docs, *task)
-    query_cells = math.ceil(query_bytes / budget.cell_bytes)
-    doc_cells = max(1, math.ceil(8 * docs.count() * size.dim / budget.cell_bytes))
-    return _by_grid(queries, docs, *task, query_cells, doc_cells)
+    extra = queries.columns[2:]
+    row_bytes = F.lit(8) * F.size("_vec") + (F.length(F.to_json(F.struct(*extra))) if extra else F.lit(0))
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes.cast("bigint")).alias("bytes")).first()
+    blocks = max(1, math.ceil((size.bytes or 0) / budget.broadcast_bytes))
+    docs = spread(docs)
+    if k is not None and size.n:
+        # Partial results, k rows for each query and task, should not outgrow the documents that were read.
+        tasks = max(docs.sparkSession.sparkContext.defaultParallelism, input_bytes(docs) // (24 * k * size.n))
+        docs = docs.coalesce(tasks) if tasks < 1 << 16 else docs
+    parts = [_by_broadcast(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b), docs, k,
+                           digits, budget.block_scores, buckets, schema) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _by_broadcast(queries, docs, k, digits, block_scores, buckets, schema):
@@ -185,32 +187,7 @@ def _by_broadcast(queries, docs, k, digits, block_scores, buckets, schema):
         bucket = TaskContext.get().partitionId() % buckets
         yield from _multiply(table, qmat, batches, k, digits, block_scores, bucket, names)
 
-    return spread(docs).mapInArrow(multiply, schema)
-
-
-def _by_grid(queries, docs, k, digits, block_scores, buckets, schema, query_cells, doc_cells):
-    def laid(df, own, cells, other, other_cells):
-        # Every row meets every cell of the other side; ids are unique, so hash cells are even.
-        return df.select("*", F.pmod(F.xxhash64("_id"), F.lit(cells)).cast("int").alias(own),
-                         F.explode(F.sequence(F.lit(0), F.lit(other_cells - 1))).alias(other))
-
-    q = laid(queries, "qc", query_cells, "dc", doc_cells)
-    d = laid(docs, "dc", doc_cells, "qc", query_cells)
-    names, q_columns, d_columns = schema.fieldNames(), queries.columns, docs.columns
-    empty = to_arrow_schema(schema).empty_table()
-
-    def multiply(left: pa.Table, right: pa.Table):
-        if left.num_rows and right.num_rows:
-            bucket = int(right.column("dc")[0].as_py()) % buckets
-            table = _one_batch(left.select(q_columns))
-            yield from _multiply(table, to_matrix(table.column(1)), [_one_batch(right.select(d_columns))], k,
-                                 digits, block_scores, bucket, names)
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = list(multiply(left, right))
-        return pa.Table.from_batches(parts) if parts else empty
-
-    return q.groupBy("qc", "dc").cogroup(d.groupBy("qc", "dc")).applyInArrow(cell, schema)
+    return docs.mapInArrow(multiply, schema)
 
 
 def score_all(queries: DataFrame, docs: DataFrame, qid: str = "qid", did: str = "did",
@@ -272,15 +249,16 @@ def with_context(hits: DataFrame, chunks: DataFrame, context: int = 1, file: str
     A hit asks for at most ``2 * context + 1`` chunks by (file, position), so no file is ever
     gathered in one task. When a count shows the hits to be few they are broadcast.
     """
-    hits = cut_lineage(hits)
-    wanted = hits.withColumn("_hit", F.struct(*hits.columns)).select(
+    hits = cut_lineage(hits.withColumn("_hit", F.monotonically_increasing_id()))
+    wanted = hits.select(
         "_hit", F.col(file).alias("_file"),
         F.explode(F.sequence(F.col(pos) - context, F.col(pos) + context)).alias("_pos"))
     texts = chunks.select(F.col(file).alias("_file"), F.col(pos).cast("bigint").alias("_pos"),
                           F.col(text).alias("_text"))
+    # Only numbers and file names travel to the texts; what the hits carry is joined to the result.
     found = texts.join(broadcast_if_small(wanted, row_bytes=256), ["_file", "_pos"])
     near = found.groupBy("_hit").agg(F.array_sort(F.collect_list(F.struct("_pos", "_text"))).alias("_near"))
-    return near.select("_hit.*", F.array_join(F.col("_near._text"), "").alias("context"))
+    return hits.join(near, "_hit").drop("_hit").withColumn("context", F.array_join(F.col("_near._text"), "")).drop("_near")
 
 
 def sample_outside_top(queries: DataFrame, docs: DataFrame, top: DataFrame, k: int, n: int, seed: int,

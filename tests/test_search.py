@@ -28,12 +28,12 @@ def brute_force(queries, docs, k, digits=6):
     return out
 
 
-GRID = SearchBudget(broadcast_bytes=0, cell_bytes=256, block_scores=64)
+BLOCKS = SearchBudget(broadcast_bytes=256, block_scores=64)
 TINY = SearchBudget(block_scores=16)
 TWO_STEP = SearchBudget(split_bytes=1, partials_per_query=1)
 
 
-@pytest.mark.parametrize("budget", [SearchBudget(), GRID, TINY, TWO_STEP])
+@pytest.mark.parametrize("budget", [SearchBudget(), BLOCKS, TINY, TWO_STEP])
 @pytest.mark.parametrize("k", [1, 7, 500])
 def test_top_k_is_exact(spark, data, budget, k):
     queries, docs = data
@@ -55,7 +55,7 @@ def test_best_per_query_cuts_back_to_k(data):
     assert {(a, b) for a, b in zip(q, d)} == {(a, b) for a, b, _, _ in expect}
 
 
-@pytest.mark.parametrize("budget", [SearchBudget(), GRID])
+@pytest.mark.parametrize("budget", [SearchBudget(), BLOCKS])
 def test_score_all_carries_columns(spark, data, budget):
     queries, docs = data
     q = vectors(spark, queries, "qid").withColumn("name", F.concat(F.lit("q"), "qid"))
