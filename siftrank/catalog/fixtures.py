@@ -53,6 +53,13 @@ def doc_vectors(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "embeddings").select(F.col("vec_id").alias("did"), "embedding"), "did")
 
 
+def with_names(spark: SparkSession, folder: str, queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Supplier and part names as the texts of queries and documents."""
+    supplier = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("qid"), F.col("s_name").alias("Question"))
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("did"), F.col("p_name").alias("chunk_text"))
+    return queries.join(supplier, "qid", "left"), docs.join(part, "did", "left")
+
+
 def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Judged rows with texts: the conversation turn (supplier, line number) as question, the document
     with the part's number as chunk, the return flag as a label in text form."""

@@ -292,8 +292,9 @@ first_label as (select qid, did, arg_min(relevance_label, row_no) as lab from ju
 q_attr as (select qid, arg_min("Question_type", row_no) as "Question_type", arg_min(specific_to_paper, row_no) as specific_to_paper from judged_rows group by qid),
 d_src as (select did, case when trim(arg_min("IPAC_filename", row_no)) = '' then 'expert' else 'IPAC' end as "Source" from judged_rows group by did)
 select qid, did, score as cos_full, row_number() over (partition by qid order by score desc, did) as rank_full, "Source", "Question_type",
-  specific_to_paper, coalesce(lab, 0) as relevance_label
-from all_pairs left join first_label using (qid, did) left join q_attr using (qid) left join d_src using (did)"""
+  specific_to_paper, coalesce(lab, 0) as relevance_label, s_name as "Question", p_name as chunk_text
+from all_pairs left join first_label using (qid, did) left join q_attr using (qid) left join d_src using (did)
+  left join supplier on s_suppkey = qid left join part on p_partkey = did"""
 
     # Metrics
     o["ndcg_map_full"] = f"with {JUDGED_ROWS}, {VECTORS}, {QRELS}, {_metrics('all_pairs', 'qrels')} select {MEANS} from per_query"
@@ -337,7 +338,8 @@ from (select l_suppkey as qid, l_partkey, count(*) as copies from lineitem group
 select row_no, qid, did, score as cos_score from judged_rows join all_pairs using (qid, did)"""
     o["pair_scores_full"] = f"""with {JUDGED_ROWS}, {VECTORS},
 last_label as (select qid, did, arg_max(relevance_label, row_no) as lab from judged_rows group by qid, did)
-select qid, did, coalesce(lab, 0) as "Label", score from all_pairs left join last_label using (qid, did)"""
+select qid, did, coalesce(lab, 0) as "Label", score, s_name as "Question", p_name as chunk_text
+from all_pairs left join last_label using (qid, did) left join supplier on s_suppkey = qid left join part on p_partkey = did"""
 
     # Curves
     o["pr_curve"] = f"""with {_curve()}

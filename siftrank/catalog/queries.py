@@ -134,7 +134,7 @@ def full_corpus_scores(spark, d):
                               ["qid", "did"], "row_no")
     queries = fx.query_vectors(spark, d).join(scores.query_attributes(rows, "row_no", "qid"), "qid", "left")
     docs = fx.doc_vectors(spark, d).join(scores.doc_sources(rows, "row_no", "did"), "did", "left")
-    return scores.full_corpus_table(queries, docs, judged, digits=DIGITS)
+    return scores.full_corpus_table(*fx.with_names(spark, d, queries, docs), judged, digits=DIGITS)
 
 
 # --- Metrics -------------------------------------------------------------------------------------
@@ -281,7 +281,8 @@ def pair_scores_rowwise(spark, d):
 
 @query
 def pair_scores_full(spark, d):
-    return scores.full_pair_scores(fx.judged_rows(spark, d), fx.query_vectors(spark, d), fx.doc_vectors(spark, d),
+    return scores.full_pair_scores(fx.judged_rows(spark, d),
+                                   *fx.with_names(spark, d, fx.query_vectors(spark, d), fx.doc_vectors(spark, d)),
                                    "row_no", "relevance_label", digits=DIGITS)
 
 

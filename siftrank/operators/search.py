@@ -226,8 +226,9 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: st
 
 def rank_all(run: DataFrame, qid: str = "qid", did: str = "did", score: str = "score",
              name: str = "rank_full") -> DataFrame:
-    """Rank of every document of every query, spread over many tasks per query."""
-    signed = run.withColumn("_down", -F.col(score))
+    """Rank of every document of every query, spread over many tasks per query. ``run`` is written first: cutting it into
+    ranges reads it twice, and a product should be made once."""
+    signed = cut_lineage(run.withColumn("_down", -F.col(score)))
     return positions(signed, ["_down", did], name, group=[qid], start=1).drop("_down")
 
 

@@ -104,7 +104,7 @@ def test_encode(spark):
     df = spark.createDataFrame([(1, "aab"), (2, "aab"), (3, "123"), (4, None)], "id int, t string")
     for repeated in (False, True):
         got = {r.id: r.embedding for r in models.encode(df, "t", models.letter_encoder, repeated=repeated).collect()}
-        assert set(got) == {1, 2, 3} and got[1] == got[2] and set(got[3]) == {0.0}
+        assert set(got) == {1, 2, 3, 4} and got[4] is None and got[1] == got[2] and set(got[3]) == {0.0}
         assert got[1][:2] == pytest.approx([2 / 5 ** .5, 1 / 5 ** .5])
 
 
