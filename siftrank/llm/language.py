@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftrank.llm.tables import small_batches
 from siftrank.llm.words import slices
 
 #: Bounds of the labelled sample, per language: texts, characters of each, letters in all.
-SAMPLE_TEXTS = 48
+SAMPLE_TEXTS = 32
 TEXT_CHARS = 2_000
-SAMPLE_LETTERS = 48_000
+SAMPLE_LETTERS = 24_000
 MAX_LANGUAGES = 64
 #: Letters with a code of their own, shared codes for all others, and entries of the whole table (4 bytes each).
 LETTERS = 150
@@ -125,7 +126,7 @@ def build(samples: dict[str, str]) -> Model:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from a sample of ``labelled``: of each language the ``SAMPLE_TEXTS`` texts with the smallest hashes, of each at
     most ``TEXT_CHARS`` characters, together at most ``SAMPLE_LETTERS``. Rows with NULL are left out. The
-    sample, at most ``max_languages`` times 48,000 letters, is what goes through the driver."""
+    sample, at most ``max_languages`` times 24,000 letters, is what goes through the driver."""
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"),
                            F.xxhash64(F.col(f"`{text}`")).alias("h")).where("text is not null and lang is not null")
     ranked = rows.select("lang", "h").distinct().withColumn(
@@ -239,6 +240,7 @@ def identify(documents: DataFrame, model: Model, text: str = "text", key: str =
     confidence from 0 to 1, the phrases that it needs. Ties go to the first language in the order of the model.
     A text that is NULL or has no letter is ``und`` with score 0, and so is every text when nothing was
     learned. Whole texts are parsed. With ``keep_text`` the text comes along after the key. No other column is looked at; NULL keys and repeated rows pass through."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{key}`").alias("key"))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most TABLE_ENTRIES * 4 bytes
     kind = rows.schema["key"].dataType.simpleString()

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from siftrank.llm.components import components
 from siftrank.llm.shingles import Signer, set_digest, shingle_sets
+from siftrank.llm.tables import small_batches
 from siftrank.llm.words import WordHasher, slices
 from siftrank.session import broadcast_if_small, cut_lineage
 
@@ -178,6 +179,7 @@ def near_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", sh
     nothing. A row with a NULL key links with nothing, has component_id NULL and is kept. Rows that repeat a key
     with the same text share a component. Other columns are not looked at. An empty table gives no rows.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
     signed = cut_lineage(rows.mapInArrow(_sign(shingle_words),
                                          "key long, n_shingles long, node binary, bands array<long>"))

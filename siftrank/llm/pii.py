@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftrank.llm.tables import small_batches
+
 #: Base kinds, in the order of the spans, then the kinds that this method adds.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "account")
@@ -147,6 +149,7 @@ def find_pii(documents: DataFrame, text: str = "text", key: str = "doc_id") -> D
     by kind (email, ip, card, phone, address, account), then start. Spans of one kind do not overlap, those of
     different kinds may. A NULL text is empty and has no spans. NULL keys and repeated rows pass through,
     other columns are not looked at, an empty table gives no rows."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_find, f"key {kind}, spans array<struct<kind: string, start: bigint, end: bigint>>")

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftrank.llm.tables import small_batches
 from siftrank.llm.words import WordHasher, mix, slices, window_hashes
 from siftrank.session import broadcast_if_small, cut_lineage
 
@@ -372,6 +373,7 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     if window < ANCHOR:
         raise ValueError(f"window must be {ANCHOR} or more")
+    small_batches(documents.sparkSession)
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("key"),

@@ -5,3 +5,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches between Spark and Python by bytes: rows of long texts make the default of 10,000 rows
+    a matter of hundreds of MB in each task. A setting that the session's owner has made stays."""
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)),):
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftrank.llm.tables import small_batches
 from siftrank.llm.words import WordHasher, slices, window_hashes
 from siftrank.session import broadcast_if_small, cut_lineage
 
@@ -250,6 +251,7 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
     do, count as one with the label of most of them: otherwise the words of a text with many copies look telling.
     Counts of at most 2**20 buckets and 400 bins come to the driver. Rows without key or label count nowhere; a
     document with several labels counts with each."""
+    small_batches(documents.sparkSession)
     spark = documents.sparkSession
     marks = labels.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{label}`").cast("long").alias("toxic")).where(
         "toxic in (0, 1) and key is not null")
