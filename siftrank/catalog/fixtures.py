@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.operators.prefix import positions
+from siftrank.session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,7 +17,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines with a dense row number in the order of all columns used here. Lines that agree in all of them get
     different numbers, too; which gets which makes no difference."""
     used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
-    return positions(table(spark, folder, "lineitem").select(used), used, "row_no")
+    return cut_lineage(positions(table(spark, folder, "lineitem").select(used), used, "row_no"))
 
 
 def judged_rows(spark: SparkSession, folder: str) -> DataFrame:

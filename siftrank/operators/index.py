@@ -25,7 +25,7 @@ def distinct_with_ids(df: DataFrame, text: str, row_no: str, prefix: str, ord_na
     """
     rows = df.select(F.col(text), F.col(row_no).alias("first_row"))
     firsts = rows.groupBy(content_key(text).alias("_key")).agg(F.min("first_row").alias("first_row"))
-    numbered = positions(firsts, ["first_row", "_key"], ord_name)
+    numbered = cut_lineage(positions(firsts, ["first_row", "_key"], ord_name))
     return _first_texts(rows, text, content_key(text), numbered, ord_name).select(
         text, "first_row", ord_name, _id(prefix, ord_name).alias(id_name))
 
@@ -36,7 +36,6 @@ def _first_texts(rows: DataFrame, text: str, key, numbered: DataFrame, ord_name:
     The rows to read are known by number: where a count shows these to be few they are sent to the rows, otherwise both
     sides meet by number. Only rows that match are digested again, which tells texts with the same number apart.
     """
-    numbered = cut_lineage(numbered)
     found = rows.join(broadcast_if_small(numbered.withColumnRenamed("_key", "_own"), 128), "first_row")
     return found.where(key == F.col("_own")).dropDuplicates([ord_name])
 
@@ -152,7 +151,7 @@ def build_index(df: DataFrame, row_no: str, query_col: str = "Question",
 
     first_docs = kept.groupBy("d_key").agg(F.min("row_no").alias("first_row"))
     doc_ids = cut_lineage(positions(first_docs, ["first_row", "d_key"], "d_ord"))
-    judged = (
+    judged = cut_lineage(  # read for relevance, for candidates and for counts
         kept.groupBy("q_ord", "d_key")
         .agg(
             F.max((F.col("label") == 1).cast("int")).alias("relevant"),
