@@ -123,7 +123,7 @@ class Scorer:
             r = np.arange(1, len(order) + 1)
             together = -r * np.log(expected[order] + 1e-300) + np.cumsum(np.log(r))
             evidence = float(together.max(initial=0.0))
-            # Of the r segments that give the evidence, none is less likely than chance to be meant.
+            # The passages are the r best segments that together give the evidence.
             best = order[: int(together.argmax()) + 1] if evidence > 0 else []
             found = sorted((*places[j], float(expected[j])) for j in best)
             if found:  # byte offsets to code points
