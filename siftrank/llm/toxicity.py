@@ -7,6 +7,7 @@ an extreme-value law: at least x is expected scale * tokens * exp(-rate * x) tim
 exponential moment over clean tokens is one, the scale comes from the segments of all texts labelled clean.
 A text's evidence is that of its best r segments together, for the r that gives most: how unlikely it is
 that so many of that sum come by chance. A logistic curve through the labelled texts turns evidence into a probability.
+A text's passages are all its segments whose own expected number is below a level, whatever r is.
 
 Tokens are lower-cased runs of ASCII letters and digits and all other non-ASCII bytes. A token has the largest weight
 of its stems of 4, 5 and 7 bytes, as many languages build words from stems. Stems are counted in
@@ -37,6 +38,8 @@ BIN = 0.25
 BINS = 400
 #: A scale is read off only where so many clean segments are left.
 TAIL = 20
+#: A passage is a segment of which a clean text of the same length has fewer than this on average.
+LEVEL = 0.01
 
 
 def token_hasher() -> WordHasher:
@@ -112,20 +115,19 @@ def segments(weights: np.ndarray) -> list[tuple[int, int, float]]:
 class Scorer:
     """Evidence and significant passages of texts. Make one per task."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.hasher = model, token_hasher()
+    def __init__(self, model: Model, level: float = LEVEL) -> None:
+        self.model, self.level, self.hasher = model, level, token_hasher()
 
     def score(self, texts: list[bytes | None]) -> Iterator[tuple[float, list[tuple[int, int, float]]]]:
-        """Per text its evidence and its passages (start, end in code points, expected number in clean text)."""
+        """Per text its evidence and its passages (start, end in code points, expected number in clean text): all
+        segments expected fewer times than the level."""
         for i, n, sums, places in self._segments(texts):
             expected = np.minimum(self.model.scale * n * np.exp(-self.model.rate * sums), 1.0)
             order = np.argsort(expected, kind="stable")
             r = np.arange(1, len(order) + 1)
             together = -r * np.log(expected[order] + 1e-300) + np.cumsum(np.log(r))
             evidence = float(together.max(initial=0.0))
-            # The passages are the r best segments that together give the evidence.
-            best = order[: int(together.argmax()) + 1] if evidence > 0 else []
-            found = sorted((*places[j], float(expected[j])) for j in best)
+            found = [(*places[j], float(expected[j])) for j in np.flatnonzero(expected < self.level)]
             if found:  # byte offsets to code points
                 lead = np.concatenate(([0], np.cumsum((np.frombuffer(texts[i], np.uint8) & 0xC0) != 0x80)))
                 found = [(int(lead[s]), int(lead[e]), x) for s, e, x in found]
@@ -286,9 +288,9 @@ def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str =
 _PASSAGES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("expected", pa.float64())]))
 
 
-def _score(model):
+def _score(model, level: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, m = Scorer(model.value), model.value
+        scorer, m = Scorer(model.value, level), model.value
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for part in slices(texts):
@@ -302,14 +304,15 @@ def _score(model):
     return run
 
 
-def score_toxicity(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, score, passages) for each row of ``documents``: the probability that the label is 1, and the significant toxic
-    passages (start, end in code points, expected number of such in a clean text of that length) in order that make
-    up its evidence.
+def score_toxicity(documents: DataFrame, model: Model, text: str = "text", key: str = "doc_id",
+                   level: float = LEVEL) -> DataFrame:
+    """(key, score, passages) for each row of ``documents``: the probability that the label is 1, and all significant toxic
+    passages (start, end in code points, expected number of such in a clean text of that length) in order: those
+    whose expected number is below ``level``. The score does not depend on ``level``.
     NULL, empty and blank texts have no evidence and get the curve's height; a model of no or one-sided labels
     gives the same score to all. NULL keys and repeated rows pass through, other columns are not looked at."""
     rows = documents.select(F.col(f"`{text}`").cast("binary").alias("text"), F.col(f"`{key}`").alias("key"))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # 4 MB whatever the vocabulary
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_score(shared),
+    return rows.mapInArrow(_score(shared, level),
                            f"key {kind}, score double, passages array<struct<start: bigint, end: bigint, expected: double>>")

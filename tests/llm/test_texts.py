@@ -91,6 +91,30 @@ def test_toxicity_learns_and_marks_passages(spark):
     assert len({r.score for r in toxicity.score_toxicity(docs.limit(5), untaught).collect()}) == 1
 
 
+def _hand_model(*toxic):
+    """A model that gives 1 to the given tokens, -1 to all others, and the plain law exp(-sum) * tokens."""
+    hasher = toxicity.token_hasher()
+    weights = np.full(1 << toxicity.BUCKET_BITS, -1.0, np.float32)
+    weights[toxicity._bucket(hasher.words([" ".join(toxic).encode()]).hash)] = 1.0
+    return toxicity.Model(weights, rate=1.0, scale=1.0)
+
+
+def test_every_significant_passage_is_listed():
+    """One strong passage, two weaker ones and a chance hit; and a clean text with a chance hit."""
+    gap = ["the"] * 40
+    text = [*gap, *["vile"] * 60, *gap, *["vile"] * 15, *gap, "vile", *gap, *["vile"] * 15, *gap]
+    clean = [*gap, *["vile"] * 5, *gap]
+    texts = [" ".join(t) for t in (text, clean, gap)]
+    scorer = toxicity.Scorer(_hand_model("vile"))
+    strong, calm, none = scorer.score([t.encode() for t in texts])
+    assert [texts[0][a:b].split() for a, b, _ in strong[1]] == [["vile"] * n for n in (60, 15, 15)]
+    assert [a for a, _, _ in strong[1]] == sorted(a for a, _, _ in strong[1])
+    assert all(x < toxicity.LEVEL for _, _, x in strong[1])
+    assert calm[1] == none[1] == [] and calm[0] > none[0] == 0
+    every = list(toxicity.Scorer(_hand_model("vile"), level=math.inf).score([texts[0].encode()]))
+    assert len(every[0][1]) == 4 and every[0][0] == strong[0]  # the level leaves the evidence alone
+
+
 BASE_FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
