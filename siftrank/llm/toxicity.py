@@ -9,9 +9,10 @@ A text's evidence is that of its best r segments together, for the r that gives
 that so many of that sum come by chance. A logistic curve through the labelled texts turns evidence into a probability.
 A text's passages are all its segments whose own expected number is below a level, whatever r is.
 
-Tokens are lower-cased runs of ASCII letters and digits and all other non-ASCII bytes. A token has the largest weight
-of its stems of 4, 5 and 7 bytes, as many languages build words from stems. Stems are counted in
-2**20 hash buckets, so the model has a fixed size however large the vocabulary is.
+Tokens are lower-cased runs of ASCII letters and digits and all other non-ASCII bytes. Where a script sets no spaces each
+character begins a token, of up to three characters that overlap with the next. A token has the largest weight of
+itself as a whole and of its stems of 4, 5 and 7 characters (2 in unspaced scripts), as many languages build words from
+stems. All are counted in 2**20 hash buckets, so the model has a fixed size however large the vocabulary is.
 """
 
 from __future__ import annotations
@@ -26,11 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftrank.llm.tables import small_batches
-from siftrank.llm.words import WordHasher, slices, window_hashes
+from siftrank.llm.words import WordHasher, Words, slices, window_hashes
 from siftrank.session import broadcast_if_small, cut_lineage
 
 BUCKET_BITS = 20
 STEMS = (4, 5, 7)
+#: In unspaced scripts a token is so many characters, its stem one less.
+GRAM = 3
+#: Code points, first and last, of scripts without spaces between words, and of signs that stand side by side: Thai, Lao,
+#: Tibetan; Myanmar; Khmer; Tai scripts; Balinese; arrows to dingbats; CJK, kana, bopomofo; Yi; Javanese, Myanmar
+#: extended; compatibility and full-width forms; kana supplements; emoji; further CJK.
+UNSPACED = ((0xE00, 0xFFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x1AAF), (0x1B00, 0x1B7F), (0x2190, 0x2BFF),
+            (0x2E80, 0x312F), (0x31A0, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F),
+            (0xFF00, 0xFFEF), (0x1B000, 0x1B16F), (0x1F000, 0x1FAFF), (0x20000, 0x3FFFF))
+_EDGES = np.array([edge for first, last in UNSPACED for edge in (first, last + 1)])
 PRIOR = 5_000.0
 SIGMAS = 3.0
 COST = 0.5
@@ -42,10 +52,55 @@ TAIL = 20
 LEVEL = 0.01
 
 
-def token_hasher() -> WordHasher:
-    apart = np.ones(256, dtype=bool)
-    apart[48:58] = apart[65:91] = apart[97:123] = apart[128:] = False
-    return WordHasher(True, apart)
+class TokenHasher(WordHasher):
+    """Tokens of texts, and their features: stems and whole tokens."""
+
+    def __init__(self) -> None:
+        apart = np.ones(256, dtype=bool)
+        apart[48:58] = apart[65:91] = apart[97:123] = apart[128:] = False
+        super().__init__(True, apart)
+
+    def _parts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Runs, those of unspaced scripts parted into overlapping sequences of characters, one at each character."""
+        if data.max(initial=0) < 0xE0:
+            return start, end
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        high = np.flatnonzero(data[lead] >= 0xE0)
+        b = [data[np.minimum(lead[high] + i, len(data) - 1)].astype(np.int64) for i in range(4)]
+        point = ((b[0] & 15) << 12) | ((b[1] & 63) << 6) | (b[2] & 63)
+        point = np.where(b[0] < 0xF0, point, ((b[0] & 7) << 18) | ((b[1] & 63) << 12) | ((b[2] & 63) << 6) | (b[3] & 63))
+        high = high[np.searchsorted(_EDGES, point, "right") % 2 == 1]
+        if not len(high):
+            return start, end
+        unspaced, cut = np.zeros(len(data), bool), np.zeros(len(data) + 1, bool)
+        unspaced[lead[high]] = True
+        cut[start] = cut[lead[high]] = cut[np.append(lead, len(data))[high + 1]] = True
+        begin = np.flatnonzero(cut[:-1] & ~self.apart[data])
+        run = np.searchsorted(start, begin, "right") - 1
+        stop = np.minimum(np.append(begin[1:], len(data)), end[run])
+        own = unspaced[begin]
+        joined = own[:-1] & own[1:] & (run[:-1] == run[1:])  # an unspaced character and one more in the same run
+        reach, whole = stop.copy(), joined.copy()
+        for i in range(1, GRAM):
+            at = np.flatnonzero(whole)
+            reach[at] = stop[at + i]
+            whole = whole[:-1] & joined[i:]
+        return begin, reach
+
+    def features(self, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Buckets of the tokens' features of one kind, and which tokens have one that is none of the kinds before."""
+        gram = np.zeros(len(words.start), bool)
+        gram[:-1] = words.end[:-1] > words.start[1:]  # others do not overlap
+        before = np.zeros(len(words.start), np.int64)
+        for size, (hashes, length) in zip((GRAM - 1, *STEMS), self.stems(words, (GRAM - 1, *STEMS))):
+            own = gram if size < STEMS[0] else length > before
+            yield _bucket(hashes), own
+            before = np.where(own, length, before)
+        yield _bucket(words.hash), words.end - words.start > before
+
+
+def token_hasher() -> TokenHasher:
+    return TokenHasher()
 
 
 @dataclass
@@ -136,15 +191,17 @@ class Scorer:
     def _segments(self, texts: list[bytes | None]):
         """Per text its number, its tokens, the sums of its segments and their places in bytes."""
         words = self.hasher.words(texts)
-        weights = None
-        for size in STEMS:
-            own = self.model.weights[_bucket(self.hasher.stems(words, size))]
-            weights = own if weights is None else np.maximum(weights, own)
+        weights = np.full(len(words.start), -np.inf, np.float32)
+        for bucket, own in self.hasher.features(words):
+            weights[own] = np.maximum(weights[own], self.model.weights[bucket[own]])
         up = np.concatenate(([0], np.cumsum(weights > 0)))
         for i, (a, b) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist())):
             found = segments(weights[a:b]) if up[b] > up[a] else []
             begin = words.begin[i]
-            places = [(int(words.start[a + s] - begin), int(words.end[a + e - 1] - begin)) for s, e, _ in found]
+            after = [words.start[a + s] for s, _, _ in found[1:]] + [words.end[b - 1] if b > a else 0]
+            # The last characters' token may reach into the next segment.
+            places = [(int(words.start[a + s] - begin), int(min(words.end[a + e - 1], c) - begin))
+                      for (s, e, _), c in zip(found, after)]
             yield i, b - a, np.array([x for _, _, x in found]), places
 
     def clean_tail(self, texts: list[bytes | None]) -> tuple[np.ndarray, int]:
@@ -184,11 +241,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         for part in slices(texts):
             words = hasher.words(texts[part])
-            doc, length = words.doc(), words.end - words.start
-            keys = []
-            for size_before, stem in zip((0, *STEMS), STEMS):
-                longer = length > size_before  # shorter words are counted with the stem before
-                keys.append(doc[longer] * size + _bucket(hasher.stems(words, stem))[longer])
+            doc = words.doc()
+            keys = [doc[own] * size + bucket[own] for bucket, own in hasher.features(words)]
             once, n = np.unique(np.concatenate(keys), return_counts=True)
             weight = 1 + np.log2(n).astype(np.int64)
             at = toxic[part][once // size] * size + once % size

@@ -71,7 +71,7 @@ class WordHasher:
         inside = np.zeros(len(data) + 2, dtype=bool)
         inside[1:-1] = ~self.apart[data]
         edges = np.flatnonzero(inside[1:] != inside[:-1])
-        start, end = edges[0::2], edges[1::2]
+        start, end = self._parts(data, edges[0::2], edges[1::2])
         if len(data) > len(self.power):
             self._grow(len(data))
         total = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -79,19 +79,32 @@ class WordHasher:
         h = (total[end] - total[start]) * self.inverse[start]
         return start, end, self._finish(h, end - start)
 
+    def _parts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each run of bytes is parted into: itself."""
+        return start, end
+
     @staticmethod
     def _finish(h: np.ndarray, length: np.ndarray) -> np.ndarray:
         return mix(h + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
-    def stems(self, words: Words, size: int) -> np.ndarray:
-        """Hash of the first ``size`` bytes of each word, the word's own where it is not longer."""
+    def stems(self, words: Words, sizes: Sequence[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of the ascending ``sizes`` hash and bytes of the first ``size`` code points of each word, of the word
+        itself where it is not longer."""
         data = np.frombuffer(words.data, dtype=np.uint8)
-        length = np.minimum(words.end - words.start, size)
-        h = np.zeros(len(length), dtype=np.uint64)
-        for i in range(size):
-            more = length > i
-            h[more] += self.values[data[words.start[more] + i]] * self.power[i]
-        return self._finish(h, length)
+        plain = data.max(initial=0) < 128
+        if not plain:
+            lead = np.append(np.flatnonzero((data & 0xC0) != 0x80), [len(data)] * (max(sizes) + 1))
+            first = np.searchsorted(lead[: len(lead) - max(sizes) - 1], words.start)
+        h, done = np.zeros(len(words.start), dtype=np.uint64), np.zeros(len(words.start), dtype=np.int64)
+        for size in sizes:
+            length = np.minimum(words.end, words.start + size if plain else lead[first + size]) - words.start
+            more = np.flatnonzero(length > done)
+            while len(more):
+                at = done[more]
+                h[more] += self.values[data[words.start[more] + at]] * self.power[at]
+                done[more] = at + 1
+                more = more[length[more] > at + 1]
+            yield self._finish(h, length), length
 
     def hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and hash of each word of a byte buffer."""

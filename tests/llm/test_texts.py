@@ -115,6 +115,52 @@ def test_every_significant_passage_is_listed():
     assert len(every[0][1]) == 4 and every[0][0] == strong[0]  # the level leaves the evidence alone
 
 
+def test_tokens_cover_every_byte():
+    hasher = toxicity.token_hasher()
+    texts = ["die Hunde, x", "abc漢字かな def ไทย。 é", "привет мир", "漢", "", "😀😀a", "x漢y 字z"]
+    words = hasher.words([t.encode() for t in texts])
+    got = [[words.data[a:b].decode() for a, b in zip(words.start[i:j], words.end[i:j])]
+           for i, j in zip(words.first[:-1], words.first[1:])]
+    assert got == [["die", "Hunde", "x"], ["abc", "漢字か", "字かな", "かな", "な", "def", "ไทย", "ทย。", "ย。", "。", "é"],
+                   ["привет", "мир"], ["漢"], [], ["😀😀", "😀", "a"], ["x", "漢", "y", "字", "z"]]
+    flat = [w for row in got for w in row]
+    features = [[] for _ in flat]
+    for bucket, own in hasher.features(words):
+        for i in np.flatnonzero(own):
+            features[i].append(bucket[i])
+    alone = lambda t: toxicity._bucket(hasher._piece(np.frombuffer(t.lower().encode(), np.uint8))[2])[0]
+    assert features[flat.index("привет")] == [alone("прив"), alone("приве"), alone("привет")]
+    assert features[flat.index("Hunde")] == [alone("Hund"), alone("Hunde")] and len(features[flat.index("x")]) == 1
+    assert len(features[flat.index("字かな")]) == 2 and len(features[flat.index("かな")]) == 1
+    broken = hasher.words([b"\x80\xbfab \xe6\xbc", b"\xff\xf0 \xe6\xbc\xa2\x80\x80\xe6"])
+    assert (broken.end > broken.start).all() and all(len(b) == len(broken.start) for b, _ in hasher.features(broken))
+
+
+def test_toxicity_learns_what_only_the_rest_of_a_token_tells(spark):
+    """Long tokens that differ after their stems, Chinese and Thai without spaces, Cyrillic and Greek."""
+    draw = random.Random(7)
+    pairs = {"latin": ("unbelievablyvile", "unbelievablykind", " "), "greek": ("καταραμενος", "καταλαβαινω", " "),
+             "cyrillic": ("проклятый", "проклассный", " "), "chinese": ("混蛋去死", "早安你好", ""), "thai": ("เลวมากไป", "ดีใจจังค", "")}
+    letters = {"latin": "abcdefgh", "greek": "αβγδεζηθ", "cyrillic": "абвгдежз", "chinese": "天地人山水火木金土日月", "thai": "กขคงจฉชซ"}
+    rows, labels = [], []
+    for kind, (bad, good, space) in pairs.items():
+        for i in range(240):
+            text = ["".join(draw.choice(letters[kind]) for _ in range(3)) for _ in range(40)]
+            text[20:20] = [bad if i % 4 == 0 else good] * 2
+            labels.append((len(rows), int(i % 4 == 0)))
+            rows.append((len(rows), space.join(text), kind))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.fit(docs.where("doc_id % 5 <> 0"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.key: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for kind, (bad, _, _) in pairs.items():
+        held = [(i, text) for i, text, k in rows if k == kind and i % 5 == 0]
+        right = sum((got[i].score >= 0.5) == labels[i][1] for i, _ in held)
+        assert right >= 0.95 * len(held), (kind, right, len(held))
+        for i, text in held:
+            if labels[i][1]:
+                assert any(p.start < text.index(bad) + 2 * len(bad) and p.end > text.index(bad) for p in got[i].passages), kind
+
+
 BASE_FORMS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
