@@ -7,8 +7,11 @@ parts that fit in memory, each for the suffixes that begin with certain prefixes
 1. ``anchors``. Most suffixes share nothing, so they are told apart first: of the 6-word sequences inside a window
    the one with the smallest hash is its anchor (one word in five or so is one). Windows that are equal have equal
    anchors, so only suffixes whose anchor occurs in two texts go on. This drops no repeat.
-2. ``prefixes``. The remaining suffixes are counted by their first 1, 2, 3, 5, 8 words. A prefix with more
-   suffixes than fit is replaced by longer ones. The suffixes of short prefixes are dealt to memory-sized groups.
+2. ``prefixes``. The remaining suffixes are counted by their first word, over all texts. A prefix with more than half the
+   suffixes that fit is replaced by longer ones (2, 3, 5, 8 words, the window), counted in turn. Of the prefixes that
+   remain, those with more than 1/64 of what fits are packed into groups by their counts; the others are dealt by hash to
+   groups that they fill by half. Only a single window with more entries than fit has a larger group, and it has
+   one entry a block of texts.
 3. ``subtrees``. A group sorts its suffixes and finds common prefixes of neighbours, which are the internal nodes;
    those of full depth are the repeats, and their smallest document keeps its words.
 
@@ -21,6 +24,7 @@ window.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -233,33 +237,65 @@ class _Suffixes:
         self.lead = np.flatnonzero(lead)
 
 
-def _prefixes(block: _Block, pos: np.ndarray, lengths) -> list[np.ndarray]:
-    return [window_hashes(block.hash, n)[pos] for n in lengths]
+def _lengths(window: int) -> list[int]:
+    return [n for n in LENGTHS if n < window] + [window]
 
 
-def _count_prefixes(window: int, least: int):
-    """Counts of the prefixes of a block that are frequent in it, by length; length 0 counts all suffixes."""
-    lengths = [n for n in LENGTHS if n < window]
+def _count_prefixes(window: int, length: int, heavy: dict[int, np.ndarray]):
+    """Counts of a block's prefixes of ``length`` words, of the suffixes whose shorter prefixes are all heavy."""
+    shorter = [n for n in _lengths(window) if n < length]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches, window):
             s = _Suffixes(block, rows)
             pos = s.pos[s.lead]
-            out = [(0, 0, len(pos))]
-            for n, prefix in zip(lengths, _prefixes(block, pos, lengths)):
-                values, counts = np.unique(prefix, return_counts=True)
-                often = counts >= least
-                out += [(n, int(v), int(c)) for v, c in zip(values[often].view(np.int64), counts[often])]
-            length, prefix, count = zip(*out)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(length, pa.int32()), pa.array(prefix, pa.int64()), pa.array(count, pa.int64())],
-                ["length", "prefix", "n"])
+            for n in shorter:
+                pos = pos[np.isin(window_hashes(block.hash, n)[pos], heavy[n])]
+            values, counts = np.unique(window_hashes(block.hash, length)[pos], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))],
+                                             ["prefix", "n"])
     return run
 
 
-def _send_suffixes(window: int, groups: int, heavy: dict[int, np.ndarray]):
+def _plan_groups(suspects: DataFrame, window: int, bound: int, parts: int):
+    """The prefixes by length that longer ones replace; the prefixes that have a group by name, in order, with their
+    groups; how many groups the others are dealt to, whose numbers come first; how many groups there are.
+
+    Counts are summed over all blocks before any is left out. What comes here has more than ``bound`` / 64 suffixes:
+    at most 64 * suffixes / ``bound`` prefixes of each length."""
+    heavy: dict[int, np.ndarray] = {}
+    total, sizes, names = 0, [], []
+    for n in _lengths(window):
+        counts = cut_lineage(suspects.mapInArrow(_count_prefixes(window, n, heavy), "prefix long, n long")
+                             .groupBy("prefix").agg(F.sum("n").alias("n")))
+        if n == 1:
+            total = counts.agg(F.sum("n")).first()[0] or 0
+        many = counts.where(F.col("n") > bound // 64).toArrow()
+        prefix, size = many["prefix"].to_numpy().view(np.uint64), many["n"].to_numpy()
+        more = size > bound // 2 if n < window else np.zeros(len(size), bool)
+        names.append(prefix[~more])
+        sizes.append(size[~more])
+        heavy[n] = np.sort(prefix[more])
+        if not more.any():
+            break
+    light = max(parts, total // max(1, bound // 2) + 1)
+    name, size = np.concatenate(names), np.concatenate(sizes)
+    order = np.lexsort((name, -size))
+    group, rooms = np.zeros(len(name), np.int64), []  # (suffixes, group) of the groups, the emptiest first
+    for i in order.tolist():
+        if rooms and rooms[0][0] + size[i] <= bound:
+            held, at = heappop(rooms)
+        else:
+            held, at = 0, light + len(rooms)
+        group[i] = at
+        heappush(rooms, (held + int(size[i]), at))
+    order = np.argsort(name, kind="stable")
+    return heavy, name[order], group[order], light, light + len(rooms)
+
+
+def _send_suffixes(window: int, heavy: dict[int, np.ndarray], names: np.ndarray, places: np.ndarray, light: int, groups: int):
     """Kind 0: a window's path and hash for its group; kind 1: a window that an earlier text here has too."""
-    lengths = [n for n in LENGTHS if n < window] + [window]
+    lengths = _lengths(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in _blocks(batches, window):
@@ -278,8 +314,11 @@ def _send_suffixes(window: int, groups: int, heavy: dict[int, np.ndarray]):
                     break
                 open_ &= np.isin(prefix, heavy[n])
             path = np.stack([block.hash[pos + j].astype("<u2") for j in range(window)], axis=1)
-            yield _rows(block, (route >> np.uint64(8)).astype(np.int64) % groups, 0, s.value[s.lead], path,
-                        s.doc[s.lead], pos)
+            grp = (route >> np.uint64(8)).astype(np.int64) % light
+            if len(names):
+                i = np.minimum(np.searchsorted(names, route), len(names) - 1)
+                grp = np.where(names[i] == route, places[i], grp)
+            yield _rows(block, grp, 0, s.value[s.lead], path, s.doc[s.lead], pos)
     return run
 
 
@@ -395,14 +434,8 @@ def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text
     suspects = cut_lineage(single.join(near, ["key", "print"], "left_semi").join(repeated, ["key", "print"])
                            .select("key", "print", "text", "found"))
 
-    counts = suspects.mapInArrow(_count_prefixes(window, max(1, group_suffixes // 64)),
-                                 "length int, prefix long, n long").groupBy("length", "prefix").agg(F.sum("n").alias("n"))
-    # At most (suffixes / group_suffixes) * 2 prefixes of each length.
-    many = counts.where((F.col("length") == 0) | (F.col("n") > group_suffixes // 2)).collect()
-    total = sum(r.n for r in many if r.length == 0)
-    heavy = {n: np.array([r.prefix for r in many if r.length == n], np.int64).view(np.uint64) for n in LENGTHS}
-    groups = max(parts, total // group_suffixes + 1)
-    sent = suspects.mapInArrow(_send_suffixes(window, groups, heavy), _ENTRY)
+    plan = _plan_groups(suspects, window, group_suffixes, parts)
+    sent = suspects.mapInArrow(_send_suffixes(window, *plan), _ENTRY)
     replies = sent.repartitionById(parts, "grp").sortWithinPartitions("grp").mapInArrow(_subtrees(window, parts), _REPLY)
     gone = cut_lineage(replies.repartitionById(parts, "part").mapInArrow(_by_document, _FOUND))
 

@@ -1,10 +1,13 @@
 """Exact, near and substring dedup against plain versions."""
 
+import json
 import random
+import uuid
 from collections import Counter
 
 import pytest
 
+from siftrank.llm import substring_dedup as module
 from siftrank.llm.components import components
 from siftrank.llm.exact_dedup import CuckooIndex, exact_dedup
 from siftrank.llm.near_dedup import near_dedup
@@ -120,6 +123,42 @@ def test_substring_dedup(spark, suffixes):
     assert Counter((r.key, r.n_words, r.n_removed, r.kept_text) for r in got) == cut_repeats(rows)
 
 
+def test_no_group_of_suffixes_exceeds_the_bound(spark, tmp_path, monkeypatch):
+    """Many small blocks, in each of which every prefix is rare; one first word begins half of all suffixes."""
+    draw, bound = random.Random(9), 600
+    lines = [" ".join(["hot" if draw.random() < 0.5 else f"w{draw.randrange(60)}" for _ in range(30)]) for _ in range(300)]
+    rows = [(i, f"{lines[i % 300]} {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(100, "doc_id")
+    whole = module._subtrees
+
+    def counted(window, parts):
+        inner, folder = whole(window, parts), str(tmp_path)
+
+        def run(batches):
+            sizes = Counter()
+
+            def seen():
+                for batch in batches:
+                    for r in batch.to_pylist():
+                        if r["kind"] == 0:
+                            sizes[r["grp"]] += len(r["pos"]) // 4
+                    yield batch
+            yield from inner(seen())
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                json.dump(list(sizes.values()), f)
+        return run
+
+    monkeypatch.setattr(module, "_subtrees", counted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # a batch is a block
+    try:
+        got = substring_dedup(docs, group_suffixes=bound).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert Counter((r.key, r.n_words, r.n_removed, r.kept_text) for r in got) == cut_repeats(rows)
+    sizes = [n for p in tmp_path.iterdir() for n in json.loads(p.read_text())]
+    assert sum(sizes) > 8 * bound and max(sizes) <= bound
+
+
 def test_substring_dedup_of_edge_rows(spark):
     rows = edge_rows()
     got = substring_dedup(spark.createDataFrame(rows, EDGE_SCHEMA)).collect()
