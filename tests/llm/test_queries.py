@@ -37,6 +37,14 @@ def test_near_dedup_query(spark, documents):
     assert got == near_components([(d.doc_id, d.text) for d in documents])
 
 
+def test_packing_query_keeps_near_copies_apart(spark, documents):
+    near = near_components([(d.doc_id, d.text) for d in documents])
+    got = queries.REGISTRY["op8_best_fit_packing"](spark, FOLDER).collect()
+    assert {r.doc_id for r in got} == set(near)
+    assert len({(r.doc_id, r.piece) for r in got}) == len(got)
+    assert len({(r.bin, near[r.doc_id]) for r in got}) == len(got)
+
+
 def test_substring_dedup_query(spark, documents):
     got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256)
            for r in queries.REGISTRY["op9_substring_dedup"](spark, FOLDER).collect()}
