@@ -126,3 +126,27 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup(documents).select(
         F.col("row.doc_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.quality_rules import quality_rules
+
+    trusted = table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    return quality_rules(table(spark, folder, "documents").select("doc_id", "text"), trusted)
+
+
+@register
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.audit import filter_audit
+
+    return filter_audit(table(spark, folder, "documents").select("doc_id", "text", "source"),
+                        table(spark, folder, "labels").select("doc_id", "quality", "toxic"))
+
+
+@register
+def op13_cross_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    from siftrank.llm.alignment import cross_align
+
+    aligned = cross_align(table(spark, folder, "documents").select("doc_id", "text"), digest=True)
+    return aligned.withColumnsRenamed({"key": "doc_id", "groups": "groups_sha256"})
