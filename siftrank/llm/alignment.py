@@ -38,7 +38,8 @@ from siftrank.session import broadcast_if_small, cut_lineage
 FOLDER = "/opt/tokenizers"
 FILES = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 SLICE_BYTES = 1 << 18
-PIECE_CHARS = 1 << 16
+#: Tokens, and their words, that a task keeps to encode a word once.
+KEPT_TOKENS = 1 << 21
 HOT = 1000
 _PLACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -144,25 +145,37 @@ def divide(ea: np.ndarray, eb: np.ndarray, first_a: np.ndarray, first_b: np.ndar
     return np.sort(np.concatenate(cuts_a)), np.sort(np.concatenate(cuts_b))
 
 
-def _segments(text: str) -> list[str]:
-    """The text in pieces that begin with a space and are encoded alike together and alone."""
-    out, begin = [], 0
-    while len(text) - begin > PIECE_CHARS:
-        place = _PLACE.search(text, begin + PIECE_CHARS)
-        if not place:
-            break
-        out.append(text[begin : place.start()])
-        begin = place.start()
-    out.append(text[begin:])
-    return out
-
-
-def _tokens(vocabulary: Vocabulary, parts: list[str], doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all parts, and how many each of the ``n`` texts has."""
-    ids = vocabulary.encode(parts)
-    sizes = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=int(sizes.sum()))
-    return flat, np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
+class _Encoder:
+    """Ids of words by several vocabularies. Words met before are looked up; the table begins anew when it is full."""
+
+    def __init__(self, vocabularies: Sequence[Vocabulary]) -> None:
+        self.vocabularies = vocabularies
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        none = np.zeros(0, dtype=np.int64)
+        self.ids, self.size = [none for _ in self.vocabularies], [none for _ in self.vocabularies]
+
+    def encode(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each vocabulary the ids of all words, one after the other, and how many each word has."""
+        if max(map(len, self.ids)) > KEPT_TOKENS:
+            self._clear()
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            for v, vocabulary in enumerate(self.vocabularies):
+                found = vocabulary.encode([" " + w for w in new])
+                sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+                flat = np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
+                self.ids[v], self.size[v] = np.concatenate((self.ids[v], flat)), np.concatenate((self.size[v], sizes))
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        out = []
+        for ids, size in zip(self.ids, self.size):
+            sizes, first = size[at], (np.cumsum(size) - size)[at]
+            place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - first, sizes)
+            out.append((ids[place], sizes))
+        return out
 
 
 def _first(counts: np.ndarray) -> np.ndarray:
@@ -180,6 +193,7 @@ class Aligner:
 
     def __init__(self, folder: str) -> None:
         self.a, self.b = load(folder)
+        self.encoder = _Encoder((self.a, self.b))
         # Ids as they stand in the description of groups, with what follows: , or | after A, nothing, comma or ; after B.
         names = [f"{i}{x}" for i in range(len(self.a.size)) for x in (",", "|")]
         names += [f"{i}{x}" for i in range(len(self.b.size)) for x in ("", ",", ";")]
@@ -190,13 +204,12 @@ class Aligner:
         of times, pairs of all texts one after the other, with where each text's begin."""
         n = len(texts)
         filled = [t or "" for t in texts]
-        cut = [_segments(" " + t) if t else [] for t in filled]
-        parts = list(chain.from_iterable(cut))
+        cut = [_PLACE.split(t) if t else [] for t in filled]  # a space goes before each
         doc = np.repeat(np.arange(n), [len(c) for c in cut])
         whole = pa.array([(" " + t).encode() if t else b"" for t in filled], pa.binary())
         sides, same = [], np.ones(n, dtype=bool)
-        for vocabulary in (self.a, self.b):
-            ids, counts = _tokens(vocabulary, parts, doc, n)
+        for vocabulary, (ids, sizes) in zip((self.a, self.b), self.encoder.encode(list(chain.from_iterable(cut)))):
+            counts = np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
             back = _joined(vocabulary.token, ids, counts)
             same &= pc.equal(back.cast(pa.binary()), whole).to_numpy(zero_copy_only=False)
             sides.append((ids, counts))

@@ -89,7 +89,7 @@ def test_shuffled_pairs_give_the_same_scores(spark, monkeypatch):
     want = sorted(map(tuple, alignment.cross_align(docs, digest=True).collect()))
     monkeypatch.setattr(alignment, "broadcast_if_small", lambda df, row_bytes: df)
     monkeypatch.setattr(alignment, "SLICE_BYTES", 5000)
-    monkeypatch.setattr(alignment, "PIECE_CHARS", 50)
+    monkeypatch.setattr(alignment, "KEPT_TOKENS", 500)
     assert sorted(map(tuple, alignment.cross_align(docs, digest=True).collect())) == want
 
 
@@ -114,10 +114,12 @@ def test_divide_finds_every_common_end(texts):
     assert ea[ga - 1].tolist() == eb[gb - 1].tolist() == sorted(set(a) & set(b))
 
 
-@pytest.mark.parametrize("text", [" plain words of no great length, 12 of them, it's said\n\n  and more", " é ü 日本 x  y\t z " * 9])
-def test_segments_are_encoded_alike(text, monkeypatch):
-    monkeypatch.setattr(alignment, "PIECE_CHARS", 5)
-    cut = alignment._segments(text)
-    assert "".join(cut) == text and len(cut) > 2
-    for vocabulary in alignment.load(alignment.FOLDER):
-        assert sum(vocabulary.encode(cut), []) == vocabulary.encode([text])[0]
+@pytest.mark.parametrize("text", ["plain words of no great length, 12 of them, it's said\n\n  and more", "é ü 日本 x  y\t z " * 9])
+def test_words_are_encoded_alike(text):
+    vocabularies = alignment.load(alignment.FOLDER)
+    encoder = alignment._Encoder(vocabularies)
+    cut = alignment._PLACE.split(text)
+    assert " ".join(cut) == text and len(cut) > 5
+    for _ in range(2):  # new words, then known ones
+        for vocabulary, (ids, sizes) in zip(vocabularies, encoder.encode(cut)):
+            assert ids.tolist() == vocabulary.encode([" " + text])[0] and len(sizes) == len(cut)
