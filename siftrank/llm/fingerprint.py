@@ -123,34 +123,60 @@ def with_next(documents: DataFrame, key: str, text: str) -> DataFrame:
     """(key, text, next_text) for each row of ``documents``: the text of the row that follows in descending order of the key,
     after the last that of the first.
 
-    Keys are cut into ranges by their quantiles, one exchange brings the rows of a range together, and the first row
-    of each range goes to the range before it, too. No range depends on how often one key occurs, unless rows repeat
+    Keys are cut into four ranges of like bytes for each shuffle partition, one exchange brings the rows of a range together, and the first row
+    of each range goes to the range before it, too. The plan has one size for any number of ranges. No range depends on how often one key occurs, unless rows repeat
     a key: those follow each other by their text's hash, and NULL keys come last.
     """
     spark = documents.sparkSession
     least = F.lit(-(1 << 63)).cast("long")
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.select("key", "text", F.coalesce("key", least).alias("_o"), F.xxhash64("text").alias("_t"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("_o", [i / parts for i in range(1, parts)], 10_000).alias("cuts")).first().cuts \
-        if parts > 1 else []
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.split(F.lit(",".join(str(i / (2 * ranges)) for i in range(1, 2 * ranges))), ",").cast("array<double>")
+    cuts = rows.agg(F.percentile_approx("_o", shares, 4 * ranges).alias("cuts")).first().cuts
     cuts = sorted(set(cuts or []))
-    # As many bounds as shuffle partitions; the row's range is the number of bounds below it.
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    rows = rows.withColumn("_b", F.size(F.filter(bounds, lambda c: c < F.col("_o"))))
-    tops = rows.groupBy("_b").agg(F.max(F.struct("_o", "_t")).alias("top")).orderBy(F.desc("_b")).collect()
-    sent = F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("head")))
-    for i, r in enumerate(tops):
-        before = tops[i - 1]._b  # the range that it follows; the first follows the last
-        first = (F.col("_b") == r._b) & (F.col("_o") == r.top._o) & (F.col("_t") == r.top._t)
-        sent = F.when(first, F.array(F.struct(F.col("_b").alias("b"), F.lit(False).alias("head")),
-                                     F.struct(F.lit(before).alias("b"), F.lit(True).alias("head")))).otherwise(sent)
-    dealt = rows.withColumn("_s", F.explode(sent)).select("key", "text", "_o", "_t", "_s.b", "_s.head")
+    fine = rows.withColumn("_b", _below(F.col("_o"), cuts))
+    found = fine.groupBy("_b").agg(F.max(F.struct("_o", "_t")).alias("top"), F.sum(F.octet_length("text") + 1).alias("bytes")).orderBy("_b").collect()
+    most, bounds, tops, held = sum(r.bytes for r in found) / ranges, [], [], 0
+    for r in found:  # at most 2 * ranges rows
+        if tops and held + r.bytes <= most:
+            held, tops[-1] = held + r.bytes, r.top
+        else:
+            if tops:
+                bounds.append(last)
+            tops.append(r.top)
+            held = r.bytes
+        last = cuts[r._b] if r._b < len(cuts) else None
+    # The first row of each range goes also to the range before it; the first range of all follows the last.
+    heads = [(i, t._o, t._t, (i + 1) % len(tops)) for i, t in enumerate(tops)]
+    heads = F.broadcast(spark.createDataFrame(heads, "_b int, _ho long, _ht long, _before int"))  # one row a range
+    ranged = rows.withColumn("_b", _below(F.col("_o"), bounds)).join(heads, "_b")
+    own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("head"))
+    both = F.array(own, F.struct(F.col("_before").alias("b"), F.lit(True).alias("head")))
+    first = (F.col("_o") == F.col("_ho")) & (F.col("_t") == F.col("_ht"))
+    dealt = ranged.withColumn("_s", F.explode(F.when(first, both).otherwise(F.array(own)))).select(
+        "key", "text", "_o", "_t", "_s.b", "_s.head")
     order = W.partitionBy("b").orderBy("head", F.desc("_o"), F.desc("_t"))
     return dealt.withColumn("next_text", F.lead("text").over(order)).where(~F.col("head")).select(
         "key", "text", "next_text")
 
 
+def _below(value: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are below ``value``, by bisection. The bounds are one constant of the plan."""
+    if not bounds:
+        return F.lit(0)
+    held = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    begin = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+
+    def halve(s, _):
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        return F.when(s["low"] >= s["high"], s).otherwise(F.when(
+            F.get(held, middle) < value, F.struct((middle + 1).alias("low"), s["high"].alias("high"))).otherwise(
+            F.struct(s["low"].alias("low"), middle.alias("high"))))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), begin, halve, lambda s: s["low"])
+
+
 def edited(text: Column, next_text: Column) -> Column:
     """The text with its last floor(n / 2) code points replaced by the first as many, or all, of the next text."""
     half = F.floor(F.length(text) / 2).cast("int")

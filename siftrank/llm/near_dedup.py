@@ -6,8 +6,8 @@
 2. In a bucket the smallest node is joined to each other one: as many candidates as members. Candidates are confirmed on
    full sets, confirmed links give components.
 3. What stars can miss are links between two members that the centre is not linked with. Only buckets that still
-   hold several components are looked at again: members of different components are compared by a signature
-   of 1024 bins inside tasks (blocks of 512 members, block pairs for larger buckets), pairs that look similar enough
+   hold several components are looked at again: members outside the largest component are compared with those of other
+   components by a signature of 1024 bins inside tasks (in blocks of 512), pairs that look similar enough
    (estimate 0.05 below the limit or more: 3.7 standard deviations) are confirmed on full sets too.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftrank.llm.components import components
-from siftrank.llm.shingles import Signer, set_digest, shingle_sets
+from siftrank.llm.shingles import Signer, counted_sets, first_by_bin, set_digest, shingle_sets
 from siftrank.llm.tables import small_batches
 from siftrank.llm.words import WordHasher, slices
 from siftrank.session import broadcast_if_small, cut_lineage
@@ -31,6 +31,7 @@ PERCENT = 75
 WIDE_BINS = 1024
 MARGIN = 0.05
 BLOCK = 512
+CELL = ["bucket", "i", "j"]
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -53,13 +54,13 @@ def _sign(size: int):
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for part in slices(texts):
-                sets = shingle_sets(hasher, texts[part], size)
+                words, sets = counted_sets(hasher, texts[part], size)
                 bands = signer.bands(signer.signatures(sets)).view(np.int64)
                 bands = [b if len(s) else b[:0] for b, s in zip(bands, sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [keys[part], pa.array([len(s) for s in sets], pa.int64()),
+                    [keys[part], pa.array(words, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([set_digest(s) for s in sets], pa.binary()), _longs(bands)],
-                    ["key", "n_shingles", "node", "bands"])
+                    ["key", "n_words", "n_shingles", "node", "bands"])
             pa.default_memory_pool().release_unused()
     return run
 
@@ -78,52 +79,45 @@ def _full_sets(size: int):
 
 
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The buckets of a node, and its signature of 1024 bins, one byte each."""
-    narrow, signer = Signer(), Signer(WIDE_BINS)
+    """The signature of a node: the smallest hash of each of 1024 bins as one byte, 0 where the bin is empty."""
     for batch in batches:
         nodes, lists = batch.column(0), batch.column(1)
         for begin in range(0, len(nodes), 1000):
             sets = [np.asarray(x.values).view(np.uint64) for x in lists[begin : begin + 1000]]
-            signs = (signer.signatures(sets) & np.uint64(255)).astype(np.uint8)
-            bands = narrow.bands(narrow.signatures(sets))
-            yield pa.RecordBatch.from_arrays(
-                [nodes[begin : begin + 1000], _binary(bands.view(np.uint8)), _binary(signs)], ["node", "bands", "wide"])
+            values, full = first_by_bin(sets, WIDE_BINS)
+            signs = np.where(full, 1 + values % np.uint64(255), 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([nodes[begin : begin + 1000], _binary(signs)], ["node", "wide"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of one cell that look similar and lie in different components. Input is sorted by cell."""
+    """Pairs of one cell, a stray and a member, that look similar and lie in different components. Input is sorted by cell.
+
+    Of the bins that are full on either side, those that agree estimate the similarity without bias. Two agreements are
+    forgiven, as small sets have few bins to be estimated from."""
     close = percent / 100 - MARGIN
-    least = close + (1 - close) / 256  # bytes of different hashes agree once in 256
     held: list[pa.RecordBatch] = []
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        node, comp, block = (rows.column(c).to_pylist() for c in ("node", "component", "block"))
+        node, comp = np.array(rows.column("node").to_pylist(), dtype=object), rows.column("component").to_pylist()
         wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), dtype=np.int64).reshape(len(node), -1)
-        bucket = rows.column("bucket")[0].as_py()
         codes = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        comp, block = np.array([codes[c] for c in comp]), np.array(block)
-        same_block = block.min() == block.max()
+        comp, stray = np.array([codes[c] for c in comp]), rows.column("stray").to_numpy()
+        member = np.flatnonzero(~stray)
         out_a, out_b = [], []
-        for i in range(len(node) - 1):
-            other = comp[i + 1 :] != comp[i]
-            if not same_block:  # pairs inside a block are compared in the block's own cell
-                other &= block[i + 1 :] != block[i]
-            j = np.flatnonzero(other) + i + 1
-            if len(j):
-                j = j[(wide[j] == wide[i]).mean(axis=1) >= least]
-                same = bands[j] == bands[i]
-                # A pair counts in the first bucket that it shares.
-                for k in j[bands[i][same.argmax(axis=1)] == bucket]:
-                    a, b = sorted((node[i], node[k]))
-                    out_a.append(a)
-                    out_b.append(b)
+        for i in np.flatnonzero(stray):
+            j = member[comp[member] != comp[i]]
+            both, either = wide[j] & wide[i], wide[j] | wide[i]
+            agree = ((wide[j] == wide[i]) & (both != 0)).sum(axis=1)
+            for k in j[agree + 2 >= close * (either != 0).sum(axis=1)]:
+                a, b = sorted((node[i], node[k]))
+                out_a.append(a)
+                out_b.append(b)
         return pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
     def cells() -> Iterator[pa.Table]:
         last = None
         for batch in batches:
-            cell = list(zip(batch.column("bucket").to_pylist(), batch.column("cell").to_pylist()))
+            cell = list(zip(*(batch.column(c).to_pylist() for c in CELL)))
             begin = 0
             for i in range(1, len(cell) + 1):
                 if i == len(cell) or cell[i] != cell[begin]:
@@ -149,29 +143,46 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * union).select("a", "b")
 
 
+def leftover_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Columns bucket, i, j, stray, component and node: who is compared with whom in buckets of several components.
+
+    Members outside a bucket's largest component are strays. Each stray meets each member: cell (i, j) has the strays of block i and
+    the members of block j. So a bucket of n members and s strays gives about n * (1 + s / BLOCK) + s * n / BLOCK rows, and a single
+    stray among a million members little more than a million. Pairs inside the largest component are never formed."""
+    placed = cut_lineage(members.join(labels.select("node", "component"), "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component")))
+    sizes = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("components"))
+    mixed = cut_lineage(mixed.where("components > 1").select(
+        "bucket", F.col("top.component").alias("largest"), F.ceil(F.col("n") / BLOCK).cast("int").alias("member_blocks"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("stray_blocks")))
+    rows = placed.join(mixed, "bucket")
+
+    def block(blocks: str):
+        return F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+
+    def every(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    out = ["component", "node"]
+    strays = rows.where("component <> largest").select(
+        "bucket", block("stray_blocks").alias("i"), every("member_blocks").alias("j"), F.lit(True).alias("stray"), *out)
+    others = rows.select("bucket", every("stray_blocks").alias("i"), block("member_blocks").alias("j"), F.lit(False).alias("stray"), *out)
+    return strays.unionByName(others)
+
+
 def _leftover(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of buckets that hold several components, by wide signatures."""
-    placed = members.join(labels.select("node", "component"), "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component"))
-    placed = cut_lineage(placed)
-    mixed = (placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                          F.count(F.lit(1)).alias("n"))
-             .where("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    wide = sets.mapInArrow(_wide, "node binary, bands binary, wide binary")
-    # Each block meets itself and each other block of its bucket in a cell of its own.
-    rows = (placed.join(mixed, "bucket")
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("bucket", F.concat_ws("-", F.least("block", "other"), F.greatest("block", "other")).alias("cell"),
-                    "block", "component", "node")
-            .join(wide, "node"))
-    laid = rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell")
+    """Pairs of buckets that hold several components, by wide signatures of their members only."""
+    cells = cut_lineage(leftover_cells(members, labels))
+    wide = sets.join(cells.select("node").distinct(), "node", "left_semi").mapInArrow(_wide, "node binary, wide binary")
+    laid = cells.join(cut_lineage(wide), "node").repartition(*CELL).sortWithinPartitions(*CELL)
     return laid.mapInArrow(lambda rows: _compare(rows, percent), "a binary, b binary").distinct()
 
 
 def near_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS,
                percent: int = PERCENT) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``documents``.
+    """(key, n_shingles, n_words, component_id, kept) for each row of ``documents``.
 
     Texts link when 100 * intersection >= percent * union of their sets of ``shingle_words``-word shingles
     (lower-cased A-Z; a text with fewer words is one shingle). ``component_id`` is the smallest key reachable
@@ -182,7 +193,7 @@ def near_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", sh
     small_batches(documents.sparkSession)
     rows = documents.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
     signed = cut_lineage(rows.mapInArrow(_sign(shingle_words),
-                                         "key long, n_shingles long, node binary, bands array<long>"))
+                                         "key long, n_words long, n_shingles long, node binary, bands array<long>"))
     linked = signed.where("n_shingles > 0 and key is not null")
     nodes = linked.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
     nodes = cut_lineage(nodes)
@@ -210,8 +221,8 @@ def near_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", sh
     least = named.groupBy("component").agg(F.min("key").alias("component_id"))
     named = cut_lineage(named.join(least, "component").select("node", "component_id"))
     own = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "key").alias("component_id"))
-    return (signed.select("key", "n_shingles", F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0),
+    return (signed.select("key", "n_words", "n_shingles", F.when(F.col("key").isNotNull() & (F.col("n_shingles") > 0),
                                                       F.col("node")).alias("node"))
             .join(cut_lineage(own), "node", "left")
-            .select("key", "n_shingles", F.coalesce("component_id", "key").alias("component_id"))
+            .select("key", "n_shingles", "n_words", F.coalesce("component_id", "key").alias("component_id"))
             .withColumn("kept", F.col("key").eqNullSafe(F.col("component_id"))))

@@ -97,16 +97,15 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from siftrank.llm.near_dedup import near_dedup
-    from siftrank.llm.packing import count_words, pack
+    from siftrank.llm.packing import pack
 
     # Near copies are one cluster. A row is known by id and text, as ids may repeat; texts without words are copies if equal.
     documents = table(spark, folder, "documents").select(
         "doc_id", "text", "source", F.xxhash64("doc_id", "text").alias("row_id"))
-    near = near_dedup(documents, key="row_id").where("n_shingles > 0").groupBy(F.col("key").alias("row_id")).agg(
-        F.min("component_id").alias("component_id"))
-    lengths = documents.select("doc_id", "source", "row_id", count_words(F.col("text")).alias("n_words"),
-                               F.md5(F.coalesce("text", F.lit(""))).alias("copy"))
-    packed = pack(lengths.join(near, "row_id", "left"), F.col("n_words"),
+    near = near_dedup(documents, key="row_id").groupBy(F.col("key").alias("row_id")).agg(
+        F.max("n_words").alias("n_words"), F.min(F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("component_id"))
+    rows = documents.select("doc_id", "source", "row_id", F.md5(F.coalesce("text", F.lit(""))).alias("copy"))
+    packed = pack(rows.join(near, "row_id"), F.col("n_words"),
                   F.coalesce(F.col("component_id").cast("string"), F.col("copy")))
     return packed.withColumnRenamed("key", "doc_id")
 

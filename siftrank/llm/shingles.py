@@ -15,6 +15,11 @@ ROWS = 4
 def shingle_sets(hasher: WordHasher, texts: Sequence[bytes | None], size: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the ``size``-word shingles of each text; a text with fewer words has its
     whole word sequence as the only one, a text without words has none."""
+    return counted_sets(hasher, texts, size)[1]
+
+
+def counted_sets(hasher: WordHasher, texts: Sequence[bytes | None], size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The number of words of each text, and its ``shingle_sets``."""
     words = hasher.words(texts)
     every = window_hashes(words.hash, size)
     out = []
@@ -26,7 +31,20 @@ def shingle_sets(hasher: WordHasher, texts: Sequence[bytes | None], size: int) -
             out.append(window_hashes(words.hash[a:b], b - a) ^ np.uint64(0xA5A5A5A5 + (b - a)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
-    return out
+    return np.diff(words.first), out
+
+
+def first_by_bin(sets: Sequence[np.ndarray], bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each ascending set the smallest hash of each bin, which the top bits choose, and which bins have any."""
+    shift = np.uint64(64 - bins.bit_length() + 1)
+    out = np.zeros((len(sets), bins), dtype=np.uint64)
+    full = np.zeros((len(sets), bins), dtype=bool)
+    for row, values in enumerate(sets):
+        place = (values >> shift).astype(np.int64)
+        at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else place
+        out[row, place[at]] = values[at]
+        full[row, place[at]] = True
+    return out, full
 
 
 def set_digest(values: np.ndarray) -> bytes:
@@ -50,17 +68,10 @@ class Signer:
             rest = np.delete(np.arange(bins), i)
             self.order[i] = np.concatenate(([i], draw.permutation(rest)))
         self.bins = bins
-        self.shift = np.uint64(64 - bins.bit_length() + 1)
 
     def signatures(self, sets: Sequence[np.ndarray]) -> np.ndarray:
         """One row of ``bins`` numbers per set. Rows of empty sets mean nothing."""
-        out = np.zeros((len(sets), self.bins), dtype=np.uint64)
-        full = np.zeros((len(sets), self.bins), dtype=bool)
-        for row, values in enumerate(sets):
-            bins = (values >> self.shift).astype(np.int64)
-            at = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1]))) if len(bins) else bins
-            out[row, bins[at]] = values[at]
-            full[row, bins[at]] = True
+        out, full = first_by_bin(sets, self.bins)
         sparse = np.flatnonzero(~full.all(axis=1))
         kept, mask = out[sparse], full[sparse]
         rows = np.arange(len(sparse))

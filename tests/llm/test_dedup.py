@@ -6,6 +6,7 @@ import uuid
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftrank.llm import substring_dedup as module
 from siftrank.llm.components import components
@@ -168,3 +169,35 @@ def test_substring_dedup_of_edge_rows(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], EDGE_SCHEMA)
     assert exact_dedup(none).count() == near_dedup(none).count() == substring_dedup(none).count() == 0
+
+
+def test_one_stray_among_many_members(spark):
+    """A bucket of 20,000 members of one component and one stray: rows compared stay near the number of members."""
+    from siftrank.llm.near_dedup import BLOCK, leftover_cells
+
+    nodes = spark.range(20_000).selectExpr("cast(cast(id as string) as binary) as node", "7L as bucket")
+    lone = spark.createDataFrame([(bytearray(b"x"), 7), (bytearray(b"x"), 8), (bytearray(b"1"), 9), (bytearray(b"2"), 9)], "node binary, bucket long")
+    labels = nodes.select("node", F.lit(bytearray(b"0")).alias("component"))
+    cells = leftover_cells(nodes.unionByName(lone), labels)
+    counts = {r.stray: r["count"] for r in cells.groupBy("stray").count().collect()}
+    assert counts[False] == 20_001 and counts[True] <= 20_001 // BLOCK + 1
+    assert {r.bucket for r in cells.select("bucket").distinct().collect()} == {7}
+    assert cells.where("stray").select("j").distinct().count() == counts[True]
+
+
+@pytest.mark.parametrize("words", [8, 14, 40, 400])
+def test_links_that_no_centre_has(spark, monkeypatch, words):
+    """Chains of texts of any size, each linked with the next only: as with all pairs, in blocks of two."""
+    from siftrank.llm import near_dedup as module
+
+    monkeypatch.setattr(module, "BLOCK", 2)
+    rng, rows = random.Random(words), []
+    for chain in range(6):
+        text = [f"c{chain}w{i}" for i in range(words)]
+        for step in range(8):
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(max(1, words // 80)):
+                text[-1 - step if words < 80 else rng.randrange(words)] = f"new{rng.random()}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.key: r.component_id for r in module.near_dedup(docs).collect()}
+    assert got == near_components(rows)

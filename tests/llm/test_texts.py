@@ -234,6 +234,23 @@ def test_chat_windows(spark, budget):
     assert chat.format_chat(rows.where("false")).count() == 0
 
 
+def test_next_rows_at_many_partitions(spark):
+    """The plan has one size, and rows follow each other alike, for any number of shuffle partitions."""
+    docs = spark.range(3000).selectExpr("id * 7 as doc_id", "repeat(cast(id as string), cast(id % 50 as int)) as text").repartition(5)
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    want = {rows[i][0]: rows[(i + 1) % len(rows)][1] for i in range(len(rows))}
+    before, sizes = spark.conf.get("spark.sql.shuffle.partitions"), {}
+    try:
+        for parts in (1, 8, 4000):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = with_next(docs, "doc_id", "text")
+            sizes[parts] = len(out._jdf.queryExecution().analyzed().toString().split("\n"))
+            assert {r.key: r.next_text for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(set(sizes.values())) == 1
+
+
 def test_fingerprints(spark):
     draw = random.Random(10)
     rows = [(i, "\n".join(f"line {draw.randrange(40)} {draw.randrange(9)}" for _ in range(draw.choice([0, 1, 3, 30, 200]))))
