@@ -38,9 +38,23 @@ def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
-    gone = cut_lineage(near_dedup(docs).where(~F.col("kept")).select(F.col("key").alias("doc_id")).distinct())
-    return docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near copies, that with the smallest id. Rows are told apart by id and text, so a row that
+    shares its id with a copy stays; of rows equal in both one stays. NULL ids come last."""
+    row = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    names = docs.select("doc_id", row.alias("_row")).groupBy("_row").agg(
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    near = near_dedup(docs.select("text", row.alias("_row")), key="_row").where("n_shingles > 0").select(
+        F.col("key").alias("_row"), "component_id").distinct()
+    found = cut_lineage(near.join(names, "_row"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"]
+    kept = found.groupBy("component_id").agg(first.alias("_row"))
+    gone = cut_lineage(found.join(kept, "_row", "left_anti").select("_row"))
+    rest = docs.withColumn("_row", row).join(broadcast_if_small(gone, 16), "_row", "left_anti")
+    twice = cut_lineage(found.where("n > 1").join(gone, "_row", "left_anti").select("_row"))
+    if not twice.isEmpty():
+        some = broadcast_if_small(twice, 16)
+        rest = rest.join(some, "_row", "left_anti").unionByName(rest.join(some, "_row", "left_semi").dropDuplicates(["_row"]))
+    return rest.select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
