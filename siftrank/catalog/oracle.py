@@ -260,6 +260,7 @@ select sha256(concat(question, chr(30), chunk_text)) as pair_key, first_label, r
     o["topk_search"] = f"""with {VECTORS}
 select qid, did, score, rank from (select *, row_number() over (partition by qid order by score desc, did) as rank from all_pairs)
 where rank <= {fv.RETRIEVAL_DEPTH}"""
+    o["topk_pruned"] = o["topk_search"]
     o["topk_unclean"] = f"""with {VECTORS},
 clean as (select vec_id as did from embeddings where not (vec_id % 3 = 0 and label % 5 in (1, 2, 3)))
 select qid, did, score, rank from (

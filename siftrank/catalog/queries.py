@@ -11,7 +11,7 @@ from siftrank.catalog import fixtures as fx
 from siftrank.functions import fixed_values as fv
 from siftrank.functions import text as tx
 from siftrank.functions import vectors as vec
-from siftrank.operators import (chunking, coverage, curves, index, models, quality, rank_metrics, scores,
+from siftrank.operators import (chunking, coverage, curves, index, models, pruned, quality, rank_metrics, scores,
                                 search, training)
 from siftrank.plans import annotation, corpus, evaluation
 from siftrank.session import cut_lineage
@@ -82,6 +82,21 @@ def topk_search(spark, d):
     return search.top_k(fx.query_vectors(spark, d), fx.doc_vectors(spark, d), fv.RETRIEVAL_DEPTH, digits=DIGITS)
 
 
+@query
+def topk_pruned(spark, d):
+    """The rows of topk_search, by a clustered store that skips parts."""
+    return pruned.top_k_pruned(fx.query_vectors(spark, d), pruned.build_store(fx.doc_vectors(spark, d)), fv.RETRIEVAL_DEPTH, digits=DIGITS).hits
+
+
+@query
+def topk_pruned_parts(spark, d):
+    """How many queries scored each part of the clustered store in each round, and how many documents it has."""
+    store = pruned.build_store(fx.doc_vectors(spark, d))
+    found = pruned.top_k_pruned(fx.query_vectors(spark, d), store, fv.RETRIEVAL_DEPTH, digits=DIGITS)
+    asked = found.scored.groupBy("part").agg(F.count_if(F.col("round") == 1).alias("first_round"), F.count_if(F.col("round") == 2).alias("second_round"))
+    return store.parts.select("part", "n", "radius").join(asked, "part", "left").na.fill(0)
+
+
 @query
 def topk_unclean(spark, d):
     """Exact search where vectors hold NaN, infinite and missing numbers: those that a division by the distance

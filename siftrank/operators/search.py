@@ -1,9 +1,9 @@
 """Exact search: every query against every document, in matrix blocks.
 
 The all-pairs product never becomes rows unless the caller asks for the full score table. Queries, with what they carry, are
-cut into blocks of a byte budget. A block is sent to all executors, and each task multiplies it with the document batches
-it reads: documents are never shuffled, and a task holds one block and one tile of scores. For a top-k a
-partial result leaves each task and a second step merges them; for the full table tiles leave as they are made.
+written once as a table of files of a byte budget (``blocks``). Each task streams these files past the documents it reads: documents are
+never shuffled, the driver sees file names and counts only, and a task holds one block, one buffer of documents and one tile of scores. For a
+top-k a partial result leaves each task and a second step merges them; for the full table tiles leave as they are made.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import types as T
 
 from siftrank.functions.text import seeded_order
 from siftrank.functions.vectors import dot, to_matrix
-from siftrank.operators.prefix import positions
+from siftrank.operators.blocks import block_files, buffered, read_block
 from siftrank.session import BROADCAST_BYTES, SPLIT_BYTES, broadcast_if_small, cut_lineage, input_bytes, spread
 
 
@@ -31,7 +30,8 @@ from siftrank.session import BROADCAST_BYTES, SPLIT_BYTES, broadcast_if_small, c
 class SearchBudget:
     """Bounds of the block product."""
 
-    broadcast_bytes: int = BROADCAST_BYTES  # queries, with their carried columns, sent to every executor at once
+    query_bytes: int = BROADCAST_BYTES      # queries, with their carried columns, in one file
+    document_bytes: int = BROADCAST_BYTES   # documents that a task keeps while files of queries go past, if there are several
     block_scores: int = 1 << 21             # scores held at once inside a task
     split_bytes: int = SPLIT_BYTES          # document bytes per task, to foresee the number of partials
     partials_per_query: int = 256           # partial results per query that one merge step takes
@@ -134,11 +134,6 @@ def _all_documents(queries: pa.RecordBatch, qmat, doc_batches, digits, block_sco
                  *[c.take(of_doc) for c in batch.columns[2:]]], names=schema)
 
 
-def _one_batch(table: pa.Table) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c.combine_chunks() if c.num_chunks != 1 else c.chunk(0) for c in table.columns], names=table.column_names)
-
-
 def _multiply(queries: pa.RecordBatch, qmat, doc_batches, k, digits, block_scores, bucket, names):
     filled = (b for b in doc_batches if b.num_rows)
     if queries.num_rows == 0:
@@ -163,29 +158,21 @@ def _scored_pairs(queries: DataFrame, docs: DataFrame, k: int | None, digits: in
     schema = T.StructType(
         [T.StructField("qid", T.LongType()), T.StructField("did", T.LongType()), T.StructField("score", T.DoubleType())]
         + ([T.StructField("bucket", T.IntegerType())] if k is not None else carried))
-    extra = queries.columns[2:]
-    row_bytes = F.lit(8) * F.size("_vec") + (F.length(F.to_json(F.struct(*extra))) if extra else F.lit(0))
-    size = queries.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes.cast("bigint")).alias("bytes")).first()
-    blocks = max(1, math.ceil((size.bytes or 0) / budget.broadcast_bytes))
+    files, n = block_files(queries, "_vec", budget.query_bytes)
     docs = spread(docs)
-    if k is not None and size.n:
+    if k is not None and n:
         # Partial results, k rows for each query and task, should not outgrow the documents that were read.
-        tasks = max(docs.sparkSession.sparkContext.defaultParallelism, input_bytes(docs) // (24 * k * size.n))
+        tasks = max(docs.sparkSession.sparkContext.defaultParallelism, input_bytes(docs) // (24 * k * n))
         docs = docs.coalesce(tasks) if tasks < 1 << 16 else docs
-    parts = [_by_broadcast(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b), docs, k,
-                           digits, budget.block_scores, buckets, schema) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _by_broadcast(queries, docs, k, digits, block_scores, buckets, schema):
-    table = _one_batch(queries.toArrow())
-    sent = docs.sparkSession.sparkContext.broadcast((table, to_matrix(table.column(1))))
     names = schema.fieldNames()
 
     def multiply(batches):
-        table, qmat = sent.value
         bucket = TaskContext.get().partitionId() % buckets
-        yield from _multiply(table, qmat, batches, k, digits, block_scores, bucket, names)
+        # With one file the task's documents pass it as they come; with several they are buffered and each file passes them.
+        for held in buffered(batches, budget.document_bytes) if len(files) > 1 else [batches]:
+            for file in files:
+                block = read_block(file)
+                yield from _multiply(block, to_matrix(block.column(1)), held, k, digits, budget.block_scores, bucket, names)
 
     return docs.mapInArrow(multiply, schema)
 
@@ -224,12 +211,51 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, qid: str = "qid", did: st
     return ranked.select(F.col("qid").alias(qid), F.col("did").alias(did), "score", "rank")
 
 
+#: Bands of scores, and rows of a (query, band) above which it is cut further.
+BANDS_PER_DEVIATION = 64
+MOST_BANDS = 4096
+DENSE_ROWS = 1 << 20
+DENSE_CUTS = 4096
+
+
 def rank_all(run: DataFrame, qid: str = "qid", did: str = "did", score: str = "score",
-             name: str = "rank_full") -> DataFrame:
-    """Rank of every document of every query, spread over many tasks per query. ``run`` is written first: cutting it into
-    ranges reads it twice, and a product should be made once."""
-    signed = cut_lineage(run.withColumn("_down", -F.col(score)))
-    return positions(signed, ["_down", did], name, group=[qid], start=1).drop("_down")
+             name: str = "rank_full", dense_rows: int = DENSE_ROWS) -> DataFrame:
+    """Rank of every document of every query, ties by document. ``run`` is written once, as a product should be made once.
+
+    Ranks come from counts: scores are cut into bands (shares of their deviation, the same for all queries), counts per (query, band) say how many
+    documents lie in better bands, and only the order inside a band is worked out on rows. A (query, band) of more than ``dense_rows`` rows is
+    cut further, by score or, if all its scores are equal, by document; there are at most a millionth as many of these as pairs, so
+    their table is small. The product is shuffled once, by (query, band, cut); no ranges of it are sampled. Ranks descend as Spark
+    orders scores: NULL scores come first, NaN last.
+    """
+    numbers = F.when(~F.isnan(score), F.col(score).cast("double"))
+    laid = cut_lineage(run)
+    shape = laid.agg(F.avg(numbers).alias("mean"), F.stddev_pop(numbers).alias("width"), F.min(did).alias("low"), F.max(did).alias("high"),
+                     F.count(F.lit(1)).alias("n")).first()
+    mean, width = shape.mean or 0.0, shape.width or 1.0
+    if not (math.isfinite(mean) and math.isfinite(width)):
+        mean, width = 0.0, 1.0  # infinite scores: any bands will do
+    place = F.floor(F.greatest(F.least((numbers - mean) / width * BANDS_PER_DEVIATION, F.lit(MOST_BANDS)), F.lit(-MOST_BANDS)))
+    band = F.when(F.col(score).isNull(), MOST_BANDS + 1).when(F.isnan(score), -MOST_BANDS - 1).otherwise(place.cast("int"))
+    banded = laid.withColumn("_band", -band)  # ascending from the best
+    sizes = banded.groupBy(qid, "_band").agg(F.count(F.lit(1)).alias("_n"), F.min(score).alias("_low"), F.max(score).alias("_high"))
+    dense = cut_lineage(sizes.where(F.col("_n") > max(dense_rows, shape.n // 1_000_000)))
+    if dense.isEmpty():
+        banded = banded.withColumn("_cut", F.lit(0))
+    else:
+        cuts = F.broadcast(dense.select(F.col(qid).alias("_q"), F.col("_band").alias("_b"), "_low", "_high"))  # a millionth of the pairs
+        step = F.when(F.col("_low") < F.col("_high"), (F.col("_high") - F.col(score)) / (F.col("_high") - F.col("_low"))).otherwise(
+            (F.col(did) - shape.low) / max(shape.high - shape.low, 1))
+        banded = banded.join(cuts, F.col(qid).eqNullSafe(F.col("_q")) & (F.col("_band") == F.col("_b")), "left").select(
+            *run.columns, "_band", F.when(F.col("_b").isNotNull() & step.isNotNull(), F.floor(step * DENSE_CUTS)).otherwise(0).cast("int").alias("_cut"))
+    better = W.partitionBy(qid).orderBy("_band", "_cut").rowsBetween(W.unboundedPreceding, -1)
+    counts = banded.groupBy(qid, "_band", "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col(qid).alias("_q"), F.col("_band").alias("_b"), F.col("_cut").alias("_c"),
+                           F.coalesce(F.sum("_n").over(better), F.lit(0)).alias("_before"))
+    same = F.col(qid).eqNullSafe(F.col("_q")) & (F.col("_band") == F.col("_b")) & (F.col("_cut") == F.col("_c"))
+    inside = W.partitionBy(qid, "_band", "_cut").orderBy(F.desc_nulls_first(score), F.asc(did))
+    # NaN is above all numbers for Spark; it has a band of its own, so that only ties among NaN are ordered here.
+    return banded.join(before, same).select(*run.columns, (F.col("_before") + F.row_number().over(inside)).alias(name))
 
 
 def score_candidates(pairs: DataFrame, queries: DataFrame, docs: DataFrame, qid: str = "qid",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +27,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the checkpoint folder and continue from that table.
+def cut_lineage(df: DataFrame, by: Sequence[str] = (), rows_per_file: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the checkpoint folder and continue from that table. ``by`` gives each value of these columns
+    a folder of its own, ``rows_per_file`` bounds its files.
 
     Unlike a checkpointed RDD the table is columnar, so later steps read only the columns they need, and
     its size is known to the optimizer. It outlives executors. ``lineage_scope`` removes it again.
     """
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/siftrank-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.option("maxRecordsPerFile", rows_per_file or 0)
+    writer.partitionBy(*by).parquet(path) if by else writer.parquet(path)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftrank.operators import index, search
+from siftrank.operators import index, pruned, search
 from siftrank.operators.search import SearchBudget, _BestPerQuery
 
 
@@ -28,7 +28,7 @@ def brute_force(queries, docs, k, digits=6):
     return out
 
 
-BLOCKS = SearchBudget(broadcast_bytes=256, block_scores=64)
+BLOCKS = SearchBudget(query_bytes=256, block_scores=64, document_bytes=600)
 TINY = SearchBudget(block_scores=16)
 TWO_STEP = SearchBudget(split_bytes=1, partials_per_query=1)
 
@@ -67,11 +67,54 @@ def test_score_all_carries_columns(spark, data, budget):
         assert r.score == pytest.approx(scores[r.qid, r.did]) and (r.name, r.tag) == (f"q{r.qid}", f"d{r.did}")
 
 
-def test_rank_all_matches_window(spark, data):
+@pytest.mark.parametrize("dense_rows", [1 << 20, 30, 3])
+def test_rank_all_matches_window(spark, data, dense_rows):
+    """Ties of a third of all documents, bands cut further or not."""
     queries, docs = data
     run = search.score_all(vectors(spark, queries, "qid"), vectors(spark, docs, "did"), digits=2)
-    got = {(r.qid, r.did, r.rank_full) for r in search.rank_all(run).collect()}
+    ranked = search.rank_all(run, dense_rows=dense_rows)
+    got = {(r.qid, r.did, r.rank_full) for r in ranked.collect()}
     assert got == {(q, d, r) for q, d, _, r in brute_force(queries, docs, len(docs), digits=2)}
+    assert "rangepartitioning" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("dense_rows", [1 << 20, 2])
+def test_rank_all_of_odd_scores(spark, dense_rows):
+    scores = [None, float("nan"), float("inf"), -float("inf"), 1.0, 1.0, -1e300, 1e300, 0.0, None, float("nan")]
+    run = spark.createDataFrame([(q, d, s) for q in (1, 2) for d, s in enumerate(scores)], "qid long, did long, score double").repartition(3)
+    got = {(r.qid, r.did): r.rank_full for r in search.rank_all(run, dense_rows=dense_rows).collect()}
+    order = [0, 9, 2, 7, 4, 5, 8, 6, 3, 1, 10]  # NULL, then descending, then NaN; ties by document
+    assert got == {(q, d): r for q in (1, 2) for r, d in enumerate(order, 1)}
+
+
+def test_query_blocks_stay_out_of_the_driver(spark, data, monkeypatch):
+    """Many small files of queries: nothing but names and counts is collected, and a file holds a block."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    from siftrank.operators import blocks
+
+    queries, docs = data
+    collect = Classic.collect
+
+    def counts(self):
+        rows = collect(self)
+        assert len(rows) <= 1, "rows at the driver"
+        return rows
+
+    def refuse(self, *args):
+        raise AssertionError("rows at the driver")
+
+    q, d = vectors(spark, queries, "qid"), vectors(spark, docs, "did")
+    monkeypatch.setattr(Classic, "collect", counts)
+    for name in ("toArrow", "toPandas", "toLocalIterator"):
+        monkeypatch.setattr(Classic, name, refuse)
+    plan = search.top_k(q, d, 3, digits=6, budget=BLOCKS)
+    files, n = blocks.block_files(q, "embedding", 256)
+    monkeypatch.undo()
+    assert n == len(queries) and len(files) >= 5
+    assert all(blocks.read_block(f).num_rows <= 256 // 72 for f in files)
+    assert sum(blocks.read_block(f).num_rows for f in files) == n
+    assert {tuple(r) for r in plan.collect()} == brute_force(queries, docs, 3)
 
 
 def test_score_candidates(spark, data):
@@ -124,3 +167,38 @@ def test_vectors_that_are_not_finite_are_never_hits(spark):
     assert [hits[1, r] for r in range(1, 6)] == [99, 98, 97, 96, 95]
     assert [hits[2, r] for r in range(1, 6)] == [0, 1, 2, 3, 4]
     assert search.top_k(queries, docs.where("did >= 1000 and did < 3002"), 5).count() == 0
+
+
+@pytest.mark.parametrize("budget", [SearchBudget(), BLOCKS])
+@pytest.mark.parametrize("k", [1, 7, 500])
+@pytest.mark.parametrize("parts", [1, 6])
+def test_pruned_top_k_is_exact(spark, data, budget, k, parts):
+    queries, docs = data
+    store = pruned.build_store(vectors(spark, docs, "did"), parts=parts, sample_rows=50)
+    found = pruned.top_k_pruned(vectors(spark, queries, "qid"), store, k, digits=6, budget=budget)
+    assert {tuple(r) for r in found.hits.collect()} == brute_force(queries, docs, k)
+    assert store.vectors.count() == len(docs) and sum(r.n for r in store.parts.collect()) == len(docs)
+
+
+def test_pruned_search_skips_most_of_a_clustered_corpus(spark):
+    """Forty clusters, one with a third of all documents: more than half of the pairs of query and part are skipped."""
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(40, 16)) * 4
+    of = np.where(rng.random(3000) < 0.33, 0, rng.integers(0, 40, 3000))
+    docs = (middle[of] + rng.normal(size=(3000, 16)) * 0.2).astype("float32")
+    queries = (middle[rng.integers(0, 40, 30)] + rng.normal(size=(30, 16)) * 0.2).astype("float32")
+    store = pruned.build_store(vectors(spark, docs, "did"), parts=40)
+    found = pruned.top_k_pruned(vectors(spark, queries, "qid"), store, 10, digits=6)
+    assert {tuple(r) for r in found.hits.collect()} == brute_force(queries, docs, 10)
+    assert found.skipped_share() > 0.5
+
+
+def test_pruned_search_of_unclean_vectors(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [float("nan"), 1.0]), (3, None)], "qid long, embedding array<double>")
+    docs = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("inf"), 0.0]), (3, [None, 1.0]), (4, None), (None, [1.0, 1.0]), (5, [3.0, 0.0])],
+                                 "did long, embedding array<double>")
+    found = pruned.top_k_pruned(queries, pruned.build_store(docs), 5)
+    assert sorted(map(tuple, found.hits.collect())) == [(1, 1, 1.0, 2), (1, 5, 3.0, 1)]
+    empty = pruned.top_k_pruned(queries, pruned.build_store(docs.where("false")), 5)
+    assert empty.hits.count() == 0 and empty.skipped_share() == 0
+    assert pruned.top_k_pruned(queries.where("false"), pruned.build_store(docs), 5).hits.count() == 0
