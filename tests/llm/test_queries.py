@@ -80,3 +80,14 @@ def test_pipeline_stages_keep_columns_and_edge_rows(spark):
         assert stage(spark, docs.where("false"), FOLDER).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= len(edge_rows())
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_near_stage_removes_rows_not_ids(spark):
+    """A row that only shares its id with a near copy stays, the copy goes; of rows equal in id and text one stays."""
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (2, base + " more"), (2, other), (3, "lone text"), (3, "lone text"), (None, base + " again"), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    out = sorted(((r.doc_id, r.text) for r in stage(spark, docs, FOLDER).collect()), key=str)
+    assert out == sorted([(1, base), (2, other), (3, "lone text"), (4, ""), (4, ""), (None, None)], key=str)
