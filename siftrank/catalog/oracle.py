@@ -470,9 +470,15 @@ select case when doc_id in (select doc_id from labels) then 'first' else 'second
     o["annotation_job_twice"] = """with pairs as (
   select conv_id, turn, c.text, d.text as chunk, length(c.text) % 2 = 1 as odd
   from conversations c join documents d on d.doc_id = c.conv_id where role = 'user' and c.text <> '')
-select conv_id, turn, case when odd then 'error' else 'ok' end as status, count(*) * case when odd then 2 else 1 end as num_rows,
+select conv_id, turn, case when odd then 'error' else 'ok' end as status, count(*) as num_rows,
   case when odd then 1 else 0 end as attempts, (select count(distinct (text, chunk)) from pairs where not odd) as cached
 from pairs group by conv_id, turn, odd"""
+    o["other_keys_resume"] = """with pairs as (
+  select conv_id, turn, c.text as question, d.text as chunk
+  from conversations c join documents d on d.doc_id = c.conv_id where role = 'user' and c.text <> '')
+select conv_id, turn, sha256(question || chr(30) || chunk) as pair_key from pairs
+where question is not null and chunk is not null
+  and (question, chunk) not in (select (question, chunk) from pairs where conv_id % 2 = 0 and chunk is not null)"""
     o["failing_calls"] = """
 select item_id, '' as thought, case when length(text) % 2 = 1 then 'ERROR: busy' else left(text, 5) end as response,
   case when length(text) % 2 = 1 then 'error' else 'ok' end as status, case when length(text) % 2 = 1 then 3 else 1 end as attempts

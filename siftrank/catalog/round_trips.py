@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftrank.catalog import fixtures as fx
 from siftrank.catalog.queries import query
+from siftrank.functions import keys
 from siftrank.operators import coverage, curves, models, quality, rank_metrics
 from siftrank.plans import annotation, corpus
 from siftrank.session import checkpoint_folder
@@ -114,12 +115,24 @@ def annotation_job_twice(spark, d):
     retry = models.Retry(attempts=2, base_seconds=0.0, retriable=models.server_error)
     for _ in range(2):
         job.run(pairs, refusing_annotator, retry=retry)
-    output = readers.read_store(spark, job.output_path)
+    output = job.results()
     replies = readers.read_reply_cache(spark, job.cache_path)
     kept = output.groupBy("conv_id", "turn", "status").agg(F.count(F.lit(1)).alias("num_rows"), F.max("attempts").alias("attempts"))
     return kept.withColumn("cached", F.lit(replies.count()).cast("bigint"))
 
 
+@query
+def other_keys_resume(spark, d):
+    """Pairs that an earlier output with BLAKE2b keys, kept as CSV, does not list: it has the pairs of even conversations."""
+    pairs = annotation.file_pairs(fx.file_questions(spark, d), fx.corpus(spark, d).select(
+        "file_name", F.lit(0).alias("pos"), F.col("text_data").alias("text")))
+    path = f"{_new_folder(spark)}/earlier.csv"
+    earlier = pairs.where("conv_id % 2 = 0").select(keys.blake_key("question", "chunk_text").alias("pair_key"), F.lit("ok").alias("status"))
+    writers.write_scores(earlier, path, "csv")
+    left = annotation.pending_pairs(pairs, readers.read_table(spark, path))
+    return left.select("conv_id", "turn", "pair_key")
+
+
 @query
 def failing_calls(spark, d):
     """Calls that fail with a server error are tried three times and reported as rows."""

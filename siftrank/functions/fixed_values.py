@@ -39,6 +39,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 PAIR_SEPARATOR = "\x1e"
+BLAKE_BYTES = 12
 
 # --- Fixed values: word lists and tags --------------------------------------
 POSITIVE_WORDS = ("1", "true", "yes")

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.functions import fixed_values as fv
+from siftrank.functions.keys import blake_key
 from siftrank.functions.text import content_key
 from siftrank.operators.models import ANNOTATED, Annotator, Retry, annotate
 from siftrank.operators.search import top_k
-from siftrank.session import broadcast_if_small, cut_lineage
+from siftrank.session import broadcast_if_small, checkpoint_folder, cut_lineage
 from siftrank.sources.readers import CACHE_SCHEMA, read_reply_cache, read_store
 from siftrank.sources.writers import append_rows
 
@@ -52,9 +56,14 @@ def questions_without_chunks(questions: DataFrame, chunks: DataFrame,
 
 
 def pending_pairs(pairs: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs with their key that ``done(pair_key)`` does not list."""
+    """Pairs with their key that ``done(pair_key)`` does not list. Keys of other tools (BLAKE2b, 24 digits) count, too; they are
+    worked out only if ``done`` has any."""
     keyed = pairs.withColumn("pair_key", content_key("question", "chunk_text"))
-    return keyed.join(done.select("pair_key"), "pair_key", "left_anti")
+    left = keyed.join(done.select("pair_key"), "pair_key", "left_anti")
+    other = done.where(F.length("pair_key") == 2 * fv.BLAKE_BYTES).select(F.col("pair_key").alias("_other"))
+    if not other.isEmpty():
+        left = left.withColumn("_other", blake_key("question", "chunk_text")).join(other, "_other", "left_anti").drop("_other")
+    return left
 
 
 def split_by_cache(pending: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,38 +94,71 @@ def annotate_pairs(pairs: DataFrame, make_annotator: Callable[[], Annotator], do
 class AnnotationJob:
     """Annotation with durable replies: a second run adds nothing and calls nothing.
 
-    Replies of successful calls are appended to the cache table before the output is written, so a
-    lost executor or a failed write never costs a call twice. Failed calls are written with status
-    ``error``; they count as done only with ``errors_are_done``.
+    Calls are made in micro-batches of at most ``calls_per_commit`` pairs, a stream over the files of pending pairs, and each batch commits
+    its replies before the next begins. A run that is killed loses the calls of one batch; the next run finds the replies of the others.
+    Output rows carry the number of their run. Failed calls are written with status ``error`` and are
+    tried again by the next run, unless ``errors_are_done``; ``results`` shows the last run's rows of each pair, so a later success
+    takes the place of an error.
     """
 
     spark: SparkSession
     output_path: str
     cache_path: str
     errors_are_done: bool = False
+    calls_per_commit: int = 1000
 
     def done(self) -> DataFrame:
         earlier = read_store(self.spark, self.output_path, "pair_key string, status string", missing_ok=True)
         finished = earlier if self.errors_are_done else earlier.where("status = 'ok'")
         return finished.select("pair_key").distinct()
 
+    def results(self) -> DataFrame:
+        """Output rows, those of each pair's last run only; rows of outputs without a run number are the first."""
+        rows = self._numbered()
+        last = rows.groupBy("pair_key").agg(F.max("run").alias("run"))
+        return rows.join(last, ["pair_key", "run"])
+
+    def _numbered(self) -> DataFrame:
+        try:
+            rows = self.spark.read.option("mergeSchema", True).parquet(self.output_path)
+        except AnalysisException:
+            rows = read_store(self.spark, self.output_path, f"pair_key string, {ANNOTATED}", missing_ok=True)
+        return rows.withColumn("run", F.coalesce("run", F.lit(0))) if "run" in rows.columns else rows.withColumn("run", F.lit(0))
+
     def run(self, pairs: DataFrame, make_annotator: Callable[[], Annotator], retry: Retry = Retry(),
             concurrency: int = fv.CALL_CONCURRENCY) -> None:
-        staging = f"{self.cache_path.rstrip('/')}_replies"
-        self._recover(staging)
+        replies_path = f"{self.cache_path.rstrip('/')}_replies"
+        self._recover(replies_path)
         pending = cut_lineage(pending_pairs(pairs, self.done()))
         _, unknown = split_by_cache(pending, read_reply_cache(self.spark, self.cache_path))
-        fresh = annotate(unknown, make_annotator, retry=retry, concurrency=concurrency)
-        fresh.select(*REPLY_COLUMNS).write.mode("overwrite").parquet(staging)
-        replies = self.spark.read.parquet(staging)
+        empty = self.spark.createDataFrame([], f"pair_key string, {ANNOTATED}")
+        empty.write.mode("overwrite").parquet(replies_path)  # what was in it is in the cache now
+        self._ask(unknown, replies_path, lambda batch: annotate(batch, make_annotator, retry=retry, concurrency=concurrency))
+        replies = self.spark.read.schema(empty.schema).parquet(replies_path)
         append_rows(replies.where("status = 'ok'").select("pair_key", "thought", "response"), self.cache_path)
         known, _ = split_by_cache(pending, read_reply_cache(self.spark, self.cache_path))
         answers = known.unionByName(replies.where("status <> 'ok'"))
-        append_rows(pending.join(answers, "pair_key"), self.output_path)
+        number = self._numbered().agg(F.coalesce(F.max("run"), F.lit(0)).alias("run")).first().run + 1
+        append_rows(pending.join(answers, "pair_key").withColumn("run", F.lit(number)), self.output_path)
+
+    def _ask(self, unknown: DataFrame, replies_path: str, ask: Callable[[DataFrame], DataFrame]) -> None:
+        """Replies of all ``unknown`` pairs, a commit for each file of at most ``calls_per_commit`` of them."""
+        size = unknown.agg(F.count(F.lit(1)).alias("n")).first().n
+        if not size:
+            return
+        files = -(-size // self.calls_per_commit)
+        queue = cut_lineage(unknown.repartition(files), rows_per_file=self.calls_per_commit)
+        place = f"{checkpoint_folder(self.spark).rstrip('/')}/siftrank-{uuid.uuid4().hex}"
+
+        def commit(batch: DataFrame, number: int) -> None:
+            append_rows(ask(batch).select(*REPLY_COLUMNS), replies_path)
+
+        stream = self.spark.readStream.schema(queue.schema).option("maxFilesPerTrigger", 1).parquet(os.path.dirname(queue.inputFiles()[0]))
+        stream.writeStream.foreachBatch(commit).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
 
-    def _recover(self, staging: str) -> None:
+    def _recover(self, replies_path: str) -> None:
         """Replies of a run that stopped before it added them to the cache."""
-        kept = read_store(self.spark, staging, f"pair_key string, {ANNOTATED}", missing_ok=True).where("status = 'ok'")
+        kept = read_store(self.spark, replies_path, f"pair_key string, {ANNOTATED}", missing_ok=True).where("status = 'ok'")
         lost = kept.join(read_reply_cache(self.spark, self.cache_path), "pair_key", "left_anti")
         if not lost.isEmpty():
             append_rows(lost.select("pair_key", "thought", "response"), self.cache_path)

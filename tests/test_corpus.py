@@ -1,4 +1,5 @@
 import json
+import uuid
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from siftrank.functions import keys as pair_keys
 from siftrank.operators import chunking, models
 from siftrank.plans import annotation
 from siftrank.plans.corpus import ChunkStore
@@ -199,3 +201,53 @@ def test_file_pairs(spark):
     got = {(r.question, r.pos, r.chunk_text) for r in annotation.file_pairs(questions, chunks).collect()}
     assert got == {("q1", 0, "c0"), ("q1", 1, "c1")}
     assert [r.question for r in annotation.questions_without_chunks(questions, chunks).collect()] == ["q2"]
+
+
+def test_a_killed_run_keeps_the_batches_it_committed(spark, tmp_path):
+    """The callable dies half way; the second run calls only what no batch has committed."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting(limit):
+        def make():
+            def reply(question, chunk):
+                if len(list(calls.iterdir())) >= limit:
+                    raise KeyboardInterrupt("killed")
+                (calls / uuid.uuid4().hex).touch()
+                return "", question
+            return reply
+        return make
+
+    todo = spark.range(20).selectExpr("concat('q', id) as question", "'c' as chunk_text", "id")
+    job = annotation.AnnotationJob(spark, str(tmp_path / "out"), str(tmp_path / "cache"), calls_per_commit=2)
+    with pytest.raises(Exception):
+        job.run(todo, counting(9), models.Retry(1), concurrency=1)
+    made = len(list(calls.iterdir()))
+    committed = spark.read.parquet(f"{job.cache_path}_replies").where("status = 'ok'").count()
+    assert 9 <= made <= 17 and committed >= 6  # whole batches only, all but the last
+    job.run(todo, counting(1000), models.Retry(1), concurrency=1)
+    assert len(list(calls.iterdir())) == made + 20 - committed
+    assert sorted(r.response for r in job.results().collect()) == sorted(f"q{i}" for i in range(20))
+
+
+def test_results_have_the_last_rows_of_each_pair(spark, tmp_path):
+    job = annotation.AnnotationJob(spark, str(tmp_path / "out"), str(tmp_path / "cache"))
+    job.run(pairs(spark), failing, models.Retry(1))
+    job.run(pairs(spark), failing, models.Retry(1))
+    assert {r.n: r.status for r in job.results().collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "error"} and job.results().count() == 4
+    job.run(pairs(spark), models.word_overlap_annotator, models.Retry(1))
+    assert {r.n: r.status for r in job.results().collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "ok"} and job.results().count() == 4
+    assert [r.n for r in job.results().where("run = 3").collect()] == [4]
+
+
+def test_keys_of_other_tools(spark):
+    """Golden digests, and pairs that an output with such keys lists are done."""
+    rows = [("What is β?", "a chunk"), ("", ""), (None, "x"), ("q", "c")]
+    df = spark.createDataFrame(rows, "question string, chunk_text string")
+    keys = [r[0] for r in df.select(pair_keys.blake_key("question", "chunk_text")).collect()]
+    assert keys == ["6e12d7819157232852fc8607", "1bb7b835aec6a21a17ea5d85", None, "1076946d89624e35c3c84e94"]
+    done = spark.createDataFrame([(keys[0],), (None,)], "pair_key string")
+    left = annotation.pending_pairs(df.where("question is not null"), done)
+    assert sorted(r.question for r in left.collect()) == ["", "q"]
+    both = done.unionByName(left.where("question = 'q'").select("pair_key"))
+    assert [r.question for r in annotation.pending_pairs(df.where("question is not null"), both).collect()] == [""]
