@@ -101,11 +101,16 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         node, comp = np.array(rows.column("node").to_pylist(), dtype=object), rows.column("component").to_pylist()
         wide = np.frombuffer(b"".join(rows.column("wide").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
         codes = {c: i for i, c in enumerate(dict.fromkeys(comp))}
-        comp, stray = np.array([codes[c] for c in comp]), rows.column("stray").to_numpy()
+        comp, stray, outside = np.array([codes[c] for c in comp]), rows.column("stray").to_numpy(), rows.column("outside").to_numpy()
+        bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
+        bucket = rows.column("bucket")[0].as_py()
         member = np.flatnonzero(~stray)
         out_a, out_b = [], []
         for i in np.flatnonzero(stray):
-            j = member[comp[member] != comp[i]]
+            # A pair counts once: in the first bucket that it shares, and of two strays the smaller node looks for the other.
+            j = member[(comp[member] != comp[i]) & (~outside[member] | (node[member] > node[i]))]
+            same = bands[j] == bands[i]
+            j = j[bands[i][same.argmax(axis=1)] == bucket]
             both, either = wide[j] & wide[i], wide[j] | wide[i]
             agree = ((wide[j] == wide[i]) & (both != 0)).sum(axis=1)
             for k in j[agree + 2 >= close * (either != 0).sum(axis=1)]:
@@ -144,9 +149,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def leftover_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Columns bucket, i, j, stray, component and node: who is compared with whom in buckets of several components.
+    """Columns bucket, i, j, stray, outside, component and node: who is compared with whom in buckets of several components.
 
-    Members outside a bucket's largest component are strays. Each stray meets each member: cell (i, j) has the strays of block i and
+    Members outside a bucket's largest component are strays; ``outside`` says who is one, ``stray`` for whom the row stands as one. Each stray meets each member: cell (i, j) has the strays of block i and
     the members of block j. So a bucket of n members and s strays gives about n * (1 + s / BLOCK) + s * n / BLOCK rows, and a single
     stray among a million members little more than a million. Pairs inside the largest component are never formed."""
     placed = cut_lineage(members.join(labels.select("node", "component"), "node", "left").select(
@@ -165,18 +170,19 @@ def leftover_cells(members: DataFrame, labels: DataFrame) -> DataFrame:
     def every(blocks: str):
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-    out = ["component", "node"]
+    out = [(F.col("component") != F.col("largest")).alias("outside"), "component", "node"]
     strays = rows.where("component <> largest").select(
         "bucket", block("stray_blocks").alias("i"), every("member_blocks").alias("j"), F.lit(True).alias("stray"), *out)
     others = rows.select("bucket", every("stray_blocks").alias("i"), block("member_blocks").alias("j"), F.lit(False).alias("stray"), *out)
     return strays.unionByName(others)
 
 
-def _leftover(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _leftover(members: DataFrame, nodes: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of buckets that hold several components, by wide signatures of their members only."""
     cells = cut_lineage(leftover_cells(members, labels))
     wide = sets.join(cells.select("node").distinct(), "node", "left_semi").mapInArrow(_wide, "node binary, wide binary")
-    laid = cells.join(cut_lineage(wide), "node").repartition(*CELL).sortWithinPartitions(*CELL)
+    signs = cut_lineage(wide.join(nodes.select("node", "bands"), "node"))
+    laid = cells.join(signs, "node").repartition(*CELL).sortWithinPartitions(*CELL)
     return laid.mapInArrow(lambda rows: _compare(rows, percent), "a binary, b binary").distinct()
 
 
@@ -212,7 +218,7 @@ def near_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     links = cut_lineage(_confirmed(stars, sets, percent))
     labels = components(links)
-    more = _leftover(members.select("bucket", "node"), labels, sets, percent).join(stars, ["a", "b"], "left_anti")
+    more = _leftover(members.select("bucket", "node"), nodes, labels, sets, percent).join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(_confirmed(more, sets, percent))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
