@@ -5,53 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftrank.operators.prefix import positions
-from siftrank.session import cut_lineage
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines with a dense row number in the order of all columns used here. Lines that agree in all of them get
-    different numbers, too; which gets which makes no difference."""
+    """All order lines with ``row_no``, a digest of the columns used here as a number: an order of the rows that needs no sort."""
     used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
-    return cut_lineage(positions(table(spark, folder, "lineitem").select(used), used, "row_no"))
+    rows = table(spark, folder, "lineitem").select(used)
+    parts = [F.col(c).cast("int" if c == "l_quantity" else "string").cast("string") for c in used]
+    return rows.withColumn("row_no", F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("bigint"))
+
+
+def _remainder(df: DataFrame, key: str, of: DataFrame, name: str) -> DataFrame:
+    """``name``: the key modulo the rows of ``of``, whose keys are 0, 1, 2 and so on, so every row finds one."""
+    return df.withColumn(name, F.pmod(F.col(key), F.lit(max(of.count(), 1))).cast("bigint"))
 
 
 def judged_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Judged (query, document) rows: every order line whose supplier and part have a vector. A pair is
-    relevant when the two vectors share a label; pairs repeat, as order lines do."""
+    """Judged (query, document) rows: every order line, its supplier as the query and the vector with the part's number, modulo the number of
+    vectors, as the document. A pair is relevant when the two vectors share a label; pairs repeat, as order lines do."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "label")
-    query = vectors.select(F.col("vec_id").alias("l_suppkey"), F.col("label").alias("q_label"))
-    doc = vectors.select(F.col("vec_id").alias("l_partkey"), F.col("label").alias("d_label"))
+    doc = vectors.select(F.col("vec_id").alias("did"), F.col("label").alias("d_label"))
     nation = table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
-    supplier = table(spark, folder, "supplier").join(nation, "s_nationkey").select(
-        F.col("s_suppkey").alias("l_suppkey"),
+    supplier = _remainder(table(spark, folder, "supplier"), "s_suppkey", vectors, "vec_id").join(nation, "s_nationkey").join(vectors, "vec_id").select(
+        F.col("s_suppkey").alias("l_suppkey"), F.col("label").alias("q_label"),
         F.when(F.col("n_regionkey") == 0, " Factual").when(F.col("n_regionkey") == 1, "factual ")
         .when(F.col("n_regionkey") == 2, "how-to").otherwise("Open question").alias("Question_type"),
         F.when(F.col("s_acctbal") < 0, "FALSE").when(F.col("s_acctbal") < 4000, "1")
         .when(F.col("s_acctbal") < 7000, "true").otherwise(" no ").alias("specific_to_paper"))
     part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
-    return lines(spark, folder).join(query, "l_suppkey").join(doc, "l_partkey").join(supplier, "l_suppkey").join(
-        part, "l_partkey").select(
-        F.col("l_suppkey").alias("qid"), F.col("l_partkey").alias("did"), "row_no",
+    rows = _remainder(lines(spark, folder), "l_partkey", vectors, "did")
+    return rows.join(doc, "did").join(supplier, "l_suppkey").join(part, "l_partkey").select(
+        F.col("l_suppkey").alias("qid"), "did", "row_no",
         (F.col("q_label") == F.col("d_label")).cast("int").alias("relevance_label"),
         "Question_type", "specific_to_paper",
         F.when(F.col("l_linestatus") == "O", "").otherwise(F.col("p_brand")).alias("IPAC_filename"))
 
 
 def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of the suppliers."""
-    return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("qid")).join(
-        table(spark, folder, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid")
+    """A vector for each supplier."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return _remainder(table(spark, folder, "supplier"), "s_suppkey", vectors, "vec_id").join(vectors, "vec_id").select(
+        F.col("s_suppkey").alias("qid"), "embedding")
 
 
 def doc_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors of the parts."""
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("did")).join(
-        table(spark, folder, "embeddings").select(F.col("vec_id").alias("did"), "embedding"), "did")
+    """All vectors."""
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("did"), "embedding")
 
 
 def with_names(spark: SparkSession, folder: str, queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,18 +64,18 @@ def with_names(spark: SparkSession, folder: str, queries: DataFrame, docs: DataF
 
 
 def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Judged rows with texts: the conversation turn (supplier, line number) as question, the document
-    with the part's number as chunk, the return flag as a label in text form."""
+    """Judged rows with texts: every order line, a turn of the supplier's conversation (line number modulo its turns) as question,
+    the document with the part's number, modulo the documents, as chunk, the return flag as a label in text form."""
     turns = table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("l_suppkey"), F.col("turn").cast("int").alias("l_linenumber"),
-        F.concat(F.lit(" "), "text", F.lit("\n")).alias("Question"))
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("l_partkey"),
-                                                    F.col("text").alias("chunk_text"))
+        "conv_id", F.col("turn").cast("int").alias("turn"), F.concat(F.lit(" "), "text", F.lit("\n")).alias("Question"))
+    sizes = turns.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("n_turns"))
+    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("chunk_text"))
     flag = F.col("l_returnflag")
     label = (F.when((flag == "R") & (F.col("l_quantity") >= 50), "2").when(flag == "R", " 1")
              .when(flag == "A", "0.9").otherwise("n/a"))
-    rows = lines(spark, folder).select("l_suppkey", "l_linenumber", "l_partkey", "row_no", label.alias("relevance_label"))
-    return rows.join(turns, ["l_suppkey", "l_linenumber"]).join(docs, "l_partkey").select(
+    rows = _remainder(_remainder(lines(spark, folder), "l_partkey", docs, "doc_id"), "l_suppkey", sizes, "conv_id").join(sizes, "conv_id")
+    rows = rows.select("conv_id", F.pmod(F.col("l_linenumber").cast("int"), F.col("n_turns")).alias("turn"), "doc_id", "row_no", label.alias("relevance_label"))
+    return rows.join(turns, ["conv_id", "turn"]).join(docs, "doc_id").select(
         "row_no", "Question", "chunk_text", "relevance_label")
 
 

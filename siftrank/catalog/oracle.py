@@ -19,26 +19,27 @@ def _sql_text(value: str) -> str:
 
 # --- Fixtures ------------------------------------------------------------------------------------
 
-LINES = """(select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus)
-    - 1 as row_no from lineitem) as lines"""
+LINES = """(select *, ('0x' || substr(md5(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::int, l_returnflag,
+    l_linestatus)), 1, 15))::bigint as row_no from lineitem) as lines"""
+VECTOR_COUNT = "(select count(*) from embeddings)"
 
 JUDGED_ROWS = f"""
 judged_rows as (
-  select l_suppkey as qid, l_partkey as did, row_no,
+  select l_suppkey as qid, d.vec_id as did, row_no,
     case when q.label = d.label then 1 else 0 end as relevance_label,
     case n_regionkey when 0 then ' Factual' when 1 then 'factual ' when 2 then 'how-to' else 'Open question' end as "Question_type",
     case when s_acctbal < 0 then 'FALSE' when s_acctbal < 4000 then '1' when s_acctbal < 7000 then 'true' else ' no ' end as specific_to_paper,
     case when l_linestatus = 'O' then '' else p_brand end as "IPAC_filename"
   from {LINES}
-  join embeddings q on q.vec_id = l_suppkey
-  join embeddings d on d.vec_id = l_partkey
+  join embeddings q on q.vec_id = l_suppkey % {VECTOR_COUNT}
+  join embeddings d on d.vec_id = l_partkey % {VECTOR_COUNT}
   join supplier on s_suppkey = l_suppkey
   join nation on n_nationkey = s_nationkey
   join part on p_partkey = l_partkey)"""
 
-VECTORS = """
-qv as (select vec_id as qid, embedding::double[] as v from embeddings join supplier on s_suppkey = vec_id),
-dv as (select vec_id as did, embedding::double[] as v from embeddings join part on p_partkey = vec_id),
+VECTORS = f"""
+qv as (select s_suppkey as qid, embedding::double[] as v from embeddings join supplier on s_suppkey % {VECTOR_COUNT} = vec_id),
+dv as (select vec_id as did, embedding::double[] as v from embeddings),
 all_pairs as (select qid, did, round(list_dot_product(qv.v, dv.v), 6) + 0.0 as score from qv cross join dv)"""
 
 TEXT_PAIRS = f"""
@@ -46,8 +47,10 @@ text_pairs as (
   select row_no, ' ' || c.text || chr(10) as "Question", d.text as chunk_text,
     case when l_returnflag = 'R' and l_quantity >= 50 then 2 when l_returnflag = 'R' then 1 else 0 end as label
   from {LINES}
-  join conversations c on c.conv_id = l_suppkey and c.turn = l_linenumber
-  join documents d on d.doc_id = l_partkey),
+  join (select conv_id as sized, count(*) as n_turns from conversations group by conv_id)
+    on sized = l_suppkey % (select count(distinct conv_id) from conversations)
+  join conversations c on c.conv_id = sized and c.turn = l_linenumber % n_turns
+  join documents d on d.doc_id = l_partkey % (select count(*) from documents)),
 clean as (
   select row_no, trim("Question", ' ' || chr(10) || chr(9) || chr(13)) as question,
     trim(chunk_text, ' ' || chr(10) || chr(9) || chr(13)) as chunk_text, label from text_pairs),
