@@ -357,6 +357,7 @@ union all select distinct model, null, 0.0, 0.0 from curve"""
     o["roc_curve_corners"] = f"with {_curve()} {roc.format('where next_tp is null or next_tp <> tp or next_fp <> fp')}"
     o["roc_auc"] = f"with {_curve()} select model, round(sum(fp * (ctp - tp / 2.0)) / (max(pos) * max(neg)), 6) as roc_auc from curve group by model"
     o["f1_by_threshold"] = f"with {_curve()} select model, score as threshold, round({F1}, 6) as f1 from curve"
+    o["pr_curve_batches"], o["roc_auc_batches"] = o["pr_curve"], o["roc_auc"]
     o["best_f1"] = f"""with {_curve()}, scored_f1 as (select model, score, round({F1}, 12) as f1 from curve)
 select model, round(f1, 6) as best_f1, score as threshold from (
   select *, row_number() over (partition by model order by f1 desc, score) as place from scored_f1) where place = 1"""

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from siftrank.catalog import fixtures as fx
-from siftrank.catalog.queries import query
+from siftrank.catalog.queries import query, rounded
 from siftrank.functions import keys
 from siftrank.operators import coverage, curves, models, quality, rank_metrics
 from siftrank.plans import annotation, corpus
@@ -76,6 +76,25 @@ def model_set_round_trip(spark, d):
     return both.groupBy("source", "model", "label").agg(F.count(F.lit(1)).alias("num_rows"))
 
 
+def _counts_of_two_batches(spark, d):
+    """Counts of the positives, then of the negatives, each added as a batch, the second one twice."""
+    counts, scored = curves.CurveCounts(spark, f"{_new_folder(spark)}/counts"), fx.scored_pairs(spark, d)
+    counts.add(scored.where("label = 1"), "positives")
+    for _ in range(2):
+        counts.add(scored.where("label = 0"), "negatives")
+    return counts.counts()
+
+
+@query
+def pr_curve_batches(spark, d):
+    return rounded(curves.pr_curve(_counts_of_two_batches(spark, d)), "precision", "recall")
+
+
+@query
+def roc_auc_batches(spark, d):
+    return rounded(curves.roc_auc(_counts_of_two_batches(spark, d)), "roc_auc")
+
+
 @query
 def store_resume_round_trip(spark, d):
     """A chunk store filled with the labelled documents, then with all; nothing is done twice, empty files count as done."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -65,10 +66,26 @@ def clip01(c: ColumnOrName) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(1), _col(c)))
 
 
+#: Letters whose caseless form is not their lower case: by one letter, and by several. Worked out from the Unicode tables that Python has.
+_FOLDED = {c: c.casefold() for c in map(chr, range(0x80, 0x110000)) if c.casefold() != c}
+_ONE_TO_ONE = {c: f for c, f in _FOLDED.items() if len(f) == 1}
+_ONE_TO_MANY = {c: f for c, f in _FOLDED.items() if len(f) > 1}
+
+
+def fold_case(c: ColumnOrName) -> Column:
+    """Full Unicode case folding, as for caseless comparison: each code point by itself, some by several (ß to ss). Texts of plain
+    ASCII, which most are, only become lower case."""
+    text = _col(c)
+    several = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), _ONE_TO_MANY.items(),
+                     F.translate(text, "".join(_ONE_TO_ONE), "".join(_ONE_TO_ONE.values())))
+    ascii_letters = F.translate(several, string.ascii_uppercase, string.ascii_lowercase)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_letters)
+
+
 def facet_key(c: ColumnOrName, null_label: str = "nan") -> Column:
     """Grouping key of a facet value: stripped, caseless, NULL under its own label."""
     text = F.coalesce(_col(c).cast("string"), F.lit(null_label))
-    return F.replace(F.lower(strip(text)), F.lit("ß"), F.lit("ss"))
+    return fold_case(strip(text))
 
 
 def title_case(c: ColumnOrName) -> Column:

@@ -7,9 +7,10 @@ combine, so a score shared by a third of all rows costs one row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftrank.functions import fixed_values as fv
@@ -31,11 +32,40 @@ def prepare_scores(df: DataFrame, query_col: str = "Question", label_col: str =
 
 
 def count_by_score(scored: DataFrame) -> DataFrame:
-    """``(model, score, tp, fp)``: positives and negatives at each distinct score."""
+    """``(model, score, tp, fp)``: positives and negatives at each distinct score. ``scored`` may be such counts itself, of several
+    batches: they are added up. So every curve here takes rows or counts."""
+    if {"tp", "fp"} <= set(scored.columns):
+        return scored.groupBy("model", "score").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"))
     return scored.groupBy("model", "score").agg(
         F.count_if(F.col("label") == 1).alias("tp"), F.count_if(F.col("label") != 1).alias("fp"))
 
 
+class CurveCounts:
+    """Counts by score kept as a table, one folder for each batch of scored rows.
+
+    A new batch is counted and added; rows of earlier batches are not read again. A batch that is added a second time, after a failure,
+    replaces itself. Labels beside 1 count as negatives, as in ``count_by_score``. ``merge`` puts all batches into one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def add(self, scored: DataFrame, batch: str) -> None:
+        if not re.fullmatch(r"\w+", batch):
+            raise ValueError(f"a batch is named by letters, digits and underscores: {batch!r}")
+        count_by_score(scored).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def counts(self) -> DataFrame:
+        """``(model, score, tp, fp)`` of all batches, as every curve takes it."""
+        return count_by_score(self.spark.read.parquet(self.path).drop("batch"))
+
+    def merge(self, path: str) -> CurveCounts:
+        """All batches as one batch of a new table."""
+        merged = CurveCounts(self.spark, path)
+        merged.add(self.counts(), "merged")
+        return merged
+
+
 def require_mixed_labels(scored: DataFrame) -> DataFrame:
     """Fail, naming a model, unless every model has both classes and no label beside 0 and 1."""
     totals = scored.groupBy("model").agg(
@@ -81,6 +111,9 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 
 def prevalence(scored: DataFrame) -> DataFrame:
+    """Share of positives of each model."""
+    if {"tp", "fp"} <= set(scored.columns):
+        return scored.groupBy("model").agg((F.sum("tp") / F.sum(F.col("tp") + F.col("fp"))).alias("prevalence"))
     return scored.groupBy("model").agg(F.avg("label").alias("prevalence"))
 
 

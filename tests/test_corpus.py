@@ -251,3 +251,24 @@ def test_keys_of_other_tools(spark):
     assert sorted(r.question for r in left.collect()) == ["", "q"]
     both = done.unionByName(left.where("question = 'q'").select("pair_key"))
     assert [r.question for r in annotation.pending_pairs(df.where("question is not null"), both).collect()] == [""]
+
+
+def test_batches_of_like_length(spark):
+    """Padded batches stay within the budget, vectors and scores are those of single calls, in place."""
+    texts = ["a" * n for n in (5, 900, 3, 40, 41, 7, 2000, 1, 39)] + [None, ""]
+
+    def make():
+        inner = models.letter_encoder()
+
+        def encode_texts(batch):
+            assert len(batch) == 1 or max(map(len, batch)) * len(batch) <= 100 and len(batch) <= 4
+            return inner(batch) + np.array([[len(t)] + [1] * 25 for t in batch])
+        return encode_texts
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    rows = models.encode(df, "t", make, batch_size=4, batch_chars=100).collect()
+    alone = models.encode(df, "t", make, batch_size=1).collect()
+    assert {r.i: r.embedding for r in rows} == {r.i: r.embedding for r in alone} and len(rows) == len(texts)
+    assert [r.embedding for r in rows if texts[r.i] is None] == [None]
+    sizes = [len(b) for b in models.length_batches(["x" * n for n in (50, 1, 50, 1, 101)], 4, 100)]
+    assert sizes == [2, 2, 1]

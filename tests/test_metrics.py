@@ -176,3 +176,23 @@ def test_model_deltas(spark):
     metric = spark.createDataFrame([("a", 0.2), ("b", 0.5), ("d", 0.9)], "model string, ap double")
     rows = curves.model_deltas(metric, "ap", {"a": "b", "c": "d", "b": "missing"}).collect()
     assert [(r.base, round(r.delta, 6)) for r in rows] == [("c", 0.9), ("a", 0.3), ("b", -0.5)]
+
+
+def test_curves_of_two_batches(spark, tmp_path):
+    """Curves from counts of two batches are those of all rows; a repeated batch counts once; merged batches say the same."""
+    rows = [(m, (i * 7) % 11 / 10, int((i * 5) % 3 == 0)) for m in ("a", "b") for i in range(40)]
+    scored = spark.createDataFrame(rows, "model string, score double, label int").repartition(3)
+    counts = curves.CurveCounts(spark, str(tmp_path / "counts"))
+    first, second = scored.where("score < 0.5"), scored.where("score >= 0.4 and label = 1 or score >= 0.5")
+    both = first.unionByName(second)
+    counts.add(second, "one")
+    counts.add(first, "one")
+    for _ in range(2):
+        counts.add(second, "two")
+    for state in (counts, counts.merge(str(tmp_path / "merged"))):
+        for curve in (curves.pr_curve, curves.roc_curve, curves.average_precision, curves.roc_auc, curves.f1_by_threshold, curves.prevalence, curves.best_f1):
+            want, got = ({tuple(r) for r in curve(x).collect()} for x in (both, state.counts()))
+            assert {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in got} == {
+                tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in want}
+    with pytest.raises(ValueError):
+        counts.add(first, "no/path")

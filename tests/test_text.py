@@ -101,3 +101,12 @@ def test_dot_rejects_ragged_vectors(spark):
     df = spark.createDataFrame([([1.0, 2.0], [1.0]), ], "a array<double>, b array<double>")
     with pytest.raises(Exception, match="differ in length"):
         df.select(vec.dot("a", "b")).collect()
+
+
+def test_case_folding_of_all_code_points(spark):
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(points[i:i + 500]) for i in range(0, len(points), 500)] + ["Straße ſ İ ﬁ ΣΊΣΥΦΟΣ ς", "PLAIN", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.f for r in df.select("i", tx.fold_case("t").alias("f")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == (None if t is None else t.casefold()), i
