@@ -31,6 +31,73 @@ def test_csv_cells(spark, tmp_path):
         readers.read_table(spark, "x.xlsx")
 
 
+def _small_blocks(spark, size=64):
+    """Sets the bytes one task reads; gives back the setting to restore."""
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return before
+
+
+ODD_CELLS = ["plain", "two\nlines", 'say ""hi""', "a,b", "\n\n", "", "x\r\ny", '""', "é漢\n,", "long " * 40 + "\nend"]
+
+
+@pytest.mark.parametrize("size, end", [(37, "\n"), (41, "\r\n"), (1 << 20, "\n")])
+def test_split_csv_reads_as_one_task_does(spark, tmp_path, size, end):
+    def write(folder, end):
+        folder.mkdir()
+        rows = [f'{i},"{cell}","{ODD_CELLS[(i * 7) % 10]}"' for i in range(3) for cell in ODD_CELLS]
+        for name in ("a.csv", "b.csv"):
+            (folder / name).write_bytes(end.join(['n,"text, or\nnot",text2', *rows, ""]).encode())
+        return str(folder)
+
+    whole = readers.read_csv(spark, write(tmp_path / "whole", "\n"), split=False)
+    path = write(tmp_path / "parts", end)
+    before = _small_blocks(spark, size)
+    try:
+        parts = readers.read_csv(spark, path, split=True if end == "\n" else None)  # such ends need no asking
+        pieces = spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions()
+        got = sorted(map(repr, parts.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts.columns == whole.columns and len(got) == 60
+    assert got == sorted(map(repr, whole.collect())) and (pieces > 50 or size > 64)
+
+
+def test_split_csv_of_latin_text_and_without_rows(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes('q,"a b"\ncafé,"x\nß"\n"",ü\n'.encode("iso-8859-1"))
+    for empty_as_null in (True, False):
+        whole = readers.read_csv(spark, str(tmp_path / "latin.csv"), split=False, empty_as_null=empty_as_null)
+        parts = readers.read_csv(spark, str(tmp_path / "latin.csv"), split=True, empty_as_null=empty_as_null)
+        assert parts.columns == whole.columns and sorted(map(repr, parts.collect())) == sorted(map(repr, whole.collect()))
+    (tmp_path / "head.csv").write_text('a,"b\nc"\n')
+    assert readers.read_csv(spark, str(tmp_path / "head.csv"), split=True).count() == 0
+
+
+@pytest.mark.parametrize("indent, size", [(None, 29), (1, 64), (1, 1 << 20)])
+def test_split_json(spark, tmp_path, indent, size):
+    texts = ['a, "b" ]}', "\\", '\\"', "[{", "x\ny", "", None, "é漢,", '{"a": [1, 2]}', ",", "\\\\,"]
+    rows = [{"file_name": f"f{i}", "text_data": t} for i, t in enumerate(texts * 2)]
+    cache = {json.dumps([f"q{i},", t or ""], ensure_ascii=False): [t or "", f"r{i}"] for i, t in enumerate(texts * 2)}
+    (tmp_path / "c.json").write_text(json.dumps(rows, indent=indent) + "\n")
+    (tmp_path / "cache.json").write_text(json.dumps(cache, indent=indent, ensure_ascii=False))
+    (tmp_path / "none.json").write_text("[ ]\n")
+    before = _small_blocks(spark, size)
+    try:
+        got = readers.read_corpus(spark, str(tmp_path / "c.json"), split=True).collect()
+        replies = readers.read_json_reply_cache(spark, str(tmp_path / "cache.json")).collect()
+        assert readers.read_corpus(spark, str(tmp_path / "none.json"), split=True).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.file_name, r.text_data or "") for r in got) == sorted((r["file_name"], r["text_data"] or "") for r in rows)
+    assert sorted((r.thought, r.response) for r in replies) == sorted(map(tuple, cache.values()))
+
+
+def test_repeated_keys_of_a_json_object_keep_the_last(spark, tmp_path):
+    (tmp_path / "cache.json").write_text('{"[\\"q\\", \\"c\\"]": ["a", "b"], "[\\"q\\", \\"c\\"]": ["c", "d"]}')
+    row = readers.read_json_reply_cache(spark, str(tmp_path / "cache.json")).first()
+    assert (row.thought, row.response) == ("c", "d") and readers.count_json_entries(spark, str(tmp_path / "cache.json")) == 1
+
+
 def test_json_tables(spark, tmp_path):
     rows = [{"file_name": "a", "text_data": "x\ny"}, {"file_name": "b", "text_data": None}]
     (tmp_path / "c.json").write_text(json.dumps(rows, indent=1))
