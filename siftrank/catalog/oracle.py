@@ -461,7 +461,10 @@ select event_id, event_type from (select *, row_number() over (order by md5('7:'
     # Files and guards
     o["csv_round_trip"] = o["csv_gz_round_trip"] = """
 select doc_id, md5(coalesce(text, '')) as text_md5, coalesce(lang, '') as lang, coalesce(source, '') as source from documents"""
-    o["json_corpus_round_trip"] = "select 'doc_' || doc_id as file_name, md5(text) as text_md5 from documents"
+    o["csv_split_round_trip"] = """
+select doc_id, md5(regexp_replace(coalesce(text, ''), '[^\\x{00}-\\x{FF}]', '?', 'g')) as text_md5, coalesce(lang, '') as lang,
+  coalesce(source, '') as source from documents"""
+    o["json_corpus_round_trip"] = o["json_array_round_trip"] = "select 'doc_' || doc_id as file_name, md5(text) as text_md5 from documents"
     o["json_reply_cache_import"] = """
 select sha256(concat(text, chr(30), 'chunk ' || item_id)) as pair_key, 'thought' as thought, 'reply ' || item_id as response,
   (select count(*) from benchmark) as entries from benchmark"""

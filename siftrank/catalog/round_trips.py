@@ -49,13 +49,40 @@ def json_corpus_round_trip(spark, d):
     return readers.read_corpus(spark, path).select("file_name", F.md5("text_data").alias("text_md5"))
 
 
+@query
+def csv_split_round_trip(spark, d):
+    """Texts with line breaks and quotes through CSV in ISO-8859-1, records put together from lines. Other characters become "?"."""
+    path = f"{_new_folder(spark)}/documents.csv"
+    latin = _documents(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\xFF]", "?"))
+    latin.write.options(header=True, quote='"', escape='"', emptyValue="", encoding="ISO-8859-1").csv(path)
+    return _digested(readers.read_csv(spark, path, empty_as_null=False, multi_line=True, encoding="ISO-8859-1", split=True))
+
+
+ENTRIES_PER_FILE = 1000
+
+
+@query
+def json_array_round_trip(spark, d):
+    """The corpus as JSON arrays of about ``ENTRIES_PER_FILE`` documents, elements put together from pieces."""
+    rows = fx.corpus(spark, d).select(F.to_json(F.struct("file_name", "text_data")).alias("value"), "file_name")
+    arrays = _in_files(rows, "file_name").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ", "), F.lit("]")).alias("value"))
+    path = f"{_new_folder(spark)}/corpus"
+    arrays.repartition("part").write.partitionBy("part").text(path)
+    return readers.read_corpus(spark, path, lines=False, split=True).select("file_name", F.md5("text_data").alias("text_md5"))
+
+
+def _in_files(rows, key: str):
+    """``rows`` grouped by a digest of ``key`` into as many files as they need."""
+    return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(rows.count() // ENTRIES_PER_FILE + 1)).alias("part"))
+
+
 @query
 def json_reply_cache_import(spark, d):
-    """A reply cache in JSON objects, one file for each remainder of the questions' lengths."""
+    """A reply cache in JSON objects of about ``ENTRIES_PER_FILE`` entries."""
     asked = fx.table(spark, d, "benchmark").select(
-        F.concat(F.lit("g"), F.length("text") % 4).alias("part"), F.to_json(F.array("text", F.concat(F.lit("chunk "), "item_id"))).alias("key"),
+        F.to_json(F.array("text", F.concat(F.lit("chunk "), "item_id"))).alias("key"),
         F.array(F.lit("thought"), F.concat(F.lit("reply "), "item_id")).alias("value"))
-    objects = asked.groupBy("part").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("value"))
+    objects = _in_files(asked, "key").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "value")))).alias("value"))
     path = f"{_new_folder(spark)}/cache"
     objects.repartition("part").write.partitionBy("part").text(path)
     cache = readers.read_json_reply_cache(spark, path)

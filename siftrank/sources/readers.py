@@ -18,8 +18,6 @@ from siftrank.session import cut_lineage
 from siftrank.sources.records import csv_records, json_records, worth_splitting
 
 CORPUS_SCHEMA = "file_name string, text_data string"
-CHUNK_SCHEMA = "file_name string, pos int, text string, num_tokens int, embedding array<float>, batch_id string"
-PROGRESS_SCHEMA = "file_name string"
 CACHE_SCHEMA = "pair_key string, thought string, response string"
 
 
@@ -135,14 +133,6 @@ def read_store(spark: SparkSession, path: str, schema: str | None = None, missin
         return spark.createDataFrame([], schema)
 
 
-def read_chunk_store(spark: SparkSession, path: str, missing_ok: bool = False) -> DataFrame:
-    return read_store(spark, path, CHUNK_SCHEMA, missing_ok)
-
-
-def read_progress(spark: SparkSession, path: str) -> DataFrame:
-    return read_store(spark, path, PROGRESS_SCHEMA, missing_ok=True)
-
-
 def read_reply_cache(spark: SparkSession, path: str) -> DataFrame:
     return read_store(spark, path, CACHE_SCHEMA, missing_ok=True)
 

@@ -1,4 +1,5 @@
 import json
+import threading
 import uuid
 
 import numpy as np
@@ -62,6 +63,54 @@ def test_store_resumes(spark, tmp_path):
     assert {r.batch_id for r in store.chunks().collect()} == {"b1", "b2"}
 
 
+def test_store_shows_nothing_of_a_run_that_was_killed(spark, tmp_path, monkeypatch):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    docs = corpus(spark, {"a": "x y\nz", "b": "q", "blank": " "})
+    for step in range(3):  # killed before the chunks, the files, the commit
+        calls = []
+
+        def killed(df, path, by=None):
+            calls.append(path)
+            if len(calls) > step:
+                raise OSError("killed")
+            df.write.mode("append").parquet(path)
+
+        monkeypatch.setattr("siftrank.plans.corpus.append_rows", killed)
+        with pytest.raises(OSError):
+            store.add(docs, models.letter_encoder, f"killed{step}", 1)
+        assert store.progress().count() == 0 and store.chunks(missing_ok=True).count() == 0
+    monkeypatch.undo()
+    store.add(docs, models.letter_encoder, "1", 1)
+    assert sorted((r.file_name, r.pos, r.batch_id) for r in store.chunks().collect()) == [("a", 0, "1"), ("a", 1, "1"), ("b", 0, "1")]
+    assert store.progress().count() == 3
+
+
+def test_two_writers_at_once_add_no_chunk_twice(spark, tmp_path):
+    barrier, texts = threading.Barrier(2), {"a": "x y\nz", "b": "q", "c": "r\ns", "d": " "}
+
+    class Together(ChunkStore):
+        def progress(self):
+            found = super().progress()
+            barrier.wait(60)  # both know the same files
+            return found
+
+    def add(names, batch):
+        Together(spark, str(tmp_path / "store")).add(corpus(spark, {n: texts[n] for n in names}), models.letter_encoder, batch, 1)
+
+    writers = [threading.Thread(target=add, args=a) for a in (("abd", "one"), ("bcd", "two"))]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join(120)
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    assert store.commits().count() == 2
+    assert sorted((r.file_name, r.pos) for r in store.chunks().collect()) == [("a", 0), ("a", 1), ("b", 0), ("c", 0), ("c", 1)]
+    assert sorted(r.file_name for r in store.progress().collect()) == ["a", "b", "c", "d"]
+    before = {(r.file_name, r.batch_id) for r in store.chunks().collect()}
+    store.add(corpus(spark, {**texts, "e": "t"}), models.letter_encoder, "three", 1)
+    assert {(r.file_name, r.batch_id) for r in store.chunks().collect()} == before | {("e", "three")}
+
+
 def test_missing_store(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ChunkStore(spark, str(tmp_path / "nothing")).chunks()
