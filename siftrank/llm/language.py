@@ -125,15 +125,18 @@ def build(samples: dict[str, str]) -> Model:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from a sample of ``labelled``: of each language the ``SAMPLE_TEXTS`` texts with the smallest hashes, of each at
-    most ``TEXT_CHARS`` characters, together at most ``SAMPLE_LETTERS``. Rows with NULL are left out. The
+    most ``TEXT_CHARS`` characters, together at most ``SAMPLE_LETTERS``. Rows with NULL are left out. Of more than ``max_languages`` languages those with most rows are
+    learned (of equally many, the first by name), the others, as with misspelt labels, are not. The
     sample, at most ``max_languages`` times 24,000 letters, is what goes through the driver."""
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang"),
                            F.xxhash64(F.col(f"`{text}`")).alias("h")).where("text is not null and lang is not null")
     ranked = rows.select("lang", "h").distinct().withColumn(
         "rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= SAMPLE_TEXTS)
-    limits = ranked.groupBy("lang").agg(F.max("h").alias("limit")).limit(max_languages + 1).collect()
+    ends = ranked.groupBy("lang").agg(F.max("h").alias("limit"))
+    limits = ends.limit(max_languages + 1).collect()
     if len(limits) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
+        often = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+        limits = ends.join(F.broadcast(often), "lang").collect()
     chosen = None
     for r in limits:
         near = (F.col("lang") == r.lang) & (F.col("h") <= r.limit)

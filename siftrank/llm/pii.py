@@ -7,7 +7,9 @@ has read (number ranges, digit counts, check digits). Text without anchors costs
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +20,7 @@ from siftrank.llm.tables import small_batches
 
 #: Base kinds, in the order of the spans, then the kinds that this method adds.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("address", "account")
+ADDED = ("address", "account", "secret", "national")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -30,7 +32,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USER_AT = re.compile(r"[^\s/@:\"'<>]+(?::[^\s/@\"'<>]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?")
 _CUED = re.compile(r"(?:\s*(?:no|nr|number|num)\b\.?)?[\s:=#]{1,3}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?|[0-9][0-9 -]{6,22}[0-9])(?![A-Za-z0-9])",
                    re.I)
+_SECRET = re.compile(r"(?:[_-]?(?:key|token|id))?[\"'`]?\s{0,4}(?:=>|:=|[:=])\s{0,4}(?:bearer\s+)?([\"'`]?)([A-Za-z0-9_./+~-]{16,256}={0,2})", re.I)
+_PASSWORD = re.compile(r"[\"'`]?\s{0,4}(?:=>|:=|[:=])\s{0,4}([\"'`])([^\s\"'`]{6,128})\1", re.I)
+_SOCIAL = re.compile(r"(?:\s*(?:no|nr|number|num)\b\.?)?[\s:=#]{1,3}([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})(?![0-9])", re.I)
 _CUES = ("iban", "account", "acct", "konto", "cuenta", "compte")
+_TOKENS = ("token", "secret", "api_key", "api-key", "apikey", "access_key", "private_key", "auth_key", "secret_key")
+_PASSWORDS = ("password", "passwd", "passphrase", "pwd")
+_SOCIALS = ("ssn", "social security")
+#: Bits a character that a token has at least; hexadecimal digits come near 4, words and names stay below or lack digits.
+TOKEN_BITS = 3.0
 
 
 def luhn(digits: str) -> bool:
@@ -47,6 +57,11 @@ def iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def entropy(text: str) -> float:
+    """Bits a character, by how often each occurs in the text."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
 class Finder:
     """Spans of one text after another. Make one per task."""
 
@@ -64,12 +79,14 @@ class Finder:
                 add(a + b, ("card", 2))
                 add(f"{a} {b}", ("card", 3))
                 add(f"{a}-{b}", ("card", 3))
-        for cue in _CUES:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                add(form, ("account", len(form)))
+        for kind, cues in (("account", _CUES), ("secret", _TOKENS + _PASSWORDS), ("national", _SOCIALS)):
+            for cue in cues:
+                for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+                    add(form, (kind, len(form)))
         self.anchors.make_automaton()
         self.parsers = {"email": self._email, "ip": self._ip, "card": self._card, "phone": self._phone,
-                        "address": self._address, "account": self._account}
+                        "address": self._address, "account": self._account, "secret": self._secret,
+                        "national": self._national}
 
     # A parser takes the text, the anchor's place and the end of what its kind has read so far. It returns what
     # is read now and the span, or None where the form fails or is not valid.
@@ -122,6 +139,33 @@ class Finder:
         valid = 8 <= len(number) <= 18 if number.isdigit() else iban(number.upper())
         return form.end(1), form.span(1) if valid else None
 
+    def _secret(self, text: str, at: int, done: int):
+        """The value set after a cue: a quoted password, or a token of letters and digits without a pattern to them."""
+        if at and text[at - 1].isalnum():
+            return done, None
+        cue = max((c for c in _TOKENS + _PASSWORDS if text[at : at + len(c)].lower() == c), key=len)
+        if cue in _PASSWORDS:
+            form = _PASSWORD.match(text, at + len(cue))
+            return (form.end(), form.span(2)) if form else (done, None)
+        form = _SECRET.match(text, at + len(cue))
+        if not form:
+            return done, None
+        value, after = form.group(2), text[form.end() : form.end() + 1]
+        mixed = any(c in _DIGITS for c in value) and any(c.isalpha() for c in value)
+        closed = after == form.group(1) if form.group(1) else after not in ("(", "[", "{") or not after
+        valid = mixed and closed and entropy(value) >= TOKEN_BITS
+        return (form.end(), form.span(2)) if valid else (done, None)
+
+    def _national(self, text: str, at: int, done: int):
+        """A social security number after its cue; areas 000, 666 and from 900 on, group 00 and serial 0000 do not exist."""
+        cue = next(len(c) for c in _SOCIALS if text[at : at + len(c)].lower() == c)
+        form = _SOCIAL.match(text, at + cue) if not (at and text[at - 1].isalnum()) else None
+        if not form:
+            return done, None
+        area, _, group, serial = form.groups()
+        valid = area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+        return form.end(), (form.start(1), form.end()) if valid else None
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by kind as listed, then start."""
         done = dict.fromkeys(self.parsers, 0)
@@ -146,7 +190,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_pii(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, spans) for each row of ``documents``; spans is an array of (kind, start, end) in code points, end exclusive,
-    by kind (email, ip, card, phone, address, account), then start. Spans of one kind do not overlap, those of
+    by kind (email, ip, card, phone, address, account, secret, national), then start. Spans of one kind do not overlap, those of
     different kinds may. A NULL text is empty and has no spans. NULL keys and repeated rows pass through,
     other columns are not looked at, an empty table gives no rows."""
     small_batches(documents.sparkSession)

@@ -29,7 +29,7 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = fit(documents.where(_remainder(3) != 1))
     return identify(documents, model).withColumnRenamed("key", "doc_id").select(
-        "doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score", "phrases", "letters")
+        "doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "phrases", "letters")
 
 
 @register
@@ -78,7 +78,7 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     labels = table(spark, folder, "labels").select("doc_id", "toxic").where(_remainder(5) != 0)
     scored = score_toxicity(documents, fit(documents, labels)).withColumnRenamed("key", "doc_id")
-    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 

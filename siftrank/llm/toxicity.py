@@ -45,6 +45,10 @@ PRIOR = 5_000.0
 SIGMAS = 3.0
 COST = 0.5
 BIN = 0.25
+#: Smallest hashes by which copies are known, and how many of them copies share at least (three in four).
+SKETCHES, ALIKE = 8, 6
+#: The weight of one text in whole units.
+UNIT = 1 << 20
 BINS = 400
 #: A scale is read off only where so many clean segments are left.
 TAIL = 20
@@ -204,13 +208,13 @@ class Scorer:
                       for (s, e, _), c in zip(found, after)]
             yield i, b - a, np.array([x for _, _, x in found]), places
 
-    def clean_tail(self, texts: list[bytes | None]) -> tuple[np.ndarray, int]:
-        """Segments by the bin of rate * sum, and tokens."""
+    def clean_tail(self, texts: list[bytes | None], weights: np.ndarray) -> tuple[np.ndarray, int]:
+        """Segments by the bin of rate * sum, and tokens, each as often as its text's weight says."""
         tail, tokens = np.zeros(BINS, np.int64), 0
-        for _, n, sums, _ in self._segments(texts):
-            tokens += n
+        for i, n, sums, _ in self._segments(texts):
+            tokens += n * int(weights[i])
             if len(sums):
-                tail += np.bincount(np.minimum(BINS - 1, self.model.rate * sums / BIN).astype(int), minlength=BINS)
+                tail += weights[i] * np.bincount(np.minimum(BINS - 1, self.model.rate * sums / BIN).astype(int), minlength=BINS)
         return tail, tokens
 
 
@@ -219,8 +223,9 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The smallest hash of a text's 5-word sequences, which copies and most near copies share."""
-    hasher = token_hasher()
+    """For each of ``SKETCHES`` mixes, a row with the smallest hash of a text's 5-word sequences. Two texts share one
+    with the probability of their similarity."""
+    hasher, mixes = token_hasher(), np.random.default_rng(5).integers(0, 1 << 63, (SKETCHES, 2), np.uint64) * np.uint64(2) + np.uint64(1)
     for batch in batches:
         texts, out = batch.column(1).to_pylist(), []
         for part in slices(texts):
@@ -228,25 +233,28 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every = window_hashes(words.hash, 5)
             for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
                 own = every[a : b - 4] if b - a >= 5 else window_hashes(words.hash[a:b], max(1, b - a))
-                out.append(own.min() if len(own) else np.uint64(0))
+                out += [((own ^ x) * y).min() if len(own) else np.uint64(0) for x, y in mixes]
+        rows = np.repeat(np.arange(len(texts)), SKETCHES)
+        key, digest, toxic = (batch.column(c).take(pa.array(rows)) for c in (0, 2, 3))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64)), batch.column(2)], ["key", "sketch", "toxic"])
+            [key, digest, toxic, pa.array(np.tile(np.arange(SKETCHES, dtype=np.int32), len(texts))),
+             pa.array(np.array(out, np.uint64).view(np.int64))], ["key", "digest", "toxic", "mix", "sketch"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each bucket in toxic and clean texts; n of them in one text count 1 + floor(log2(n))."""
+    """Occurrences of each bucket in toxic and clean texts, in the units of the weights; n of them in one text count
+    1 + floor(log2(n)) times the text's weight."""
     hasher, size = token_hasher(), 1 << BUCKET_BITS
     counts = np.zeros(2 * size, np.int64)
     for batch in batches:
-        texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        texts, toxic, units = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for part in slices(texts):
             words = hasher.words(texts[part])
             doc = words.doc()
             keys = [doc[own] * size + bucket[own] for bucket, own in hasher.features(words)]
             once, n = np.unique(np.concatenate(keys), return_counts=True)
-            weight = 1 + np.log2(n).astype(np.int64)
-            at = toxic[part][once // size] * size + once % size
-            counts += np.bincount(at, weights=weight, minlength=2 * size).astype(np.int64)
+            weight = (1 + np.log2(n).astype(np.int64)) * units[part][once // size]
+            np.add.at(counts, toxic[part][once // size] * size + once % size, weight)
     used = np.flatnonzero(counts[:size] + counts[size:])
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used + size]), pa.array(counts[used])],
                                      ["bucket", "toxic", "clean"])
@@ -256,9 +264,9 @@ def _tail(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, tail, tokens = Scorer(model.value), np.zeros(BINS, np.int64), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, units = batch.column(0).to_pylist(), batch.column(2).to_numpy()
             for part in slices(texts):
-                more, n = scorer.clean_tail(texts[part])
+                more, n = scorer.clean_tail(texts[part], units[part])
                 tail, tokens = tail + more, tokens + n
         bins = np.append(np.flatnonzero(tail), -1)
         yield pa.RecordBatch.from_arrays([pa.array(bins.astype(np.int32)), pa.array(np.append(tail[bins[:-1]], tokens))],
@@ -266,7 +274,7 @@ def _tail(model):
     return run
 
 
-def tail_scale(bins: np.ndarray, tokens: int) -> float:
+def tail_scale(bins: np.ndarray, tokens: float) -> float:
     """The largest scale that any height of the law asks for, where at least ``TAIL`` clean segments are as high."""
     beyond = np.cumsum(bins[::-1])[::-1]
     scale = beyond / max(tokens, 1) * np.exp(np.arange(len(bins)) * BIN)
@@ -280,7 +288,7 @@ def _evidence(model):
             texts, out = batch.column(0).to_pylist(), []
             for part in slices(texts):
                 out += [min(BINS - 1, math.ceil(e / BIN)) for e, _ in scorer.score(texts[part])]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), batch.column(1)], ["bin", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), batch.column(1), batch.column(2)], ["bin", "toxic", "weight"])
     return run
 
 
@@ -303,36 +311,42 @@ def logistic(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float,
 
 
 def fit(documents: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Learn from the documents that ``labels`` marks 0 or 1. Documents that share their smallest sequence hash, as copies
-    do, count as one with the label of most of them: otherwise the words of a text with many copies look telling.
+    """Learn from the documents that ``labels`` marks 0 or 1. Each keeps its label and counts 1 / n, where n
+    documents of its label or more share each of ``ALIKE`` of its ``SKETCHES`` smallest sequence hashes, as copies do:
+    otherwise the words of a text with many copies look telling. A passage in common is not enough.
     Counts of at most 2**20 buckets and 400 bins come to the driver. Rows without key or label count nowhere; a
-    document with several labels counts with each."""
+    document with both labels counts with each."""
     small_batches(documents.sparkSession)
     spark = documents.sparkSession
     marks = labels.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{label}`").cast("long").alias("toxic")).where(
-        "toxic in (0, 1) and key is not null")
+        "toxic in (0, 1) and key is not null").distinct()
     texts = documents.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("binary").alias("text"))
-    marked = texts.join(broadcast_if_small(marks, 24), "key").select("key", "text", "toxic")
-    groups = marked.mapInArrow(_sketch, "key long, sketch long, toxic long").groupBy("sketch").agg(
-        F.min("key").alias("key"), (F.avg("toxic") >= 0.5).cast("long").alias("toxic"))
-    chosen = cut_lineage(groups.select("key", "toxic"))
-    rows = texts.join(broadcast_if_small(chosen, 24), "key").select("text", "toxic")
+    texts = texts.withColumn("digest", F.xxhash64("text"))
+    marked = texts.join(broadcast_if_small(marks, 24), "key").select("key", "text", "digest", "toxic")
+    sketches = cut_lineage(marked.mapInArrow(_sketch, "key long, digest long, toxic long, mix int, sketch long"))
+    groups = sketches.groupBy("mix", "sketch", "toxic").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = sketches.distinct().join(broadcast_if_small(cut_lineage(groups), 36), ["mix", "sketch", "toxic"], "left").groupBy(
+        "key", "digest", "toxic").agg(F.array_sort(F.collect_list(F.coalesce("n", F.lit(1)))).alias("n"))
+    copies = F.element_at("n", SKETCHES - ALIKE + 1)
+    chosen = cut_lineage(sizes.select(  # whole units, so sums do not depend on their order
+        "key", "digest", "toxic", F.greatest(F.lit(1), F.floor(UNIT / copies)).cast("long").alias("weight")))
+    rows = texts.join(broadcast_if_small(chosen, 40), ["key", "digest"]).select("text", "toxic", "weight")
     table = (rows.mapInArrow(_count, "bucket long, toxic long, clean long").groupBy("bucket")
              .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow())
     counts = np.zeros((2, 1 << BUCKET_BITS))
     for i, name in enumerate(("toxic", "clean")):
-        counts[i, table["bucket"].to_numpy()] = table[name].to_numpy()
+        counts[i, table["bucket"].to_numpy()] = table[name].to_numpy() / UNIT
     model = weigh(counts[0], counts[1])
     shared = spark.sparkContext.broadcast(model)
     tail = (rows.where("toxic = 0").mapInArrow(_tail(shared), "bin int, n long").groupBy("bin")
             .agg(F.sum("n").alias("n")).collect())
     bins = np.zeros(BINS)
     for r in tail:
-        bins[r.bin] += r.n if r.bin >= 0 else 0
-    model.scale = tail_scale(bins, sum(r.n for r in tail if r.bin < 0))
+        bins[r.bin] += r.n / UNIT if r.bin >= 0 else 0
+    model.scale = tail_scale(bins, sum(r.n for r in tail if r.bin < 0) / UNIT)
     shared = spark.sparkContext.broadcast(model)
-    bins = (rows.mapInArrow(_evidence(shared), "bin int, toxic long").groupBy("bin")
-            .agg(F.sum("toxic").alias("ones"), F.count(F.lit(1)).alias("n")).collect())
+    bins = (rows.mapInArrow(_evidence(shared), "bin int, toxic long, weight long").groupBy("bin")
+            .agg((F.sum(F.col("toxic") * F.col("weight")) / UNIT).alias("ones"), (F.sum("weight") / UNIT).alias("n")).collect())
     if bins:
         x, ones, n = (np.array([r[i] for r in bins], float) for i in range(3))
         model.slope, model.height = logistic(x * BIN, ones, n - ones)

@@ -53,6 +53,16 @@ def test_language_of_edge_rows(spark):
     assert language.identify(docs.where("false"), language.fit(docs)).count() == 0
 
 
+def test_more_languages_than_a_model_holds(spark):
+    rows = [(10 * i + j, f"{chr(0x4e00 + 40 * i)}{chr(0x4e01 + 40 * i)} {chr(0x4e02 + 40 * i)} text {j}", f"l{i:02}")
+            for i in range(70) for j in range(1 if i in (3, 5, 8, 60, 61, 62) else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert sorted(model.languages) == [f"l{i:02}" for i in range(70) if i not in (3, 5, 8, 60, 61, 62)]
+    assert language.fit(docs, max_languages=66).languages[:6] == ["l00", "l01", "l02", "l03", "l04", "l05"]
+    assert language.identify(docs, model).count() == len(rows)
+
+
 def plain_segments(w):
     best = max(((sum(w[i:j]), -(j - i), i, j) for i in range(len(w)) for j in range(i + 1, len(w) + 1)), default=(0,))
     if best[0] <= 0:
@@ -91,6 +101,28 @@ def test_toxicity_learns_and_marks_passages(spark):
     assert len({r.score for r in toxicity.score_toxicity(docs.limit(5), untaught).collect()}) == 1
 
 
+def test_a_shared_licence_line_does_not_replace_labels(spark):
+    """All texts hold one line and are otherwise their own; the toxic ones are a minority and still teach."""
+    line = "permission is granted to use and copy this file"
+    rows = [(i, f"{line} {' '.join(f'w{i * j % 211} {word}' for j, word in enumerate(words * 4, 1))}")
+            for i in range(200) for words in [["vile", "filth", "scum"] if i % 4 == 1 else ["fair", "kind", "nice"]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(0, 200) if i % 5], "doc_id long, toxic int")
+    got = {r.key: r.score for r in toxicity.score_toxicity(docs, toxicity.fit(docs, marks)).collect()}
+    assert min(got[i] for i in got if i % 4 == 1) > max(got[i] for i in got if i % 4 != 1)
+
+
+def test_copies_weigh_as_one_text(spark):
+    """A text with 300 copies moves the model as one would, ids that repeat included."""
+    base = [(i, f"word{i} other{i * 7} thing{i * 3} place{i % 9} filler{i % 5} {'vile' if i % 3 == 0 else 'fair'}") for i in range(60)]
+    marks = [(i, int(i % 3 == 0)) for i in range(60)]
+    more = [(1000 + i // 2, base[0][1]) for i in range(600)]
+    plain = toxicity.fit(spark.createDataFrame(base, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    copied = toxicity.fit(spark.createDataFrame(base + more, "doc_id long, text string"),
+                          spark.createDataFrame(marks + [(1000 + i, 1) for i in range(300)], "doc_id long, toxic int"))
+    assert np.abs(plain.weights - copied.weights).max() < 0.01
+
+
 def _hand_model(*toxic):
     """A model that gives 1 to the given tokens, -1 to all others, and the plain law exp(-sum) * tokens."""
     hasher = toxicity.token_hasher()
@@ -331,3 +363,15 @@ def test_packing_keeps_every_token(spark):
     assert max(filled.values()) <= 50
     assert len({(r.bin, r.slot) for r in plan}) == len(plan) and {r.key for r in plan} == {r[0] for r in edge_rows()}
     assert packing.pack(docs.where("false"), F.lit(1), F.lit("c")).count() == 0
+
+
+def test_secrets_and_national_numbers():
+    finder = pii.Finder()
+    found = lambda t: [t[a:b] for k, a, b in finder.spans(t) if k in ("secret", "national")]
+    digits = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    assert found(f'token = "{digits}"') == found(f"API_KEY: {digits}") == found(f"{{'auth_token': '{digits}'}}") == [digits]
+    assert found("password = 'hunter2!' and Passwd: \"s3cret,x\"") == ["hunter2!", "s3cret,x"]
+    assert found("SSN: 123-45-6789, ssn 900-12-3456, ssn 123-00-6789, Social Security Number 123456789") == ["123-45-6789", "123456789"]
+    for clean in ("token = next_token_from_the_stream2(", "tokenizer = aaaaaaaaaaaaaaaa1111", "token: aaaaaaaaaaaaaaaaaaa1", "the secret is out",
+                  "password = input()", f"mytoken{digits}", "token", "ssn", "secret =", "token of appreciation for 1234567890123456789"):
+        assert found(clean) == [], clean
