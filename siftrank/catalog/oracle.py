@@ -247,6 +247,14 @@ select (select count(*) from q_ids) as num_queries, (select count(*) from d_ids)
 from (select q_ord, count(*) as n, sum(relevant) as p from judged group by q_ord)"""
     o["ir_index_judged"] = f"""with {TEXT_PAIRS}
 select 'Q' || q_ord as qid, 'D' || d_ord as did, relevant, first_label, first_row from judged"""
+    o["index_of_two_batches"] = f"""with {TEXT_PAIRS},
+arrived as (select clean.*, batch from clean
+  join (select row_no, (length("Question") + length(chunk_text)) % 2 as batch from text_pairs) using (row_no)),
+q_num as (select question, row_number() over (order by min((batch, row_no))) - 1 as q_no, max(label) as top from arrived group by question),
+d_num as (select chunk_text, row_number() over (order by min((batch, row_no))) - 1 as d_no from arrived group by chunk_text)
+select 'Q' || q_no as qid, 'D' || d_no as did, max(case when label = 1 then 1 else 0 end) as relevant,
+  arg_min(label, (batch, row_no)) as first_label, arg_min(row_no, (batch, row_no)) as first_row
+from arrived join q_num using (question) join d_num using (chunk_text) where top = 1 group by q_no, d_no"""
     o["dense_ids"] = """
 select row_number() over (order by min(doc_id)) - 1 as d_ord, 'D' || (row_number() over (order by min(doc_id)) - 1) as did,
   min(doc_id) as first_row, md5(text) as text_md5 from documents group by text"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftrank.catalog import fixtures as fx
 from siftrank.catalog.queries import query, rounded
 from siftrank.functions import keys
-from siftrank.operators import coverage, curves, models, quality, rank_metrics
+from siftrank.operators import coverage, curves, growing_index, models, quality, rank_metrics
 from siftrank.plans import annotation, corpus
 from siftrank.session import checkpoint_folder
 from siftrank.sources import readers, writers
@@ -135,6 +135,17 @@ def store_resume_round_trip(spark, d):
                          F.lit(store.progress().count()).cast("bigint").alias("done"))
 
 
+@query
+def index_of_two_batches(spark, d):
+    """An index over the judged rows of the questions and texts of even length, grown by all other rows; the second batch is added twice."""
+    pairs, grown = fx.text_pairs(spark, d), growing_index.GrowingIndex(spark, _new_folder(spark))
+    early = F.length(F.concat("Question", "chunk_text")) % 2 == 0
+    grown.add(pairs.where(early), "row_no", 0)
+    for _ in range(2):
+        grown.add(pairs.where(~early), "row_no", 1)
+    return grown.index().judged.select("qid", "did", "relevant", "first_label", "first_row")
+
+
 class _Refused(Exception):
     status = 400
 
