@@ -63,8 +63,10 @@ judged as (
   from kept join q_ids using (question) join d_ids using (chunk_text) group by q_ord, d_ord)"""
 
 
-def _letters(text: str) -> str:
-    counts = (f"list_transform(range(97, 123), lambda i: (length({text}) - length(replace({text}, chr(i::int), '')))::double)")
+def _letters(text: str, folded: bool = False) -> str:
+    count = "(length({0}) - length(replace({0}, chr({1}), '')))::double"
+    found = count.format(text, "i::int") + (" + " + count.format(text, "(i - 32)::int") if folded else "")
+    counts = f"list_transform(range(97, 123), lambda i: {found})"
     return (f"list_transform([{counts}], lambda c: list_transform(c, lambda x: "
             f"(x / (case when list_sum(c) = 0 then 1 else sqrt(list_dot_product(c, c)) end))::float::double))[1]")
 
@@ -334,6 +336,25 @@ both_runs as (
 both_qrels as (select task, q_ord as qid, d_ord as did from judged, (values ('allowlist'), ('full corpus')) t(task) where relevant = 1),
 {_metrics('both_runs', 'both_qrels', 'task')}
 select 'letters' as model, task, {MEANS} from per_query group by task"""
+    prompt_length = f"length({_sql_text(f'<Instruct>: {fv.RERANK_INSTRUCTION}' + chr(10) + '<Query>: ')} || a.question || {_sql_text(chr(10) + '<Document>: ')} || a.chunk_text)"
+    two = f"""with {INDEX_RUN},
+f_vec as (select d_ord, chunk_text, {_letters('chunk_text', folded=True)} as v from d_ids),
+two_pairs as (select q_ord, d_ord, chunk_text, round(list_dot_product(q_vec.v, f_vec.v), 6) + 0.0 as score from q_vec cross join f_vec)"""
+    o["model_reports"] = f"""{two},
+all_runs as (
+  select 'two encoders' as model, 'allowlist' as task, q_ord as qid, d_ord as did, score from two_pairs join judged using (q_ord, d_ord)
+  union all
+  select 'two encoders', 'full corpus', q_ord, d_ord, score from two_pairs
+  union all
+  select 'lengths', 'allowlist (reranker)', q_ord, d_ord, 1 / (1 + exp(-{prompt_length.replace("a.", "")} / 1000.0::double)) from allow_scores),
+all_qrels as (select concat_ws('/', model, task) as run, q_ord as qid, d_ord as did from judged, (select distinct model, task from all_runs) where relevant = 1),
+keyed_runs as (select concat_ws('/', model, task) as run, qid, did, score from all_runs),
+{_metrics('keyed_runs', 'all_qrels', 'run')}
+select split_part(run, '/', 1) as model, split_part(run, '/', 2) as task, {MEANS} from per_query group by run"""
+    o["model_score_files"] = f"""{two}
+select 'two encoders' as model, q_ord, d_ord, score as cos_full, row_number() over (partition by q_ord order by score desc, d_ord) as rank_full,
+  coalesce(first_label, 0) as relevance_label, 'expert' as "Source", md5(chunk_text) as chunk_md5
+from two_pairs left join judged using (q_ord, d_ord)"""
     o["run_quality"] = """
 select qid, sum(copies)::bigint as num_scores, count(*) as num_docs, count(*) filter (copies > 1) as repeated_docs, 0::bigint as bad_scores
 from (select l_suppkey as qid, l_partkey, count(*) as copies from lineitem group by 1, 2) group by qid"""
@@ -344,7 +365,6 @@ from (select l_suppkey as qid, l_partkey, count(*) as copies from lineitem group
     attach = f"""from text_pairs t left join allow_scores a
   on a.question = trim(t."Question", ' ' || chr(10) || chr(9) || chr(13)) and a.chunk_text = trim({stripped})"""
     o["attach_pair_scores"] = f"with {INDEX_RUN} select t.row_no, a.score as cos {attach}"
-    prompt_length = f"length({_sql_text(f'<Instruct>: {fv.RERANK_INSTRUCTION}' + chr(10) + '<Query>: ')} || a.question || {_sql_text(chr(10) + '<Document>: ')} || a.chunk_text)"
     o["attach_rerank_scores"] = f"with {INDEX_RUN} select t.row_no, round(1 / (1 + exp(-{prompt_length} / 1000.0::double)), 6) as rerank_score {attach}"
     o["pair_scores_rowwise"] = f"""with {JUDGED_ROWS}, {VECTORS}
 select row_no, qid, did, score as cos_score from judged_rows join all_pairs using (qid, did)"""
@@ -353,6 +373,12 @@ last_label as (select qid, did, arg_max(relevance_label, row_no) as lab from jud
 select qid, did, coalesce(lab, 0) as "Label", score, s_name as "Question", p_name as chunk_text
 from all_pairs left join last_label using (qid, did) left join supplier on s_suppkey = qid left join part on p_partkey = did"""
 
+    o["score_blocks"] = f"""with {JUDGED_ROWS}, {VECTORS},
+last_label as (select qid, did, arg_max(relevance_label, row_no) as lab from judged_rows group by qid, did),
+size as (select (((select count(*) from qv) * n // 4 + 1) // n)::bigint as queries from (select count(*) as n from dv))
+select qid // queries as block, qid, did, coalesce(lab, 0) as "Label", score
+from all_pairs left join last_label using (qid, did), size"""
+
     # Curves
     o["pr_curve"] = f"""with {_curve()}
 select model, score as threshold, round(ctp * 1.0 / (ctp + cfp), 6) as precision, round(ctp * 1.0 / pos, 6) as recall from curve
@@ -507,6 +533,19 @@ union all select 'questions_missing_pos_or_neg', count(*) from flags where not o
 union all select 'positives_per_question_histogram', count(distinct pos_count) from flags
 union all select 'negatives_per_question_histogram', count(distinct neg_count) from flags
 union all select 'joint_pos_neg_table', count(distinct pos_count) from flags"""
+    def cells(name: str, key: str, columns: str, rows: str) -> str:
+        return " union all ".join(f"""select '{name}' as report, {key}::varchar as "of", '{c}' as "column", {c}::varchar as value from {rows}"""
+                                  for c in columns.split())
+
+    flag_columns = "pos_count neg_count total has_pos has_neg ok_pos_and_neg"
+    o["report_rows"] = f"""with {LABELLED},
+joint as (select a.pos_count, b.neg_count, (select count(*) from flags c where c.pos_count = a.pos_count and c.neg_count = b.neg_count) as n
+  from (select distinct pos_count from flags) a, (select distinct neg_count from flags) b)
+{cells('per_question_coverage', '"Question"', flag_columns, 'flags')}
+union all {cells('questions_missing_pos_or_neg', '"Question"', flag_columns, '(select * from flags where not ok_pos_and_neg)')}
+union all {cells('positives_per_question_histogram', 'num_positives', 'num_questions', '(select pos_count as num_positives, count(*) as num_questions from flags group by 1)')}
+union all {cells('negatives_per_question_histogram', 'num_negatives', 'num_questions', '(select neg_count as num_negatives, count(*) as num_questions from flags group by 1)')}
+union all select 'joint_pos_neg_table', pos_count::varchar, neg_count::varchar, n::varchar from joint"""
     o["round_report"] = """
 select l_returnflag, l_linestatus, round(avg(l_extendedprice::double), 4) as price, round(avg(l_quantity::double), 4) as quantity
 from lineitem group by all"""

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from siftrank.catalog import fixtures as fx
-from siftrank.catalog.queries import query, rounded
+from siftrank.catalog.queries import DIGITS, query, rounded
 from siftrank.functions import keys
-from siftrank.operators import coverage, curves, growing_index, models, quality, rank_metrics
-from siftrank.plans import annotation, corpus
+from siftrank.operators import coverage, curves, growing_index, index, models, quality, rank_metrics, scores
+from siftrank.plans import annotation, corpus, score_files
 from siftrank.session import checkpoint_folder
 from siftrank.sources import readers, writers
 
@@ -234,6 +234,62 @@ def report_files(spark, d):
     return out.groupBy("report").agg(F.count(F.lit(1)).alias("num_rows"))
 
 
+@query
+def report_rows(spark, d):
+    """Every cell of the report set of label coverage, read back from its files."""
+    folder = _new_folder(spark)
+    reports = coverage.coverage_reports(fx.labelled_rows(spark, d), check_columns=False)
+    writers.write_reports(reports, folder)
+    out = None
+    for name in reports:
+        table = readers.read_csv(spark, f"{folder}/{name}")
+        table = table.select([F.col(f"`{c}`").cast("string").alias(c) for c in table.columns])
+        if table.columns:  # a report without rows has no header, either
+            cells = table.unpivot([table.columns[0]], table.columns[1:], "column", "value")
+            cells = cells.select(F.lit(name).alias("report"), F.col(f"`{table.columns[0]}`").alias("of"), "column", "value")
+            out = cells if out is None else out.unionByName(cells)
+    return out
+
+
+def _evaluated(spark, d, models_):
+    """Score files of ``models_`` over the judged texts. Run twice: the second run finds every model done."""
+    rows = fx.text_pairs(spark, d)
+    built = index.build_index(rows, "row_no")
+    files = score_files.ScoreFiles(spark, _new_folder(spark))
+    for _ in range(2):
+        files.add(rows, built, "row_no", models_, digits=DIGITS, check=False)
+    return files
+
+
+TWO_ENCODERS = score_files.Model("two encoders", models.letter_encoder, models.folded_letter_encoder)
+
+
+@query
+def model_reports(spark, d):
+    """Metrics of a model that encodes questions and documents differently, both tasks, and of one that reads pairs, from files."""
+    files = _evaluated(spark, d, [TWO_ENCODERS, score_files.Model("lengths", make_scorer=models.length_scorer)])
+    return rounded(files.report(), *rank_metrics.metric_names())
+
+
+@query
+def model_score_files(spark, d):
+    """The ranked scores of all pairs from the files of such a model."""
+    table = _evaluated(spark, d, [TWO_ENCODERS]).full_corpus()
+    return table.select("model", "q_ord", "d_ord", "cos_full", "rank_full", "relevance_label", "Source", F.md5("chunk_text").alias("chunk_md5"))
+
+
+@query
+def score_blocks(spark, d):
+    """All pairs with scores and labels, added to one file set in blocks by two calls, the first of which stops after two blocks."""
+    rows, blocks = fx.judged_rows(spark, d), score_files.ScoreBlocks(spark, _new_folder(spark))
+    labels = scores.original_labels(rows, "row_no", "qid", "did", "relevance_label")
+    queries, docs = fx.query_vectors(spark, d), fx.doc_vectors(spark, d)
+    per_block = queries.count() * docs.count() // 4 + 1
+    for most in (2, None):
+        blocks.add(queries, docs, labels, rows_per_block=per_block, blocks=most, digits=DIGITS)
+    return blocks.scores()
+
+
 @query
 def round_report(spark, d):
     """Mean price and quantity per flag, rounded to four digits and ordered."""
