@@ -38,6 +38,8 @@ from siftrank.session import broadcast_if_small, cut_lineage
 WINDOW = 13
 ANCHOR = 6
 GROUP_SUFFIXES = 1_000_000
+#: Bytes of text for each part that anchors and places are dealt to; a task holds one part's.
+PART_BYTES = 64 << 20
 LENGTHS = (1, 2, 3, 5, 8, 13)
 LAST = (1 << 63) - 1
 _RID = np.dtype([("key", "<i8"), ("print", "<i8")])
@@ -401,26 +403,28 @@ def _digest(text: str) -> Column:
 
 
 def substring_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW,
-                    group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
+                    group_suffixes: int = GROUP_SUFFIXES, part_bytes: int = PART_BYTES) -> DataFrame:
     """(key, n_words, n_removed, kept_text) for each row of ``documents``.
 
     Words are runs other than space and 0x09-0x0D. A word goes if a window of ``window`` words that covers it also
     occurs in a text with a smaller key; windows are judged on the input. Kept words are joined by one
     space. NULL or blank texts have no words; shorter texts than a window lose nothing. A NULL key comes after
     all others, and rows with the same key (or NULL) take nothing from each other. Other columns are not
-    looked at. An empty table gives no rows. ``window`` is 6 or more.
+    looked at. An empty table gives no rows. ``window`` is 6 or more. There is a part for every ``part_bytes`` of text, and one for each
+    shuffle partition at least, so what a task holds does not grow with the table.
     """
     if window < ANCHOR:
         raise ValueError(f"window must be {ANCHOR} or more")
     small_batches(documents.sparkSession)
     spark = documents.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("key"),
                             F.col(f"`{text}`").cast("binary").alias("text"))
     rows = rows.withColumn("print", F.xxhash64(F.coalesce("text", F.lit("").cast("binary"))))
 
     # Of equal texts only the first takes part; the others lose every word that a window covers.
-    ids = cut_lineage(rows.select("key", "print", _digest("text").alias("digest")))
+    ids = cut_lineage(rows.select("key", "print", _digest("text").alias("digest"), F.octet_length("text").alias("bytes")))
+    total = ids.agg(F.sum(F.col("bytes").cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // part_bytes + 1)
     first = ids.groupBy("digest").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
     copies = cut_lineage(ids.join(cut_lineage(first.select("digest", "least")), "digest").where("key > least")
                          .select("key", "print").distinct())

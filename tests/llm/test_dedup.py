@@ -106,9 +106,9 @@ def test_near_dedup_of_edge_rows(spark):
     assert all(r.kept for r in got if r.key is None or r.n_shingles == 0)
 
 
-@pytest.mark.parametrize("suffixes", [1_000_000, 8])
-def test_substring_dedup(spark, suffixes):
-    """Shared passages, copies, repeats inside a text; with groups so small that prefixes must grow."""
+@pytest.mark.parametrize("suffixes, part_bytes", [(1_000_000, 64 << 20), (8, 64 << 20), (8, 100)])
+def test_substring_dedup(spark, suffixes, part_bytes):
+    """Shared passages, copies, repeats inside a text; with groups so small that prefixes must grow, and with many parts."""
     draw = random.Random(3)
     passages = [[f"p{i}-{j}" for j in range(draw.choice([12, 13, 14, 40]))] for i in range(5)] + [["again"] * 30]
     rows = []
@@ -120,7 +120,7 @@ def test_substring_dedup(spark, suffixes):
         rows.append((draw.randrange(1000) * 2, " ".join(text)))
     rows += [(r[0] + 1, r[1]) for r in rows[:10]] + rows[:3] + [(None, rows[4][1]), (None, "x " * 40), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = substring_dedup(docs, group_suffixes=suffixes).collect()
+    got = substring_dedup(docs, group_suffixes=suffixes, part_bytes=part_bytes).collect()
     assert Counter((r.key, r.n_words, r.n_removed, r.kept_text) for r in got) == cut_repeats(rows)
 
 
