@@ -88,7 +88,7 @@ def test_fingerprint_query(spark, documents):
 
 
 def test_toxicity_query_on_held_out_rows(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = queries.REGISTRY["op6_toxicity"](spark, folder).collect()
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect())
@@ -142,8 +142,8 @@ def test_pipeline_by_stages(spark, documents):
     docs = cut_lineage(stages["near_dedup"](spark, docs, FOLDER))
     assert sorted(docs.collect()) == sorted(lone) and len(lone) < len(documents)
     engine = duckdb.connect()
-    table = docs.toPandas()  # noqa: F841
-    engine.execute("create table documents as select * from table")
+    frame = docs.toPandas()  # noqa: F841
+    engine.execute("create table documents as select * from frame")
     drawn = Counter(r[0] for r in engine.execute(f"select doc_id from ({oracle.ORACLE['op2_mix_sources']})").fetchall())
     docs = cut_lineage(stages["mix_sources"](spark, docs, FOLDER))
     mixed = docs.collect()
