@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from siftrank.catalog import fixtures as fx
@@ -11,12 +9,12 @@ from siftrank.catalog.queries import DIGITS, query, rounded
 from siftrank.functions import keys
 from siftrank.operators import coverage, curves, growing_index, index, models, quality, rank_metrics, scores
 from siftrank.plans import annotation, corpus, score_files
-from siftrank.session import checkpoint_folder
+from siftrank.session import scratch_folder
 from siftrank.sources import readers, writers
 
 
 def _new_folder(spark) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "round-trip")
 
 
 def _documents(spark, d):

@@ -32,6 +32,13 @@ ANNOTATION_PROMPT_TAIL = (
     "0 means very likely wrong, and 100 means very confident.>"
 )
 
+# --- Fixed values: what stands before the parts of a prompt ------------------
+INSTRUCT_HEAD = "<Instruct>: "
+QUERY_HEAD = "\n<Query>: "
+DOCUMENT_HEAD = "\n<Document>: "
+QUESTION_HEAD = "Question: "
+PARAGRAPH_HEAD = "\nParagraph: "
+
 # --- Fixed values: characters Python's str.strip and str.split treat as blank -
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"

@@ -140,22 +140,22 @@ def source_tag(filename: ColumnOrName, tags: tuple[str, str] = fv.SOURCE_TAGS) -
 
 def query_with_instruction(question: ColumnOrName, instruction: str = "") -> Column:
     ins = instruction or fv.DEFAULT_QUERY_INSTRUCTION
-    return F.concat(F.lit(f"<Instruct>: {ins}\n<Query>: "), _col(question))
+    return F.concat(F.lit(fv.INSTRUCT_HEAD + ins + fv.QUERY_HEAD), _col(question))
 
 
 def rerank_text(question: ColumnOrName, chunk: ColumnOrName) -> Column:
     return F.concat(
-        F.lit(f"<Instruct>: {fv.RERANK_INSTRUCTION}\n<Query>: "),
+        F.lit(fv.INSTRUCT_HEAD + fv.RERANK_INSTRUCTION + fv.QUERY_HEAD),
         _col(question),
-        F.lit("\n<Document>: "),
+        F.lit(fv.DOCUMENT_HEAD),
         _col(chunk),
     )
 
 
 def annotation_text(question: ColumnOrName, chunk: ColumnOrName) -> Column:
     return F.concat(
-        F.lit("Question: "), _col(question),
-        F.lit("\nParagraph: "), _col(chunk),
+        F.lit(fv.QUESTION_HEAD), _col(question),
+        F.lit(fv.PARAGRAPH_HEAD), _col(chunk),
         F.lit("\n" + fv.ANNOTATION_PROMPT_TAIL),
     )
 

@@ -27,6 +27,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the checkpoint folder for files of one run. ``lineage_scope`` removes it with the tables."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, by: Sequence[str] = (), rows_per_file: int | None = None) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder and continue from that table. ``by`` gives each value of these columns
     a folder of its own, ``rows_per_file`` bounds its files.
@@ -34,16 +41,15 @@ def cut_lineage(df: DataFrame, by: Sequence[str] = (), rows_per_file: int | None
     Unlike a checkpointed RDD the table is columnar, so later steps read only the columns they need, and
     its size is known to the optimizer. It outlives executors. ``lineage_scope`` removes it again.
     """
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/siftrank-{uuid.uuid4().hex}"
+    path = scratch_folder(df.sparkSession, "siftrank")
     writer = df.write.option("maxRecordsPerFile", rows_per_file or 0)
     writer.partitionBy(*by).parquet(path) if by else writer.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def lineage_scope(spark: SparkSession) -> Iterator[None]:
-    """Remove, at the end, the tables that ``cut_lineage`` writes inside. Results have to be used or written inside, too."""
+    """Remove, at the end, what ``cut_lineage`` and ``scratch_folder`` write inside. Results have to be used or written inside, too."""
     begin = len(_written)
     try:
         yield
