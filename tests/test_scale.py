@@ -37,3 +37,27 @@ def test_index_scores_join_digests_only(spark):
     for given in (of_pair, texts):
         got = sorted(((r.row_no, r.cos) for r in scores.attach_scores(rows, given, "cos").collect()), key=str)
         assert got == [(0, 0.0), (1, 1.0), (1, 1.0), (2, None)]
+
+
+@pytest.mark.parametrize("budget", [SearchBudget(), SearchBudget(query_bytes=200, document_bytes=300)])
+def test_listed_pairs_as_a_join_gives_them(spark, budget):
+    """Keys that repeat, that are missing or NULL, and NULL vectors; vectors do not travel with the pairs."""
+    queries = spark.createDataFrame([(q % 6, [float(q), 1.0]) for q in range(8)] + [(9, None), (None, [1.0, 1.0])], "qid long, embedding array<float>")
+    docs = spark.createDataFrame([(d % 20, [1.0, float(d)]) for d in range(25)] + [(30, None), (None, [1.0, 1.0])], "did int, embedding array<double>")
+    listed = [(q, d, f"{q}-{d}") for q in (0, 1, 5, 7, 9, None) for d in (0, 3, 19, 30, 40, None)]
+    pairs = spark.createDataFrame(listed * 2, "qid int, did long, tag string").repartition(5)
+    found = search.score_candidates(pairs, queries, docs, digits=6, budget=budget)
+    expect = pairs.join(docs.withColumnRenamed("embedding", "dv"), "did").join(queries.withColumnRenamed("embedding", "qv"), "qid").select(
+        "qid", "did", "tag", F.expr("qv[0] * dv[0] + qv[1] * dv[1]").alias("score"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, expect.select(*found.columns).collect()))
+    assert "Join" not in plan(found)
+
+
+def test_listed_pairs_by_text_keys_and_of_unlike_lengths(spark):
+    q = spark.createDataFrame([("a", [2.0])], "qid string, embedding array<double>")
+    d = spark.createDataFrame([(1, [3.0])], "did long, embedding array<double>")
+    assert [r.score for r in search.score_candidates(spark.createDataFrame([("a", 1)], "qid string, did long"), q, d).collect()] == [6.0]
+    pairs = spark.createDataFrame([(1, 1)], "qid long, did long")
+    with pytest.raises(Exception, match="differ in length"):
+        search.score_candidates(pairs, spark.createDataFrame([(1, [1.0, 2.0])], "qid long, embedding array<double>"), d).collect()
+    assert search.score_candidates(pairs, q.limit(0).select(F.lit(1).cast("long").alias("qid"), "embedding"), d).isEmpty()
