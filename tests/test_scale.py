@@ -61,3 +61,20 @@ def test_listed_pairs_by_text_keys_and_of_unlike_lengths(spark):
     with pytest.raises(Exception, match="differ in length"):
         search.score_candidates(pairs, spark.createDataFrame([(1, [1.0, 2.0])], "qid long, embedding array<double>"), d).collect()
     assert search.score_candidates(pairs, q.limit(0).select(F.lit(1).cast("long").alias("qid"), "embedding"), d).isEmpty()
+
+
+def test_hits_that_a_task_holds_are_bounded(spark, monkeypatch):
+    """No more queries at a time than ``held_hits`` allows, plain and pruned; the hits are the same."""
+    rng = np.random.default_rng(3)
+    queries, docs = rng.normal(size=(23, 4)).astype("float32"), rng.normal(size=(60, 4)).astype("float32")
+    budget = SearchBudget(held_hits=20)
+    q, d = vectors(spark, queries, "qid"), vectors(spark, docs, "did")
+    assert {tuple(r) for r in search.top_k(q, d, 5, digits=6, budget=budget).collect()} == brute_force(queries, docs, 5)
+    store = pruned.build_store(d, parts=3)
+    assert {tuple(r) for r in pruned.top_k_pruned(q, store, 5, digits=6, budget=budget).hits.collect()} == brute_force(queries, docs, 5)
+
+    seen = []
+    monkeypatch.setattr(search, "_best_documents", lambda qids, *rest: seen.append(len(qids)) or iter(()))
+    block = pa.RecordBatch.from_arrays([pa.array(range(23), pa.int64()), pa.array(queries.tolist())], names=["_id", "_vec"])
+    list(search._multiply_shares(block, [block], 5, 6, budget, 0, []))
+    assert seen and max(seen) <= 4
