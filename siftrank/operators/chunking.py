@@ -13,6 +13,10 @@ from siftrank.functions.text import strip
 from siftrank.session import spread
 
 
+#: Texts that a task has as Python objects at one time.
+ROWS_AT_ONCE = 64
+
+
 def paragraph_groups(text: str | None, min_tokens: int) -> Iterator[tuple[str, int]]:
     """Chunks of one text with their token counts: non-blank lines are gathered until they hold
     ``min_tokens`` tokens; the last chunk may be short. One pass, linear in the text."""
@@ -34,14 +38,19 @@ def chunk_array(text, min_tokens: int):
 
     @F.arrow_udf("array<struct<text:string,num_tokens:int>>")
     def split(texts: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("text", pa.string()), ("num_tokens", pa.int32())]))
-        return pa.array(
-            [[{"text": c, "num_tokens": n} for c, n in paragraph_groups(t, min_tokens)]
-             for t in texts.to_pylist()], type=kind)
+        return split_texts(texts, min_tokens)
 
     return split(text)
 
 
+def split_texts(texts: pa.Array, min_tokens: int) -> pa.Array:
+    """The chunks of each text. A few texts at a time become Python objects, however many rows or bytes a batch has."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("num_tokens", pa.int32())]))
+    parts = [pa.array([[{"text": c, "num_tokens": n} for c, n in paragraph_groups(t, min_tokens)]
+                       for t in texts.slice(at, ROWS_AT_ONCE).to_pylist()], type=kind) for at in range(0, len(texts), ROWS_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+
 def chunk_paragraphs(docs: DataFrame, min_tokens: int = fv.CHUNK_MIN_TOKENS, file: str = "file_name",
                      text: str = "text_data") -> DataFrame:
     """``(file, pos, text, num_tokens)``: the chunks of each document in order."""

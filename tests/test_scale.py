@@ -78,3 +78,17 @@ def test_hits_that_a_task_holds_are_bounded(spark, monkeypatch):
     block = pa.RecordBatch.from_arrays([pa.array(range(23), pa.int64()), pa.array(queries.tolist())], names=["_id", "_vec"])
     list(search._multiply_shares(block, [block], 5, 6, budget, 0, []))
     assert seen and max(seen) <= 4
+
+
+def test_chunking_makes_objects_of_few_texts_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"f{i}", "one two\nthree\n\nfour" if i % 7 else None) for i in range(300)], "file_name string, text_data string")
+    got = {(r.file_name, r.pos): r.text for r in chunking.chunk_paragraphs(docs.coalesce(1), 2).collect()}
+    assert got == {(f"f{i}", p): t for i in range(300) if i % 7 for p, t in enumerate(["one two", "three four"])}
+    taken = []
+    groups = chunking.paragraph_groups
+    monkeypatch.setattr(chunking, "paragraph_groups", lambda t, n: taken.append(1) or groups(t, n))
+    sizes = []
+    array = pa.array
+    monkeypatch.setattr(chunking.pa, "array", lambda values, **kw: sizes.append(len(values)) or array(values, **kw))
+    chunking.split_texts(array(["a b"] * 200), 2)
+    assert len(taken) == 200 and max(sizes) <= chunking.ROWS_AT_ONCE
