@@ -92,3 +92,17 @@ def test_chunking_makes_objects_of_few_texts_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(chunking.pa, "array", lambda values, **kw: sizes.append(len(values)) or array(values, **kw))
     chunking.split_texts(array(["a b"] * 200), 2)
     assert len(taken) == 200 and max(sizes) <= chunking.ROWS_AT_ONCE
+
+
+def test_texts_are_kept_once_for_each_model(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"question {i % 5}", f"chunk {i % 7}", "1") for i in range(35)],
+                                 "row_no long, Question string, chunk_text string, relevance_label string")
+    built = index.build_index(rows, "row_no")
+    files = ScoreFiles(spark, str(tmp_path))
+    files.add(rows, built, "row_no", [Model("a", models.letter_encoder), Model("b", models.letter_encoder)], digits=6)
+    assert not {"Question", "chunk_text"} & set(spark.read.parquet(files.paths["full_corpus"]).columns)
+    table = files.full_corpus()
+    assert table.count() == 70 and table.select("model", "Question", "chunk_text").distinct().count() == 70
+    named = {(r.d_ord, r.chunk_text) for r in table.collect()}
+    assert named == {(r.d_ord, r.chunk_text) for r in built.docs.collect()}
+    assert {r.chunk_text for r in files.full_corpus(F.md5).collect()} == {r.m for r in built.docs.select(F.md5("chunk_text").alias("m")).collect()}
