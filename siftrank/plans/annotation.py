@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,7 +14,7 @@ from siftrank.functions.keys import blake_key
 from siftrank.functions.text import content_key
 from siftrank.operators.models import ANNOTATED, Annotator, Retry, annotate
 from siftrank.operators.search import top_k
-from siftrank.session import broadcast_if_small, checkpoint_folder, cut_lineage
+from siftrank.session import broadcast_if_small, cut_lineage
 from siftrank.sources.readers import CACHE_SCHEMA, read_reply_cache, read_store
 from siftrank.sources.writers import append_rows
 
@@ -94,8 +92,8 @@ def annotate_pairs(pairs: DataFrame, make_annotator: Callable[[], Annotator], do
 class AnnotationJob:
     """Annotation with durable replies: a second run adds nothing and calls nothing.
 
-    Calls are made in micro-batches of at most ``calls_per_commit`` pairs, a stream over the files of pending pairs, and each batch commits
-    its replies before the next begins. A run that is killed loses the calls of one batch; the next run finds the replies of the others.
+    Calls are made in batches of at most ``calls_per_commit`` pairs, the files of pending pairs one after the other, and each batch commits
+    its replies before the next begins. What is asked again follows from the replies, so no other progress is kept. A run that is killed loses the calls of one batch; the next run finds the replies of the others.
     Output rows carry the number of their run. Failed calls are written with status ``error`` and are
     tried again by the next run, unless ``errors_are_done``; ``results`` shows the last run's rows of each pair, so a later success
     takes the place of an error.
@@ -148,14 +146,10 @@ class AnnotationJob:
             return
         files = -(-size // self.calls_per_commit)
         queue = cut_lineage(unknown.repartition(files), rows_per_file=self.calls_per_commit)
-        place = f"{checkpoint_folder(self.spark).rstrip('/')}/siftrank-{uuid.uuid4().hex}"
-
-        def commit(batch: DataFrame, number: int) -> None:
+        for file in sorted(queue.inputFiles()):
+            batch = self.spark.read.schema(queue.schema).parquet(file)
             append_rows(ask(batch).select(*REPLY_COLUMNS), replies_path)
 
-        stream = self.spark.readStream.schema(queue.schema).option("maxFilesPerTrigger", 1).parquet(os.path.dirname(queue.inputFiles()[0]))
-        stream.writeStream.foreachBatch(commit).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
-
     def _recover(self, replies_path: str) -> None:
         """Replies of a run that stopped before it added them to the cache."""
         kept = read_store(self.spark, replies_path, f"pair_key string, {ANNOTATED}", missing_ok=True).where("status = 'ok'")
